@@ -6,8 +6,8 @@ import numpy as np
 
 #: Bytes hashed at once; longer texts are cut at white space.
 BLOCK = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(1, 257, dtype=np.uint64)
@@ -22,7 +22,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
+def power(base: np.uint64, n: int) -> np.ndarray:
+    """1, base, base squared and so on, modulo 2 ** 64."""
     got = _powers.get(str(base))
     if got is None or len(got) < n:
         with np.errstate(over="ignore"):
@@ -39,8 +40,8 @@ def _words(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edges[::2], edges[1::2]
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LOWER[raw] * _power(_BASE, len(raw)), dtype=np.uint64)])
-        h = (sums[end] - sums[start]) * _power(_INVERSE, len(raw) + 1)[start]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LOWER[raw] * power(BASE, len(raw)), dtype=np.uint64)])
+        h = (sums[end] - sums[start]) * power(INVERSE, len(raw) + 1)[start]
         return mixed(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start
 
 

@@ -4,27 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .embed_dedup import embedding_dedup
+from .langid import identify_languages
 from .minhash_dedup import minhash_dedup
+from .quality import learn_quality, score_quality
+from .token_store import store_and_read
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(spark, _table(spark, sf_dir, "documents"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(_table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, learn_quality(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_embedding_dedup, op9_minhash_dedup)
+    for f in (op1_language_id, op2_embedding_dedup, op3_token_store, op7_quality, op9_minhash_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
