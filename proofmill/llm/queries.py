@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontam import find_contamination
 from .embed_dedup import embedding_dedup
 from .langid import identify_languages
 from .minhash_dedup import minhash_dedup
 from .quality import learn_quality, score_quality
+from .sp_sampling import sample_segmentations
 from .token_store import store_and_read
 
 
@@ -30,18 +33,27 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return score_quality(docs, learn_quality(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = sample_segmentations(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=2)
+    return made.select("doc_id", "sample", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "inclusion", "decoded_ok")
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_embedding_dedup, op3_token_store, op7_quality, op9_minhash_dedup)
+    for f in (op1_language_id, op2_embedding_dedup, op3_token_store, op6_decontamination, op7_quality, op8_sentencepiece_sampling, op9_minhash_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
