@@ -13,6 +13,7 @@ from .embed_dedup import embedding_dedup
 from .langid import identify_languages
 from .minhash_dedup import minhash_dedup
 from .quality import learn_quality, score_quality
+from .secret_scan import scan_secrets
 from .sp_sampling import sample_segmentations
 from .token_store import store_and_read
 
@@ -33,6 +34,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -53,7 +58,7 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_embedding_dedup, op3_token_store, op6_decontamination, op7_quality, op8_sentencepiece_sampling, op9_minhash_dedup)
+    for f in (op1_language_id, op2_embedding_dedup, op3_token_store, op5_secret_scan, op6_decontamination, op7_quality, op8_sentencepiece_sampling, op9_minhash_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
