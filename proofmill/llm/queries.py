@@ -12,6 +12,7 @@ from .decontam import find_contamination
 from .embed_dedup import embedding_dedup
 from .langid import identify_languages
 from .minhash_dedup import minhash_dedup
+from .pii import find_pii
 from .quality import learn_quality, score_quality
 from .secret_scan import scan_secrets
 from .sp_sampling import sample_segmentations
@@ -56,9 +57,13 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_embedding_dedup, op3_token_store, op5_secret_scan, op6_decontamination, op7_quality, op8_sentencepiece_sampling, op9_minhash_dedup)
+    for f in (op1_language_id, op2_embedding_dedup, op3_token_store, op5_secret_scan, op6_decontamination, op7_quality, op8_sentencepiece_sampling, op9_minhash_dedup, op10_pii)
 }
 
 ORACLE_SQL: dict[str, str] = {}
