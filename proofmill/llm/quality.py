@@ -202,20 +202,32 @@ def learn_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     return Attention().fit([np.frombuffer(x, np.float32).reshape(-1, SIZE) for _, _, x in got], y)
 
 
-def score_quality(docs: DataFrame, model: Attention | float, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), threshold: float = 0.7) -> DataFrame:
-    """Columns id_col, held_out, score, predicted and those in keep: one row per input row."""
+def _scores(texts: list[str | None], model: Attention | float) -> np.ndarray:
+    if not isinstance(model, Attention):
+        return np.full(len(texts), model)
+    return np.concatenate([np.empty(0), *(model.score([encode(t) for t in texts[at : at + 64]]) for at in range(0, len(texts), 64))])
+
+
+def score_quality(docs: DataFrame, model: Attention | float, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """Columns id_col, held_out, score, predicted: one row per input row."""
     bounded_batches(docs.sparkSession)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, y = b.column(2).to_pylist(), np.empty(0)
-            for at in range(0, len(texts), 64):
-                part = texts[at : at + 64]
-                y = np.concatenate([y, model.score([encode(t) for t in part]) if isinstance(model, Attention) else np.full(len(part), model)])
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(y), pa.array((y >= threshold).astype(np.int32)), *b.columns[3:]], names)
-
-    rows = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("__text"), *(F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)))
-    kind = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, "held_out", "score", "predicted", *(f"__keep{i}" for i in range(len(keep)))]
-    more = "".join(f", __keep{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    return rows.mapInArrow(score, f"`{id_col}` {kind}, held_out boolean, score double, predicted int{more}")
+            y = _scores(b.column(2).to_pylist(), model)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(y), pa.array((y >= threshold).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
+
+    rows = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string"))
+    return rows.mapInArrow(score, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int")
+
+
+def keep_quality(docs: DataFrame, model: Attention | float, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, that score at least the threshold."""
+    bounded_batches(docs.sparkSession)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text_col)).cast(pa.string()).to_pylist()
+            yield b.filter(pa.array(_scores(texts, model) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .decontam import find_contamination
 from .embed_dedup import embedding_dedup
 from .langid import identify_languages
+from .license_scan import learn_licences, scan_licences
 from .minhash_dedup import minhash_dedup
 from .pii import find_pii
 from .quality import learn_quality, score_quality
@@ -35,6 +36,11 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return scan_licences(docs, learn_licences(docs))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -63,7 +69,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_embedding_dedup, op3_token_store, op5_secret_scan, op6_decontamination, op7_quality, op8_sentencepiece_sampling, op9_minhash_dedup, op10_pii)
+    for f in (op1_language_id, op2_embedding_dedup, op3_token_store, op4_license_scan, op5_secret_scan, op6_decontamination, op7_quality, op8_sentencepiece_sampling, op9_minhash_dedup, op10_pii)
 }
 
 ORACLE_SQL: dict[str, str] = {}
