@@ -6,10 +6,11 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import NOT_NUMBERS
 
-NUMBER = "struct<value:double,raw:string,kind:string,decimals:int,den:double>"
+NUMBER = T.StructType([T.StructField("value", T.DoubleType()), T.StructField("raw", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("decimals", T.IntegerType()), T.StructField("den", T.DoubleType())])
 # Nouns that make a small integer a count.
 COUNT_NOUNS = frozenset("""
 rows row items item models model files file samples sample users user cards card checkpoints checkpoint test tests
@@ -59,6 +60,6 @@ def numbers(sentence: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf(f"array<{NUMBER}>")
+@F.pandas_udf(T.ArrayType(NUMBER))
 def extract_numbers(sentence: pd.Series) -> pd.Series:
     return sentence.map(numbers)

@@ -7,6 +7,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import jaccard
 from .findings import FLAGGED, findings
@@ -48,7 +49,7 @@ def first_mismatch(a: list[dict], b: list[dict]) -> tuple[str, str] | None:
     return (left[0]["raw"], free[0]["raw"]) if left and free else None
 
 
-@F.pandas_udf("struct<a:string,b:string>")
+@F.pandas_udf(T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())]))
 def _mismatch(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     found = [first_mismatch(list(x), list(y)) or (None, None) for x, y in zip(a, b, strict=True)]
     return pd.DataFrame(found, columns=["a", "b"])
