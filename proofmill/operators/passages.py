@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import quote_form
@@ -37,17 +37,14 @@ def best_passages(claims: DataFrame, passages: DataFrame, k: int = 4) -> DataFra
 def contained_quotes(quotes: DataFrame, texts: DataFrame, least_words: int = 6) -> DataFrame:
     """Pairs (quote_id, text_id) whose normal form holds the quote's, for quotes (quote_id, quote) and texts (text_id, text).
 
-    Quote and text meet at a run of `least_words` words of the quote, the one that fewest texts hold, not in a cross join.
+    Quote and text meet at the quote's word that fewest texts hold, not in a cross join; a quote with a word that no
+    text holds meets none.
     """
-    def runs(words: Column) -> Column:
-        n = F.size(words) - least_words
-        return F.when(n >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, F.lit(least_words)), " "))))).otherwise(F.array().cast("array<bigint>"))
-
-    q = quotes.select("quote_id", quote_form("quote").alias("q"))
-    grams = q.select("quote_id", F.explode(runs(F.split("q", " "))).alias("gram"))
+    q = quotes.select("quote_id", quote_form("quote").alias("q")).where(F.size(F.split("q", " ")) >= least_words)
     held = texts.select("text_id", quote_form("text").alias("t"))
-    spread = held.select("text_id", F.explode(runs(F.split("t", " "))).alias("gram")).join(grams.select("gram").distinct(), "gram", "left_semi")
-    often = grams.join(spread.groupBy("gram").agg(F.count("*").alias("texts")), "gram")
-    rarest = often.groupBy("quote_id").agg(F.min(F.struct("texts", "gram")).alias("m")).select("quote_id", F.col("m.gram").alias("gram"))
-    met = rarest.join(spread, "gram").select("quote_id", "text_id")
+    words = q.select("quote_id", F.explode(F.array_distinct(F.split("q", " "))).alias("word"))
+    spread = held.select("text_id", F.explode(F.array_distinct(F.split("t", " "))).alias("word")).join(words.select("word").distinct(), "word", "left_semi")
+    often = words.join(spread.groupBy("word").agg(F.count("*").alias("texts")), "word", "left").select("quote_id", F.coalesce("texts", F.lit(0)).alias("texts"), "word")
+    rarest = often.groupBy("quote_id").agg(F.min(F.struct("texts", "word")).alias("m")).select("quote_id", F.col("m.word").alias("word"))
+    met = rarest.join(spread, "word").select("quote_id", "text_id")
     return met.join(q, "quote_id").join(held, "text_id").where(F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), "q", F.lit(" ")))).select("quote_id", "text_id")

@@ -1,6 +1,412 @@
-"""The registered queries of the audit engine and the SQL that each is held against."""
+"""The registered queries of the audit engine and the SQL that each is held against.
+
+Documents of the test tables state few numbers, so claims are derived from the star-schema tables: the same SQL, run by
+either engine, writes sentences, tags and data tables with known errors. Table names stand in braces.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import ABBREVIATIONS, DOT, STOP_WORDS, sentences, tokens
+from ..operators import arithmetic, collected, consistency, findings, mentions, overclaim, passages, registry, source_check, values
+from ..operators.sentences import extract_claims, split_documents
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None) -> Callable:
+    """Register a query and its SQL; table names in braces become plain names."""
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if oracle:
+            ORACLE_SQL[name] = re.sub(r"\{(\w+)\}", r"\1", oracle)
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def generated(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The rows of one of the texts below, over the tables it names in braces."""
+    names = set(re.findall(r"\{(\w+)\}", sql))
+    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
+
+
+#: A key as letters, so that sentences of different keys share no token.
+def _word(key: str) -> str:
+    return f"translate(cast({key} as string), '0123456789', 'abcdefghij')"
+
+
+def _re2_sentences(column: str) -> str:
+    text = column
+    for a in ABBREVIATIONS:
+        text = f"replace({text}, '{a}', '{a.replace('.', DOT)}')"
+    return f"string_split(regexp_replace({text}, '([.!?])\\s+([A-Z(\\[\"''])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
+
+
+# ---------------------------------------------------------------- text
+@query("sentence_split", f"""
+select doc_id, count(*) as n_sentences, cast(sum(length(s)) as bigint) as n_chars, max(length(s)) as longest
+from (select doc_id, trim(replace(unnest({_re2_sentences("text")}), '{DOT}', '.')) as s from {{documents}}) where s <> '' group by doc_id""")
+def _sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "documents").select("doc_id", F.explode(sentences("text")).alias("s"))
+    return s.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum(F.length("s")).alias("n_chars"), F.max(F.length("s")).alias("longest"))
+
+
+@query("unit_assembly")
+def _unit_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_documents(table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), "doc_id", F.lit(".md")).alias("rel"), "text"))
+
+
+@query("token_counts", f"""
+with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z]{{2,}}')) as w from {{documents}}),
+t as (select doc_id, case when w like '%s' and length(w) > 4 then left(w, -1) else w end as token from w)
+select token, count(*) as n_docs from (select distinct doc_id, token from t) where token not in ({", ".join(f"'{w}'" for w in STOP_WORDS)}) group by token""")
+def _token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.explode(tokens("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n_docs"))
+
+
+@query("context_lag", """
+select conv_id, turn, role, lag(text) over (partition by conv_id order by turn) as context from {conversations}""")
+def _context_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lag("text").over(order).alias("context"))
+
+
+# ---------------------------------------------------------------- overclaim
+WORDING = """
+select c_custkey, concat('c/', cast(c_custkey as string), '.md') as rel,
+concat('Our ', lower(c_mktsegment), ' plan ', case c_custkey % 12 when 0 then 'always wins' when 1 then 'is not a guarantee' when 2 then 'is a novel idea' when 3 then 'clearly helps everyone'
+when 4 then 'was the first to grow' when 5 then 'came first in May' when 6 then 'is the best ever' when 7 then 'did its best in May' when 8 then 'beats all rivals' when 9 then 'beats some rivals'
+when 10 then 'offers proof' else 'grew' end, '.') as text from {customer}"""
+
+
+@query("overclaim_flags", f"""
+with w as ({WORDING}) select rel as file, 1 as line, category, word, negated from w join (values (0, 'absolute', 'always', false), (1, 'guarantee', 'guarantee', true), (2, 'novelty claim', 'novel', false),
+(3, 'certainty word', 'clearly', false), (3, 'universal claim', 'everyone', false), (4, 'priority claim', 'first', false), (6, 'superiority claim', 'best', false), (8, 'superiority claim', 'beats', false),
+(10, 'proof language', 'proof', false)) as x(k, category, word, negated) on c_custkey % 12 = k""")
+def _overclaim_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = overclaim.find_overclaims(split_documents(generated(spark, sf_dir, WORDING)))
+    return found.select(F.col("rel").alias("file"), "line", "category", "word", "negated")
+
+
+@query("overclaim_summary", f"""
+with w as ({WORDING}) select 'overclaim' as check, count(*) filter (c_custkey % 12 in (0, 1, 2, 4, 6, 8, 10)) + 2 * count(*) filter (c_custkey % 12 = 3) as flagged, 0 as verified, 0 as unverifiable from w
+union all select 'seeds', 0, 0, 0""")
+def _overclaim_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.summary(overclaim.check_overclaims(split_documents(generated(spark, sf_dir, WORDING))), ["overclaim", "seeds"])
+
+
+@query("overclaim_words", """
+select doc_id, """ + ", ".join(
+    f"""cast(len(regexp_extract_all(regexp_replace(text, '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g'), '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:{words})(?:$|[^\\p{{L}}\\p{{N}}_])')) as int) as {name}"""
+    for name, words in (("best", "best"), ("absolutes", "always|never"), ("the_word", "the"))
+) + " from {documents}")
+def _overclaim_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = lambda w: F.regexp_count("text", F.lit(rf"(?U)(?i)\b(?:{w})\b"))
+    return table(spark, sf_dir, "documents").select("doc_id", count("best").alias("best"), overclaim.word_count(F.col("text"), "absolute").alias("absolutes"), count("the").alias("the_word"))
+
+
+# ---------------------------------------------------------------- value index
+_NUMERIC = {"lineitem": ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "part": ["p_size", "p_retailprice"]}
+
+
+def _numeric_oracle() -> str:
+    parts = []
+    for t, columns in _NUMERIC.items():
+        for c in columns:
+            x, where = f"cast({c} as double)", f"from {{{t}}}"
+            unit = f"(select bool_and({x} between 0 and 1) and not bool_and({x} in (0, 1)) {where})"
+            for what, agg in (("count", "count(*)"), ("mean", f"avg({x})"), ("median", f"median({x})"), ("min", f"min({x})"), ("max", f"max({x})"), ("sum", f"sum({x})"), ("std", f"stddev_samp({x})")):
+                parts.append(f"select '{t}' as file, '{c}' as header, '{what}' as what, round(cast({agg} as double), 4) as value {where}")
+                if what in ("mean", "median", "min", "max"):
+                    parts.append(f"select '{t}', '{c}', '{what} x100', round(100 * {agg}, 4) {where} having {unit}")
+    return " union all ".join(parts)
+
+
+@query("value_index_numeric", _numeric_oracle())
+def _value_index_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = [values.unpivot(table(spark, sf_dir, t).select(*c), t) for t, c in _NUMERIC.items()]
+    return values.numeric_aggregates(cells[0].unionByName(cells[1])).select("file", "header", "what", F.round("value", 4).alias("value"))
+
+
+@query("value_index_categorical", """
+select 'orders' as file, 'o_orderstatus' as header, o_orderstatus as raw, count(*) as n from {orders} group by o_orderstatus
+union all select 'orders', 'o_orderpriority', o_orderpriority, count(*) from {orders} group by o_orderpriority""")
+def _value_index_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return values.category_counts(values.unpivot(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), "orders"))
+
+
+@query("column_type_vote", """
+select 'p_name' as header, count(*) as cells, 0::bigint as numeric_cells, count(distinct p_name) as distinct_cells, false as is_numeric from {part}
+union all select 'p_size', count(*), count(*), count(distinct p_size), true from {part}
+union all select 'p_brand', count(*), 0, count(distinct p_brand), false from {part}""")
+def _column_type_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return values.column_types(values.unpivot(table(spark, sf_dir, "part").select("p_name", "p_size", "p_brand"), "part")).drop("file")
+
+
+@query("unpivot_cells", """
+select 'n_name' as header, n_name as raw, n_name as label from {nation} union all select 'n_regionkey', cast(n_regionkey as varchar), n_name from {nation}""")
+def _unpivot_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return values.unpivot(table(spark, sf_dir, "nation").select("n_name", "n_regionkey"), "nation", F.col("n_name")).select("header", "raw", "label")
+
+
+# ---------------------------------------------------------------- claims and sources
+TOTALS = f"""
+select concat({_word("c_nationkey")}, 'x ', lower(c_mktsegment)) as market, cast(sum(cast(c_acctbal as decimal(18, 2))) as string) as account_total, count(*) as customer_count,
+cast(c_nationkey as int) as k from {{customer}} group by c_nationkey, c_mktsegment"""
+CLAIMS = f"""
+select concat('paper/', cast(k as string), '.md') as rel, k, market,
+concat('The account_total of ', market, ' is ', cast(cast(account_total as decimal(18, 2)) + case when k % 5 = 0 then 1234567.89 else 0 end as string), '.') as text from ({TOTALS}) t"""
+
+
+@query("claim_numbers", f"""
+with t as ({TOTALS}) select market, cast(cast(account_total as decimal(18, 2)) + case when k % 5 = 0 then 1234567.89 else 0 end as double) as value, 'plain' as kind, 2 as decimals from t""")
+def _claim_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = generated(spark, sf_dir, CLAIMS).select("market", "text").withColumn("rel", F.concat("market", F.lit(".md")))
+    n = extract_claims(split_documents(claims)).select(F.regexp_replace("rel", r"\.md$", "").alias("market"), F.explode("nums").alias("n"))
+    return n.select("market", F.col("n.value").alias("value"), F.col("n.kind").alias("kind"), F.col("n.decimals").alias("decimals"))
+
+
+@query("source_band_join", """
+select c_custkey, s_suppkey from {customer} join {supplier} on abs(s_acctbal - round(c_acctbal, 0)) <= 0.5 * 1.0001 + 1e-9 * greatest(1, abs(round(c_acctbal, 0)))""")
+def _source_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "customer").select("c_custkey", F.round("c_acctbal", 0).alias("target")).withColumn("tol", source_check.band(F.lit(0), F.col("target")))
+    held = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("value"))
+    return source_check.band_join(wanted, held).select("c_custkey", "s_suppkey")
+
+
+def _claims_and_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    data = generated(spark, sf_dir, TOTALS).drop("k")
+    docs = generated(spark, sf_dir, CLAIMS).select(F.concat("rel", F.lit("/"), "market").alias("rel"), "text")
+    return extract_claims(split_documents(docs)), values.index_table(data, "data/market_totals.csv", "market"), values.file_info(data, "data/market_totals.csv")
+
+
+_STATUS = f"""
+with t as ({TOTALS}), v as (select cast(account_total as double) as v from t union all select avg(cast(account_total as double)) from t union all select median(cast(account_total as double)) from t
+union all select sum(cast(account_total as double)) from t union all select stddev_samp(cast(account_total as double)) from t union all select cast(customer_count as double) from t),
+c as (select market, k, cast(account_total as double) + case when k % 5 = 0 then 1234567.89 else 0 end as stated from t)
+select market, case when exists (select 1 from v where abs(v - stated) <= 0.005 * 1.0001 + 1e-9 * greatest(1, abs(stated))) then 'VERIFIED' else 'FLAGGED' end as status from c"""
+
+
+@query("source_verdicts", _STATUS)
+def _source_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = source_check.check_sources(*_claims_and_index(spark, sf_dir))
+    return found.select(F.element_at(F.split("file", "/"), -1).alias("market"), "status")
+
+
+@query("nearest_two", f"""
+with t as ({TOTALS}), c as (select market, cast(account_total as double) + 1234567.89 as stated from t where k % 5 = 0), n as (select c.market, t.market as near_market, row_number() over (partition by c.market order by abs(cast(account_total as double) - stated), cast(account_total as double)) as place
+from c, t) select market, near_market, place from n where place <= 2""")
+def _nearest_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims, index, files = _claims_and_index(spark, sf_dir)
+    cells = index.where(F.startswith("where", F.lit("account_total [")))
+    refs = source_check.referenced_files(claims, files)
+    flagged = source_check.number_verdicts(claims, cells, refs).where("status = 'FLAGGED'")
+    near = source_check.nearest_two(flagged, refs, cells).join(claims.select("claim_id", "rel"), "claim_id")
+    return near.select(F.element_at(F.split("rel", "/"), -1).alias("market"), F.regexp_extract("near_where", r"\[(.*)\]", 1).alias("near_market"), "place")
+
+
+# ---------------------------------------------------------------- consistency
+STATED = f"""
+select concat(f, '/', cast(c_custkey as string), '.md') as rel, c_custkey, f, concat('Group ', w, 'qa ', w, 'zo ', w, 'vu counted ', cast(1000 + c_custkey % 700 + case when f = 'b' and c_custkey % 4 = 0 then 7 else 0 end as string), ' orders.') as text
+from (select c_custkey, {_word("c_custkey")} as w, f from {{customer}} cross join (select 'a' as f union all select 'b') x) y"""
+
+
+@query("consistency_pairs", "select c_custkey, 1.0::double as similarity from {customer}")
+def _consistency_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = consistency.similar_claims(extract_claims(split_documents(generated(spark, sf_dir, STATED))))
+    return pairs.select(F.regexp_extract("a_rel", r"(\d+)\.md", 1).cast("long").alias("c_custkey"), "similarity")
+
+
+@query("consistency_mismatch", """
+select concat('a/', c_custkey, '.md') as file, 1 as line, concat('says ', 1000 + c_custkey % 700, ', but b/', c_custkey, '.md:1 says ', 1007 + c_custkey % 700, ' in a similar sentence') as message from {customer} where c_custkey % 4 = 0
+and not (1000 + c_custkey % 700 between 1900 and 2100 or 1007 + c_custkey % 700 between 1900 and 2100)""")
+def _consistency_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consistency.check_consistency(extract_claims(split_documents(generated(spark, sf_dir, STATED)))).select("file", "line", "message")
+
+
+# ---------------------------------------------------------------- registry
+TAGGED = """
+select concat('r/', cast(s_suppkey as string), '.md') as rel, s_suppkey, concat('The balance is ', cast(cast(s_acctbal + case s_suppkey % 6 when 1 then 3 else 0 end as decimal(18, 1)) as string), '<!-- claim: bal_', cast(s_suppkey as string), ' = ',
+cast(cast(s_acctbal + case s_suppkey % 6 when 2 then 5 else 0 end as decimal(18, 2)) as string), ' -->.', case s_suppkey % 6 when 5 then '\n<!-- claim: broken -->' else '' end) as text from {supplier}"""
+ENTRIES = """
+select concat('bal_', cast(s_suppkey as string)) as label, cast(cast(s_acctbal as decimal(18, 2)) as string) as value, cast(null as string) as tolerance, '' as how from {supplier} where s_suppkey % 6 <> 3
+union all select concat('bal_', cast(s_suppkey as string)), '1', null, '' from {supplier} where s_suppkey % 6 = 4 union all select concat('spare_', cast(n_nationkey as string)), '1.5', null, '' from {nation}"""
+
+
+@query("registry_verdicts", """
+select concat('r/', s_suppkey, '.md') as rel, 1 as line, case s_suppkey % 6 when 1 then 'prose differs' when 2 then 'prose differs' when 3 then 'missing' when 4 then 'unusable entry' else 'matches' end as rule from {supplier}
+union all select concat('r/', s_suppkey, '.md'), 2, 'unread tag' from {supplier} where s_suppkey % 6 = 5""")
+def _registry_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = registry.find_tags(generated(spark, sf_dir, TAGGED))
+    return registry.judge_tags(tags, generated(spark, sf_dir, ENTRIES)).select("rel", "line", "rule")
+
+
+@query("registry_unused", "select concat('spare_', n_nationkey) as label from {nation}")
+def _registry_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.unused_entries(registry.find_tags(generated(spark, sf_dir, TAGGED)), generated(spark, sf_dir, ENTRIES))
+
+
+@query("registry_summary", """
+select 'registry' as check, count(*) filter (s_suppkey % 6 in (0, 5)) as verified, count(*) filter (s_suppkey % 6 in (1, 2, 3)) as flagged,
+count(*) filter (s_suppkey % 6 = 5) + 2 * count(*) filter (s_suppkey % 6 = 4) + (select count(*) from {nation}) as unverifiable from {supplier}""")
+def _registry_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.summary(registry.check_registry(generated(spark, sf_dir, TAGGED), generated(spark, sf_dir, ENTRIES), "claims.csv"), ["registry"])
+
+
+# ---------------------------------------------------------------- arithmetic
+COMPARED = """
+select concat('m/', cast(o_orderkey as string), '.md') as rel, o_orderkey, concat('The rate went from ', cast(a as string), '.0 to ', cast(a + d as string), '.0, a gain of ', cast(d + case when o_orderkey % 7 = 0 then 2 else 0 end as string), '.0 points.') as text
+from (select o_orderkey, 20 + o_orderkey % 40 as a, 3 + o_orderkey % 11 as d from {orders}) t"""
+COMPARED_RELATIVE = """
+select concat('m/', cast(p_partkey as string), '.md') as rel, p_partkey, concat('Accuracy reaches ', cast(a as string), '.0 versus ', cast(a * 2 as string), '.0, a ', cast(case when p_partkey % 9 = 0 then 13 when p_partkey % 2 = 0 then 50 else 100 end as string), '% relative improvement.') as text
+from (select p_partkey, 15 + p_partkey % 20 as a from {part}) t"""
+
+
+@query("benchmark_absolute", "select concat('m/', o_orderkey, '.md') as file, case when o_orderkey % 7 = 0 then 'FLAGGED' else 'VERIFIED' end as status from {orders}")
+def _benchmark_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arithmetic.check_benchmarks(split_documents(generated(spark, sf_dir, COMPARED))).select("file", "status")
+
+
+@query("benchmark_relative", "select concat('m/', p_partkey, '.md') as file, case when p_partkey % 9 = 0 then 'FLAGGED' else 'VERIFIED' end as status from {part}")
+def _benchmark_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arithmetic.check_benchmarks(split_documents(generated(spark, sf_dir, COMPARED_RELATIVE))).select("file", "status")
+
+
+SEEDED = """
+select concat('s/', cast(p_partkey as string), '.md') as rel, p_partkey, concat('We ran over ', case when p_partkey % 5 = 0 then '4' else '3' end, ' seeds: ', cast(a as string), '.1, ', cast(a + 1 as string), '.1, ', cast(a + 2 as string), '.1, mean ',
+cast(a + case when p_partkey % 3 = 0 then 6 else 1 end as string), '.1 ± ', case when p_partkey % 4 = 0 then '9.0' else '1.0' end, '.') as text from (select p_partkey, 40 + p_partkey % 30 as a from {part}) t"""
+
+
+@query("seeds_rules", """
+select concat('s/', p_partkey, '.md') as file, 'mean' as rule, case when p_partkey % 3 = 0 then 'FLAGGED' else 'VERIFIED' end as status from {part}
+union all select concat('s/', p_partkey, '.md'), 'count', 'FLAGGED' from {part} where p_partkey % 5 = 0 union all select concat('s/', p_partkey, '.md'), 'spread', 'FLAGGED' from {part} where p_partkey % 4 = 0""")
+def _seeds_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arithmetic.find_seed_rows(split_documents(generated(spark, sf_dir, SEEDED))).select(F.col("rel").alias("file"), "rule", "status")
+
+
+@query("listed_statistics", """
+select l_orderkey, count(*) as n, round(avg(l_quantity), 6) as mean, round(stddev_samp(l_quantity), 6) as sd, round(stddev_pop(l_quantity), 6) as sd_population from {lineitem} group by l_orderkey having count(*) > 1""")
+def _listed_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity")
+    out = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(F.avg(q), 6).alias("mean"), F.round(F.stddev_samp(q), 6).alias("sd"), F.round(F.stddev_pop(q), 6).alias("sd_population"))
+    return out.where("n > 1")
+
+
+# ---------------------------------------------------------------- citations
+LINKED = """
+select concat('p/', cast(page_id % 20 as string), '.md') as rel, page_id % 20 as file_ord, concat('See ', url, '. Also arXiv:20', cast(10 + page_id % 12 as string), '.', cast(10000 + page_id % 60 as string), ' and 10.1234/x', cast(page_id % 30 as string), '.') as text from {pages}"""
+_FIRST = """
+with m as (select page_id % 20 as file_ord, 'url' as kind, regexp_replace(regexp_extract(url, 'https?://[^\\s"''<>{}|\\\\^`\\])]+'), '[.,;:]+$', '') as ident from {pages}
+union all select page_id % 20, 'arxiv', concat('20', 10 + page_id % 12, '.', 10000 + page_id % 60) from {pages} union all select page_id % 20, 'doi', concat('10.1234/x', page_id % 30) from {pages})
+select kind, ident, concat('p/', min(file_ord), '.md') as rel from m group by kind, ident"""
+
+
+@query("mention_first_seen", _FIRST.replace("{}|", "\x00|"))
+def _mention_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mentions.find_mentions(generated(spark, sf_dir, LINKED))
+    return mentions.first_seen(found, ["file_ord", "line", "kind_ord", "pos"]).select("kind", "ident", "rel")
+
+
+ORACLE_SQL["mention_first_seen"] = ORACLE_SQL["mention_first_seen"].replace("\x00", "{}")
+
+
+@query("mention_lookup", """
+with m as (select distinct 10 + page_id % 12 as y, 10000 + page_id % 60 as n from {pages})
+select concat('20', y, '.', n) as ident, case when n % 3 = 0 then 'FLAGGED' when n % 3 = 1 then 'VERIFIED' else 'UNVERIFIABLE' end as status from m""")
+def _mention_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mentions.first_seen(mentions.find_mentions(generated(spark, sf_dir, LINKED)), ["file_ord", "line", "kind_ord", "pos"]).where("kind = 'arxiv'")
+    tail = F.element_at(F.split("ident", r"\."), -1).cast("int")
+    records = found.select("kind", "ident", F.when(tail % 3 == 0, 404).when(tail % 3 == 1, 200).otherwise(403).alias("status_code"))
+    return mentions.look_up(found, records).select("ident", "status")
+
+
+@query("title_similarity", """
+with w as (select p_partkey, list_distinct(regexp_extract_all(regexp_replace(lower(p_name), '[^a-z ]', '', 'g'), '[a-z]{3,}')) as a, list_distinct(regexp_extract_all(regexp_replace(lower(concat(p_name, ' ', p_type)), '[^a-z ]', '', 'g'), '[a-z]{3,}')) as b from {part})
+select p_partkey, round(len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1), 6) as similarity from w""")
+def _title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = mentions.title_similarity(F.col("p_name"), F.concat("p_name", F.lit(" "), "p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(t, 6).alias("similarity"))
+
+
+# ---------------------------------------------------------------- passages
+_NORMAL = "trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+
+
+@query("quote_containment", f"""
+with b as (select item_id, {_NORMAL} as q from {{benchmark}}), d as (select doc_id, {_NORMAL} as t from {{documents}})
+select item_id as quote_id, doc_id as text_id from b, d where contains(' ' || t || ' ', ' ' || q || ' ')""")
+def _quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    return passages.contained_quotes(q, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text"))
+
+
+_TOKEN_SQL = "unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:-[a-z0-9]+)*'))"
+
+
+@query("term_absent", f"""
+with b as (select distinct {_TOKEN_SQL} as token from {{benchmark}}), d as (select distinct {_TOKEN_SQL} as token from {{conversations}}) select token from b where token not in (select token from d)""")
+def _term_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = passages.source_tokens(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ident"), "text"))
+    c = passages.source_tokens(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("ident"), "text"))
+    return passages.absent_terms(b.select("token").distinct(), c)
+
+
+@query("passage_topk", f"""
+with p as (select distinct doc_id as passage, {_TOKEN_SQL} as token from {{documents}}), c as (select distinct item_id as claim, {_TOKEN_SQL} as token from {{benchmark}}), n as (select count(distinct passage) as total from p),
+idf as (select token, ln(1 + total / count(*)) as idf from p, n group by token, total), s as (select claim, passage, sum(idf * idf) as score, count(*) as shared from c join p using (token) join idf using (token) group by claim, passage),
+r as (select *, row_number() over (partition by claim order by round(score, 9) desc, passage desc) as place from s) select claim, passage, round(score, 6) as score, shared, place from r where place <= 4""")
+def _passage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tok = lambda t, i, n: passages.source_tokens(table(spark, sf_dir, t).select(F.col(i).alias("ident"), "text")).select(F.col("ident").alias(n), "token")
+    best = passages.best_passages(tok("benchmark", "item_id", "claim"), tok("documents", "doc_id", "passage"))
+    return best.select("claim", "passage", F.round("score", 6).alias("score"), "shared", "place")
+
+
+# ---------------------------------------------------------------- reports
+HEADED = """
+select source as dir, case when doc_id % 3 = 0 then concat('---\n# Intro\n## Setup\n', left(text, 20)) else concat('# Part ', cast(doc_id % 9 as string), '\nText') end as text from {documents}"""
+
+
+@query("collected_dirs", """
+with d as (select source as dir, doc_id % 3 = 0 as front, case when doc_id % 3 = 0 then 'x' else cast(doc_id % 9 as varchar) end as shape from {documents}), s as (select dir, shape, count(*) as n from d group by dir, shape),
+f as (select dir, count(*) as files, count(*) filter (front) as frontmatter from d group by dir), r as (select dir, cast(sum(case when n > 1 then n else 0 end) as bigint) as repeated from s group by dir)
+select dir, files, frontmatter, repeated from f join r using (dir) where files >= 5 and (frontmatter >= 0.8 * files or (files >= 20 and repeated >= 0.2 * files))""")
+def _collected_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collected.collected_directories(generated(spark, sf_dir, HEADED))
+
+
+FOUND = """
+select case o_orderkey % 4 when 0 then 'overclaim' when 1 then 'benchmark' when 2 then 'source' else 'citation' end as check, case o_orderkey % 3 when 0 then 'FLAGGED' when 1 then 'VERIFIED' else 'UNVERIFIABLE' end as status,
+concat('f/', cast(o_custkey as string), '.md') as file, cast(o_orderkey % 50 as int) as line, concat('message ', cast(o_orderkey as string)) as message, '' as evidence from {orders}"""
+
+
+@query("findings_rank", f"""
+with f as ({FOUND}) select *, case "check" when 'benchmark' then 11 when 'source' then 15 when 'overclaim' then 50 else 35 end as priority from f where status = 'FLAGGED' order by priority, "check", file, line, message limit 25""")
+def _findings_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.top(generated(spark, sf_dir, FOUND), 25)
+
+
+@query("findings_summary", f"""
+with f as ({FOUND}), c as (select unnest(['overclaim', 'benchmark', 'source', 'citation', 'seeds']) as check)
+select c.check, count(*) filter (status = 'VERIFIED') as verified, count(*) filter (status = 'FLAGGED') as flagged, count(*) filter (status = 'UNVERIFIABLE') as unverifiable from c left join f on c.check = f.check group by c.check""")
+def _findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.summary(generated(spark, sf_dir, FOUND), ["overclaim", "benchmark", "source", "citation", "seeds"])
+
+
+@query("per_check_limit", f"""
+with f as ({FOUND}), r as (select *, row_number() over (partition by "check" order by case status when 'FLAGGED' then 0 when 'UNVERIFIABLE' then 1 else 2 end, file, line, message) as place, count(*) over (partition by "check") as total from f)
+select "check", status, file, line, message, place, total, greatest(total - 200, 0) as trimmed from r where place <= 200""")
+def _per_check_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.listed(generated(spark, sf_dir, FOUND), 200).drop("evidence")
