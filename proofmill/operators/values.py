@@ -92,3 +92,14 @@ def file_info(table: DataFrame, file: str) -> DataFrame:
     name = file.rsplit("/", 1)[-1].lower()
     one = table.sparkSession.range(1)
     return one.select(F.lit(file).alias("file"), F.lit(name).alias("name"), name_tokens(F.lit(file.rsplit("/", 1)[-1].rsplit(".", 1)[0])).alias("stem"), F.array(*map(F.lit, table.columns)).alias("headers"))
+
+
+def cell_number(x: object) -> float | None:
+    """A single data value as a finite number, as `number` reads a column."""
+    if isinstance(x, bool):
+        return float(x)
+    try:
+        v = float(str(x).strip().replace(",", "")) if str(x).strip().lower() not in ("true", "false") else float(str(x).strip().lower() == "true")
+    except ValueError:
+        return None
+    return v if v == v and abs(v) != float("inf") else None
