@@ -24,6 +24,8 @@ from .common import bounded_batches, held_out
 
 #: Characters counted at once.
 BLOCK = 1 << 18
+#: Marks the ends of words; no letter, and not 0, so that n-grams of different lengths differ.
+GAP = 1
 _letters: list[np.ndarray] = []
 
 
@@ -34,18 +36,18 @@ def _is_letter() -> np.ndarray:
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of a text (three code points of 21 bits, 0 outside words) in ascending order, and their counts."""
+    """The n-grams of a text (up to three code points of 21 bits, GAP between words) in ascending order, and their counts."""
     grams = np.empty(0, np.int64)
     counts = np.empty(0, np.int64)
     for at in range(0, len(text), BLOCK):
         code = np.frombuffer(text[at : at + BLOCK].lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         letter = _is_letter()[np.minimum(code, 0x2FFFF)]
-        code = np.where(letter, code, 0)
-        code = code[(code > 0) | np.concatenate([[True], code[:-1] > 0])]  # one mark between words
-        x = np.concatenate([[0], code, [0]])
+        code = np.where(letter, code, GAP)
+        code = code[(code > GAP) | np.concatenate([[True], code[:-1] > GAP])]  # one mark between words
+        x = np.concatenate([[GAP], code, [GAP]])
         one, two = x[1:-1], x[:-1] << 21 | x[1:]
         three = two[:-1] << 21 | x[2:]
-        made = np.concatenate([one[one > 0], two[two > 0], three[(three >> 21 & 0x1FFFFF) > 0]])
+        made = np.concatenate([one[one > GAP], two[two != (GAP << 21 | GAP)], three[one > GAP]])
         g, n = np.unique(made, return_counts=True)
         if len(grams):
             every, where = np.unique(np.concatenate([grams, g]), return_inverse=True)
