@@ -40,7 +40,7 @@ def test_audit(spark, folder):
     assert got["consistency", "FLAGGED"] == 1 and got["benchmark", "FLAGGED"] == 1 and got["seeds", "FLAGGED"] == 1 and got["overclaim", "FLAGGED"] == 1
     assert got["citation", "FLAGGED"] == 2 and got["registry", "VERIFIED"] == 1 and got["registry", "UNVERIFIABLE"] == 1
     verified = [r for r in rows if r.check == "source" and r.status == "VERIFIED"]
-    assert [r.message for r in verified] == ["The mean coverage of the scores is 90.3%."] and "mean x100" in verified[0].evidence
+    assert [r.message for r in verified] == ["The mean coverage of the scores is 90.3%."] and "coverage [m3] = 0.903" in verified[0].evidence
     assert not any("node_modules" in r.file for r in rows)
 
 
