@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import arithmetic, citation, collected, consistency, findings, overclaim, registry, source_check, values
+from ..operators import arithmetic, citation, collected, consistency, findings, json_index, overclaim, registry, source_check, values
 from ..operators.sentences import extract_claims, split_documents
 from ..sources import files as sources
 
@@ -41,13 +43,12 @@ def audit(spark: SparkSession, root: str, only: list[str] | None = None, records
         if "source" in wanted:
             names = [r.rel for r in listed.where("kind = 'data'").select("rel").orderBy("ord").collect() if r.rel.lower().endswith(".csv")]
             tables = {n: sources.read_csv(spark, f"{root.rstrip('/')}/{n}") for n in names}
-            indexed = [values.index_table(t, n, next((c for c, k in t.dtypes), None)) for n, t in tables.items() if t.columns]
+            indexed = [values.index_table(t, n, next((c for c, _ in t.dtypes), None)) for n, t in tables.items() if t.columns]
             known = [values.file_info(t, n) for n, t in tables.items() if t.columns]
-            if indexed:
-                index, info = indexed[0], known[0]
-                for x, y in zip(indexed[1:], known[1:], strict=True):
-                    index, info = index.unionByName(x), info.unionByName(y)
-                parts.append(source_check.check_sources(claims, index, info))
+            walked = json_index.walk_json(listed.where("kind = 'data' and lower(rel) like '%.json'").where(~F.col("rel").isin(REGISTRY_NAMES) & (F.col("length") <= sources.MOST_BYTES)).select(F.col("rel").alias("file"), F.decode("content", "UTF-8").alias("text"))).cache()
+            index, info = reduce(DataFrame.unionByName, [*indexed, json_index.index_json(walked)]), reduce(DataFrame.unionByName, [*known, json_index.json_info(walked)])
+            parts.append(source_check.check_sources(claims, index, info))
+            parts.append(findings.findings(walked.where("cut"), "scan", findings.UNVERIFIABLE, "file", 0, F.lit("is deeper or wider than the walk's budget, so some values in it were not indexed")))
         if "consistency" in wanted:
             parts.append(consistency.check_consistency(claims))
     if "citation" in wanted:

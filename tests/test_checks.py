@@ -29,6 +29,8 @@ def folder(tmp_path):
     (tmp_path / "paper" / "main.tex").write_text("\\documentclass{x}\nNobody tuned this. Over 3 seeds: 91.2, 90.8, 91.5, mean 95.0 ± 0.35.\n")
     (tmp_path / "paper" / "refs.bib").write_text("@article{k,\n author = {Doe, Jane and Roe, Max},\n title = {A Study of Things},\n eprint = {2001.00002},\n year = 2020\n}\n")
     (tmp_path / "data" / "scores.csv").write_text("model,coverage\nm1,0.912\nm2,0.894\nm3,0.903\n")
+    (tmp_path / "data" / "pooled_runs.json").write_text('{"recall": {"final": 0.8125, "runs": [0.80, 0.82]}, "items": ["x", "y"]}')
+    (tmp_path / "c.md").write_text("The final recall of the pooled runs was 0.8125.")
     (tmp_path / "claims.csv").write_text("label,value,tolerance\nm,0.7545,\nspare,1,\n")
     return tmp_path
 
@@ -40,7 +42,8 @@ def test_audit(spark, folder):
     assert got["consistency", "FLAGGED"] == 1 and got["benchmark", "FLAGGED"] == 1 and got["seeds", "FLAGGED"] == 1 and got["overclaim", "FLAGGED"] == 1
     assert got["citation", "FLAGGED"] == 2 and got["registry", "VERIFIED"] == 1 and got["registry", "UNVERIFIABLE"] == 1
     verified = [r for r in rows if r.check == "source" and r.status == "VERIFIED"]
-    assert [r.message for r in verified] == ["The mean coverage of the scores is 90.3%."] and "coverage [m3] = 0.903" in verified[0].evidence
+    assert sorted(r.message for r in verified) == ["The final recall of the pooled runs was 0.8125.", "The mean coverage of the scores is 90.3%."]
+    assert any("coverage [m3] = 0.903" in r.evidence for r in verified) and any("recall.final = 0.8125" in r.evidence for r in verified)
     assert not any("node_modules" in r.file for r in rows)
 
 
