@@ -99,17 +99,17 @@ def discover(found: DataFrame, scratch: Scratch, rounds: int, accept: float, sup
     return tokens.where(~F.col("seed")).join(new, "instance", "left_semi").groupBy("__key").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end")).cast(SPANS).alias("__more"))
 
 
-def _all(docs: DataFrame, text_col: str, others: list[Column], rounds: int, accept: float, support: int, digits: int) -> DataFrame:
-    scratch = Scratch(docs.sparkSession, "pii")
-    found = scratch.write(_found(docs, text_col, others), "found")
-    more = discover(found, scratch, rounds, accept, support, digits).withColumnRenamed("__key", "__k")
-    out = found.join(more, F.col("__key") == F.col("__k"), "left").drop("__k")
+def _with_more(found: DataFrame, more: DataFrame) -> DataFrame:
+    """found with the places of new identifiers. more is a written table of the few texts that have some: its size is known, so the join broadcasts it only where it is small."""
+    out = found.join(more.withColumnRenamed("__key", "__k"), F.col("__key") == F.col("__k"), "left").drop("__k")
     return out.withColumn("__more", F.coalesce("__more", F.array().cast(SPANS)))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, accept: float = 0.9, support: int = 4, digits: int = 7) -> DataFrame:
     """Columns id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context: one row per input row."""
-    out = _all(docs, text_col, [F.col(id_col).alias("id")], rounds, accept, support, digits)
+    scratch = Scratch(docs.sparkSession, "pii")
+    found = scratch.write(_found(docs, text_col, [F.col(id_col).alias("id")]), "found")
+    out = _with_more(found, scratch.write(discover(found, scratch, rounds, accept, support, digits), "more"))
     return out.select(
         F.col("id").alias(id_col), *(counted("__base", i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])),
         F.sha2(joined(F.col("__base"), KINDS), 256).alias("base_sha256"), joined(F.concat("__base", "__more"), KINDS).alias("spans"), F.size("__more").cast("long").alias("n_context"),
@@ -119,7 +119,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
 def mask_pii(docs: DataFrame, text_col: str = "text", rounds: int = 2, accept: float = 0.9, support: int = 4, digits: int = 7) -> DataFrame:
     """The rows of docs with all their columns; in text_col every span is its kind in brackets, overlapping spans the first one's."""
     names = docs.columns
-    out = _all(docs, text_col, [F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")], rounds, accept, support, digits)
+    scratch = Scratch(docs.sparkSession, "pii")
+    # Texts are never set aside: the patterns run once for the bootstrap and once more where the texts are masked.
+    more = scratch.write(discover(scratch.write(_found(docs, text_col, []), "found"), scratch, rounds, accept, support, digits), "more")
+    out = _with_more(_found(docs, text_col, [F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")]).drop("__tokens"), more)
     begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("from"), F.lit(None).cast("int").alias("kind"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
     # Overlapping spans are merged: each merged span replaces the last one of the list while it grows.
     merged = F.aggregate(
