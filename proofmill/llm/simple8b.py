@@ -22,13 +22,20 @@ def encode(values: np.ndarray) -> np.ndarray:
     if not n:
         return np.empty(0, np.uint64)
     padded = np.concatenate([v, np.zeros(240, np.uint64)])
-    choice = np.full(n, ESCAPE, np.int64)
-    for s in range(len(SLOTS) - 1, -1, -1):
+    small = padded.astype(np.uint32) if v.max() < 1 << 30 else None
+    choice = np.full(n, ESCAPE, np.int8)
+    # From the widest slots that some value needs to the narrowest: the last that fits holds the most integers.
+    most = int(v.max()).bit_length()
+    enough = next((s for s, (_, bits) in enumerate(SLOTS) if bits >= most), len(SLOTS) - 1)
+    over = np.zeros(n + 241, np.int32)
+    for s in range(enough, -1, -1):
         count, bits = SLOTS[s]
-        over = np.concatenate([[0], np.cumsum(padded >> np.uint64(bits) != 0)])
-        fits = over[count : count + n] == over[:n]
+        if bits >= most:
+            choice[:] = s
+            continue
+        np.cumsum(small > (1 << bits) - 1 if small is not None else padded >> np.uint64(bits) != 0, dtype=np.int32, out=over[1:])
         # A run that reaches past the end is padding; it may only be chosen as the last word, where it costs nothing.
-        choice[fits] = s
+        choice[over[count : count + n] == over[:n]] = s
     step = _COUNTS[choice].tolist()
     at, i = [], 0
     while i < n:

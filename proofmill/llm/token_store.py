@@ -4,7 +4,7 @@ The file format is a folder of Parquet files whose rows are segments, written by
 it works on any store and survives lost or repeated tasks. A segment holds whole documents (about
 65,536 ids, more only if one document has more): their ids and token counts, the segment's start within its
 part, its dictionary (the distinct token ids, most frequent first), and the ranks in that dictionary, Simple-8b
-coded in blocks of 4,096 with the word offset of each block, so that any block decodes alone and
+coded in blocks of 8,192 with the word offset of each block, so that any block decodes alone and
 vectorised. Parts are ranges of doc_id in ascending order; the ids before each part are sums over parts.
 
 Encoding is that of the tokenizers library. Its pre-tokeniser never joins characters across white space, so
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, bounded_batches
 from .simple8b import decode, encode
 
-SEGMENT, BLOCK = 65_536, 4_096
+SEGMENT, BLOCK = 65_536, 8_192
 #: Words cached in a worker (two generations of so many), and the longest that is.
 CACHE, LONGEST = 250_000, 48
 SCHEMA = "part int, seq int, start long, doc_ids array<long>, counts array<int>, dictionary binary, offsets binary, words binary"
@@ -57,13 +58,19 @@ class WordEncoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _model(self, pieces: list[str]) -> list[int]:
+        return [t.id for piece in pieces for t in self.model.tokenize(piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()]))]
+
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(text) and "<|" not in text:
-            ids = [t.id for piece in _PIECES.findall(text.lower()) for t in self.model.tokenize("".join([self.letters[b] for b in piece.encode()]))]
+        low = text.lower()
+        if low.isascii() and low.isalpha():
+            ids = self._model([low])
+        elif _PLAIN.fullmatch(text) and "<|" not in text:
+            ids = self._model(_PIECES.findall(low))
         else:
             ids = self.whole.encode(text, add_special_tokens=False).ids
-        return np.array(ids, np.uint32).tobytes()
+        return array("I", ids).tobytes()
 
     def ids(self, text: str | None) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
@@ -93,13 +100,16 @@ def encoder(path: str) -> WordEncoder:
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """Dictionary, block offsets and words of a segment's ids."""
-    distinct, where, n = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-n, kind="stable")
-    rank = np.empty(len(order), np.uint64)
-    rank[order] = np.arange(len(order), dtype=np.uint64)
-    blocks = [encode(rank[where[i : i + BLOCK]]) for i in range(0, len(ids), BLOCK)]
+    # Token ids are below a vocabulary's size, so they are counted in a table.
+    n = np.bincount(ids)
+    distinct = np.flatnonzero(n)
+    distinct = distinct[np.argsort(-n[distinct], kind="stable")]
+    rank = np.zeros(len(n), np.uint64)
+    rank[distinct] = np.arange(len(distinct), dtype=np.uint64)
+    codes = rank[ids]
+    blocks = [encode(codes[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
     offsets = np.cumsum([0] + [len(b) for b in blocks], dtype=np.uint32)
-    return distinct[order].astype("<u4").tobytes(), offsets.astype("<u4").tobytes(), np.concatenate(blocks).astype("<u8").tobytes()
+    return distinct.astype("<u4").tobytes(), offsets.astype("<u4").tobytes(), np.concatenate(blocks).astype("<u8").tobytes()
 
 
 def unpack(dictionary: bytes, offsets: bytes, words: bytes, count: int) -> np.ndarray:
