@@ -2,10 +2,10 @@
 
 Unit vectors are cut into two halves, and a codebook of k words is fitted to each half on a bounded
 sample; a vector's cell in the k x k grid is the pair of its nearest words. Every vector is a query: its cells
-are visited in the order of their summed distances (multi-sequence order) until no further cell can hold
-a vector at the wanted cosine. That bound is the distance from the query's half to the half-space of the
-word (and to the ball of its members), so recall is 1 whatever the codebooks are; a target recall below 1
-stops earlier, after the share of cells in which that share of links was found on the sample.
+are visited in the order of their summed distances (multi-sequence order) until the target recall is reached. The
+stop is a margin over the nearest cell's distance, calibrated on the sample: the share of partners at exactly the
+wanted cosine, drawn around sampled vectors, and of the links within the sample, whose cells lie within the
+margin. Cells whose half-spaces are too far away to hold a partner at all are left out; with recall 1 that bound alone stops the traversal.
 
 Visits are verified exactly in double precision, in blocks: a cell's vectors and its visitors are dealt into
 chunks of bounded size, so a cell that holds a third of all rows is many tasks, and each pair of chunks
@@ -82,7 +82,7 @@ def _forest(link: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.nd
     return np.concatenate([rows, cols]), np.concatenate([a, b])
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, recall: float = 1.0, words: int = 32, sample: int = 8192, block: int = 512, seed: int = 7) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, recall: float = 0.9995, words: int = 32, sample: int = 8192, block: int = 512, seed: int = 7) -> DataFrame:
     """Columns id_col, n_links, component_id, kept: one row per input row. Codebooks are fitted on at most `sample` rows."""
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -101,35 +101,45 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     reach = 2 - 2 * cosine + SLACK
     wide = len(books[1])
 
-    def cells(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """Own cell, the cells to visit nearest first, and the squared distances by cell."""
+    def cells(x: np.ndarray, margin: float) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Own cell, the cells to visit nearest first, and what each cell is farther than the nearest."""
         n1, d1, l1 = _half(x[:, :cut], books[0])
         n2, d2, l2 = _half(x[:, cut:], books[1])
         low = (l1 * l1)[:, :, None] + (l2 * l2)[:, None, :]
-        far = d1[:, :, None] + d2[:, None, :]
+        far = (d1[:, :, None] + d2[:, None, :]).reshape(len(x), -1)
+        far -= far.min(axis=1)[:, None]
+        near = (low.reshape(len(x), -1) <= reach) & (far <= margin)
         visit = []
         for i in range(len(x)):
-            open_cells = np.flatnonzero(low[i].ravel() <= reach)
-            visit.append(open_cells[np.argsort(far[i].ravel()[open_cells], kind="stable")])
+            open_cells = np.flatnonzero(near[i])
+            visit.append(open_cells[np.argsort(far[i][open_cells], kind="stable")])
         return n1 * wide + n2, visit, far
 
-    most = len(books[0]) * wide
+    margin = np.inf
     if recall < 1:
-        own, visit, _ = zip(*(cells(fit[i : i + 256]) for i in range(0, len(fit), 256)), strict=True)
-        own, visit, ranks = np.concatenate(own), [v for part in visit for v in part], []
+        r = np.random.default_rng(seed + 2)
+        own = np.concatenate([cells(fit[i : i + 256], 0.0)[0] for i in range(0, len(fit), 256)])
+        excess = []
         for i in range(0, len(fit), 256):
-            for a, b in zip(*np.nonzero(fit[i : i + 256] @ fit.T >= cosine), strict=True):
-                if a + i != b:
-                    ranks.append(int(np.flatnonzero(visit[a + i] == own[b])[0]) + 1)
-        most = max(1, int(np.quantile(ranks, recall, method="higher"))) if ranks else most
+            x = fit[i : i + 256]
+            far = cells(x, 0.0)[2]
+            u = r.normal(size=x.shape)
+            u -= (u * x).sum(1)[:, None] * x
+            u /= np.maximum(np.sqrt((u * u).sum(1)), 1e-12)[:, None]
+            drawn_own = cells(cosine * x + np.sqrt(max(0.0, 1 - cosine**2)) * u, 0.0)[0]
+            excess.append(far[np.arange(len(x)), drawn_own])
+            a, b = np.nonzero(x @ fit.T >= cosine)
+            excess.append(far[a, own[b]])
+        # Own pairs are among the links, at no distance; the drawn partners alone set a floor.
+        margin = float(max(np.quantile(np.concatenate(excess), recall), np.quantile(np.concatenate(excess[::2]), recall))) + SLACK
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, x = _unit(b, 1, dim)
             for i in range(0, len(at), 64):
-                own, visit, _ = cells(x[i : i + 64])
+                own, visit, _ = cells(x[i : i + 64], margin)
                 part = b.column(0).take(pa.array(at[i : i + 64]))
-                yield pa.record_batch([part, pa.array(own, pa.int64()), pa.array([v[:most] for v in visit], pa.list_(pa.int64())), pa.array([r.tobytes() for r in x[i : i + 64]], pa.binary())], ["id", "cell", "visit", "v"])
+                yield pa.record_batch([part, pa.array(own, pa.int64()), pa.array(visit, pa.list_(pa.int64())), pa.array([r.tobytes() for r in x[i : i + 64]], pa.binary())], ["id", "cell", "visit", "v"])
 
     single = base.where("id is not null").groupBy("id").agg(F.min("v").alias("v"))
     indexed = scratch.write(single.mapInArrow(index, "id long, cell long, visit array<long>, v binary"), "indexed")
