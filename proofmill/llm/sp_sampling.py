@@ -48,6 +48,10 @@ class Vocabulary:
         plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.pieces = [sp.id_to_piece(i) for i in range(size)]
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(size) if sp.is_byte(i)}
+        # What each id stands for in a text, as bytes.
+        self.raw = [p.replace(MARK, " ").encode() for p in self.pieces]
+        for b, i in self.bytes.items():
+            self.raw[i] = bytes([b])
         assert not any(re.search(f"[^{MARK}]{MARK}", self.pieces[i]) or "\n" in self.pieces[i] for i in plain), "a piece crosses words"
         self.weight = np.full(size, -theta * np.log(size + 2.0))
         for i in plain:
@@ -283,12 +287,7 @@ def ids_of(raw: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
 
 def decode_ids(ids: np.ndarray, vocabulary: Vocabulary) -> str:
     """Text of piece ids: bytes are put together, marks become blanks, the first blank goes."""
-    values = {i: b for b, i in vocabulary.bytes.items()}
-    listed = ids.tolist()
-    if values.keys().isdisjoint(listed):
-        return "".join([vocabulary.pieces[i] for i in listed]).replace(MARK, " ")[1:]
-    out = b"".join(bytes([values[i]]) if i in values else vocabulary.pieces[i].replace(MARK, " ").encode() for i in listed)
-    return out.decode("utf-8", "replace")[1:]
+    return b"".join(map(vocabulary.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
 def sample_segmentations(docs: DataFrame, model: str, k: int = 2, theta: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", group: int = 96) -> DataFrame:
