@@ -1,7 +1,8 @@
 """Licence scans: a trained paragraph classifier whose predictions templates confirm.
 
-A paragraph is a line, or a window of 48 words (half overlapping) of a longer one. Its words (lower case, without
-ASCII punctuation) give 1- to 3-grams; those that occur in licence templates are the features of a sparse
+A paragraph is the text between blank lines, line ends being white space, so that hard-wrapped notices are whole; a longer
+one is cut into windows of 48 words (half overlapping). The lines of a paragraph are scanned on their own too, so that short notices
+on adjacent lines do not blur one another. Its words (lower case, without ASCII punctuation) give 1- to 3-grams; those that occur in licence templates are the features of a sparse
 multinomial logistic regression over the licence families and a class `unknown`. It is trained here: positives
 are the templates' notices with words dropped, replaced, cropped and set in other text, negatives are
 paragraphs of the corpus (those of at most `sample` documents, smallest hashes first) and shuffled template
@@ -9,6 +10,8 @@ words. The probabilities are calibrated by a temperature fitted on paragraphs he
 unknown class by the least threshold that lets none of the held-out negatives pass. A prediction
 counts only if the paragraph holds at least `confirm` of the word n-grams of one of that family's notices.
 
+A window of several lines is left out if a line in it gives the same family with no smaller share.
+
 Scoring is one pass over whole texts. A paragraph without any template n-gram has the bias's score, which is unknown.
 
 Defined results: null or blank texts have no licence. Repeated rows are scored alike. An empty table trains on the
@@ -17,6 +20,7 @@ templates and shuffled words alone.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,7 +108,7 @@ class LicenceModel:
                     cut = int(r.integers(0, len(kept) // 4 + 1))
                     kept = kept[cut:] if r.random() < 0.5 else kept[: len(kept) - cut]
                 if c % 2:
-                    pick = lambda: [filler[i] for i in r.integers(0, len(filler), int(r.integers(0, 16)))]
+                    pick = lambda: [filler[i] for i in r.integers(0, len(filler), int(r.integers(0, HALF + 1)))]
                     kept = pick() + kept + pick()
                 texts.append(b" ".join(kept)), labels.append(label)
         shuffled = [b" ".join(every[i] for i in r.integers(0, len(every), int(r.integers(3, 40)))) for _ in range(600)]
@@ -140,7 +144,7 @@ class LicenceModel:
         return self
 
     def scan(self, texts: list[str | None], confirm: float) -> list[list[tuple[str, float, float, int, int]]]:
-        """For each text (family, probability, share of the notice, first line's or window's word, its words), in order."""
+        """For each text (family, probability, share of the notice, first word of the window, its words), in order."""
         lines, owner = [], []
         for i, t in enumerate(texts):
             if t:
@@ -152,24 +156,41 @@ class LicenceModel:
             return out
         h, at = word_hashes([_plain(x) for x in lines])
         owner, n = np.array(owner), np.diff(at)
-        line = np.repeat(np.arange(len(lines)), n)
-        windows = np.maximum(1, -(-n // HALF) - 1)  # of a line: window w covers its words from w * HALF
+        hits = [(k, *self.lookup(shingles(h, k))) for k in (1, 2, 3) if len(h) >= k]
+        base = np.concatenate([[0], np.cumsum(np.bincount(owner, n, minlength=len(texts)))]).astype(np.int64)
+        opens = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]) | np.array([not x.strip() for x in lines]))
+        several = np.add.reduceat((n > 0).astype(np.int64), opens) > 1
+        alone: dict[tuple[int, str], list[tuple[int, int, float]]] = {}
+        for begin, words, family, prob, share in self._windows(hits, at, np.ones(len(n), bool), confirm):
+            text = int(np.searchsorted(base, begin, side="right")) - 1
+            out[text].append((family, prob, share, begin - int(base[text]), words))
+            alone.setdefault((text, family), []).append((begin, words, share))
+        for begin, words, family, prob, share in self._windows(hits, np.concatenate([at[opens], at[-1:]]), several, confirm):
+            text = int(np.searchsorted(base, begin, side="right")) - 1
+            near = alone.get((text, family), [])
+            near = near[bisect_left(near, (begin,)) : bisect_left(near, (begin + words,))]
+            if not any(a + w <= begin + words and s >= share for a, w, s in near):
+                out[text].append((family, prob, share, begin - int(base[text]), words))
+        return [sorted(x, key=lambda f: (f[3], f[4])) for x in out]
+
+    def _windows(self, hits: list[tuple[int, np.ndarray, np.ndarray]], at: np.ndarray, taken: np.ndarray, confirm: float) -> Iterator[tuple[int, int, str, float, float]]:
+        """(first word, words, family, probability, share) of the confirmed windows of the taken parts, which begin at the words `at`."""
+        n = np.diff(at)
+        of = np.repeat(np.arange(len(n)), n)
+        windows = np.maximum(1, -(-n // HALF) - 1)  # of a part: window w covers its words from w * HALF
         first = np.concatenate([[0], np.cumsum(windows)])
         keys = []
-        for k in (1, 2, 3):
-            if len(h) < k:
-                break
-            hit, feature = self.lookup(shingles(h, k))
-            whole = line[hit] == line[np.minimum(hit + k - 1, len(line) - 1)]
+        for k, hit, feature in hits:
+            whole = (of[hit] == of[np.minimum(hit + k - 1, len(of) - 1)]) & taken[of[hit]]
             hit, feature = hit[whole], feature[whole]
-            place = hit - at[line[hit]]
+            place = hit - at[of[hit]]
             for back in (0, 1):  # a word's own stride, and the one before it
                 w = place // HALF - back
-                inside = (w >= 0) & (w < windows[line[hit]]) & (place + k <= (w + 2) * HALF)
-                keys.append((first[line[hit]] + w)[inside] * len(self.features) + feature[inside])
+                inside = (w >= 0) & (w < windows[of[hit]]) & (place + k <= (w + 2) * HALF)
+                keys.append((first[of[hit]] + w)[inside] * len(self.features) + feature[inside])
         keys = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
         if not len(keys):
-            return out
+            return
         window, feature = keys // len(self.features), keys % len(self.features)
         starts = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
         z = np.add.reduceat(self.weight[feature], starts, axis=0) + self.bias
@@ -177,23 +198,20 @@ class LicenceModel:
         label = p[:, 1:].argmax(axis=1) + 1
         prob = p[np.arange(len(p)), label]
         ends = np.concatenate([starts[1:], [len(keys)]])
-        base = np.concatenate([[0], np.cumsum(np.bincount(owner, n, minlength=len(texts)))]).astype(np.int64)
         for i in np.flatnonzero((prob >= self.threshold) & (p[:, 0] < 1 - self.threshold)):
             mine = np.flatnonzero(self.of == label[i])
             share = float((self.notice[np.ix_(mine, feature[starts[i] : ends[i]])].sum(1) / self.size[mine]).max())
             if share >= confirm:
                 w = int(window[starts[i]])
-                at_line = int(np.searchsorted(first, w, side="right")) - 1
-                begin = int(at[at_line] + (w - first[at_line]) * HALF)
-                text = int(owner[at_line])
-                out[text].append((self.families[label[i]], float(prob[i]), share, begin - int(base[text]), int(min(2 * HALF, at[at_line + 1] - begin))))
-        return out
+                part = int(np.searchsorted(first, w, side="right")) - 1
+                begin = int(at[part] + (w - first[part]) * HALF)
+                yield begin, int(min(2 * HALF, at[part + 1] - begin)), self.families[label[i]], float(prob[i]), share
 
 
 def learn_licences(docs: DataFrame, text_col: str = "text", sample: int = 400, passages: int = 3000) -> LicenceModel:
     """Fit on the templates, with at most `passages` paragraphs of at most `sample` documents as negatives."""
     chosen = docs.select(F.col(text_col).cast("string").alias("text")).where("length(text) > 0").orderBy(F.xxhash64("text"), "text").limit(sample)
-    lines = chosen.select(F.explode(F.split("text", "\n")).alias("line")).where("length(line) > 0").orderBy(F.xxhash64("line"), "line").limit(passages)
+    lines = chosen.select(F.explode(F.array_union(F.split("text", "\n"), F.split("text", r"\n\s*\n"))).alias("line")).where("length(line) > 0").orderBy(F.xxhash64("line"), "line").limit(passages)
     parts = [b" ".join(words[i : i + 2 * HALF]) for r in lines.collect() for words in [_plain(r.line).split()] for i in range(0, len(words), 2 * HALF)]
     return LicenceModel().fit(parts[:passages])
 

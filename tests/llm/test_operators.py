@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -135,6 +136,27 @@ def test_licences(spark, docs):
     assert license_scan.scan_licences(empty(spark), license_scan.learn_licences(empty(spark))).count() == 0
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "gpl": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+}
+
+
+@pytest.mark.parametrize(("width", "mark", "end"), [(72, "", "\n"), (76, " * ", "\n"), (70, "# ", "\r\n")])
+def test_wrapped_licences(spark, docs, width, mark, end):
+    m = license_scan.learn_licences(docs)
+    wrap = lambda t: end.join(mark + x for x in textwrap.wrap(t, width - len(mark)))
+    for family, notice in WRAPPED.items():
+        for lead in ("", "Copyright (c) 2019 Jane Roe" + end, "river stone " * 9 + end, "The file begins." + end + end):
+            found = m.scan([lead + wrap(notice) + end + end + "int main() { return 0; }"], 0.6)[0]
+            assert {f for f, *_ in found} == {family}, (family, lead)
+    # Notices on adjacent lines are all found, and a blank line keeps paragraphs apart.
+    assert {f for f, *_ in m.scan(["Released under the MIT License.\nLicensed under CC BY 4.0\nand other words"], 0.6)[0]} == {"mit", "cc-by"}
+    assert m.scan(["Released under\n \nthe MIT\n\nLicense"], 0.6) == [[]]
+
+
 # ---------------------------------------------------------------- 5 secrets
 KEY = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)
 
