@@ -13,7 +13,8 @@ Words are compared in lower case (A-Z) and without ASCII punctuation. The index
 shards and more passes, never a larger broadcast. Items of over 256 words are indexed in pieces of that length.
 
 Defined results: null or blank texts match nothing, and items without words are matched by nothing. Repeated rows
-match alike. With an empty benchmark nothing matches.
+match alike. An item is a distinct pair of id and text: items that share an id, or have none, are each matched and reported
+under that id (null where there is none); rows that repeat a pair count once. With an empty benchmark nothing matches.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, IntegralType, LongType
 
 from .common import bounded_batches
 from .hashing import word_hashes
@@ -160,11 +163,20 @@ class ItemIndex:
         return best
 
 
-def _shards(items: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> list[ItemIndex]:
-    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and length(trim(text)) > 0").groupBy("id").agg(F.min("text").alias("text"))
+def _item_ids(items: DataFrame, id_col: str) -> tuple[Column, DataType]:
+    """The ids as they are returned: whole numbers as long, others as they are."""
+    kind = items.schema[id_col].dataType
+    return (F.col(id_col).cast("long"), LongType()) if isinstance(kind, IntegralType) else (F.col(id_col), kind)
+
+
+def _shards(items: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> Iterator[tuple[ItemIndex, list]]:
+    """Indexes of the distinct pairs of id and text under numbers of their own, each with the ids of its numbers."""
+    rows = items.select(_item_ids(items, id_col)[0].alias("id"), F.col(text_col).cast("string").alias("text")).where("length(trim(text)) > 0").distinct()
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // shard_bytes))
-    return [ItemIndex([(r.id, r.text) for r in rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) == s).collect()]) for s in range(n)]
+    for s in range(n):
+        pairs = [(r.id, r.text) for r in rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == s).orderBy("id", "text").collect()]
+        yield ItemIndex(list(enumerate(text for _, text in pairs))), [i for i, _ in pairs]
 
 
 def _binary(column: pa.Array) -> list[bytes]:
@@ -172,30 +184,33 @@ def _binary(column: pa.Array) -> list[bytes]:
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", shard_bytes: int = 16 << 20) -> DataFrame:
-    """Columns id_col, item_col, score, question_overlap, answer_overlap: one row per row of docs and item that it holds."""
+    """Columns id_col, item_col, score, question_overlap, answer_overlap: one row per row of docs and item (distinct pair of id and text) that it holds."""
     spark = docs.sparkSession
     bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
+    item_kind = _item_ids(items, item_col)[1]
+    item_name, item_arrow = item_kind.simpleString(), to_arrow_type(item_kind)
 
-    def one(index: ItemIndex) -> DataFrame:
-        shared = spark.sparkContext.broadcast(index)
+    def one(index: ItemIndex, ids: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast((index, ids))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, ids = shared.value
             for b in batches:
-                found = sorted(shared.value.matches(_binary(b.column(1)), threshold, overlap).items())
+                found = sorted(index.matches(_binary(b.column(1)), threshold, overlap).items())
                 cols = list(zip(*((i, item, *v) for (i, item), v in found), strict=True)) or [[]] * 5
-                yield pa.record_batch([b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], [id_col, item_col, "score", "question_overlap", "answer_overlap"])
+                yield pa.record_batch([b.column(0).take(pa.array(cols[0], pa.int64())), pa.array([ids[x] for x in cols[1]], item_arrow), *(pa.array(c, pa.float64()) for c in cols[2:])], [id_col, item_col, "score", "question_overlap", "answer_overlap"])
 
-        return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, `{item_col}` long, score double, question_overlap double, answer_overlap double")
+        return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, `{item_col}` {item_name}, score double, question_overlap double, answer_overlap double")
 
-    return reduce(DataFrame.unionByName, [one(x) for x in _shards(items, id_col=item_col, text_col="text", shard_bytes=shard_bytes)])
+    return reduce(DataFrame.unionByName, [one(*x) for x in _shards(items, id_col=item_col, text_col="text", shard_bytes=shard_bytes)])
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.5, text_col: str = "text", item_col: str = "item_id", shard_bytes: int = 16 << 20) -> DataFrame:
     """The rows of docs, with all their columns, that hold no item."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    for index in _shards(items, item_col, "text", shard_bytes):
+    for index, _ in _shards(items, item_col, "text", shard_bytes):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:

@@ -206,6 +206,21 @@ def test_contamination(spark, docs):
     assert decontam.find_contamination(docs, bench.where("false")).count() == 0 and decontam.find_contamination(empty(spark), bench).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_contamination_of_shared_and_missing_ids(spark, kind):
+    r = random.Random(66)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)) + "."
+    held = [text(30) + " " + text(4) for _ in range(6)]
+    ids = [0, 0, 1, None, None, 0] if kind != "string" else ["gsm-0", "gsm-0", "1", None, None, "x"]
+    bench = spark.createDataFrame([*zip(ids, held, strict=True), (ids[0], held[0]), (None, None)], f"item_id {kind}, text string")
+    df = spark.createDataFrame([(d, text(60) + " " + (held[d] if d < 6 else "") + " " + text(60)) for d in range(8)], "doc_id long, text string")
+    for size in (16 << 20, 300):  # one shard, and several
+        out = decontam.find_contamination(df, bench, shard_bytes=size)
+        assert sorted((x.doc_id, x.item_id) for x in out.collect()) == list(enumerate(ids))
+        assert {x.doc_id for x in decontam.drop_contaminated(df, bench, shard_bytes=size).collect()} == {6, 7}
+    assert out.schema["item_id"].dataType.simpleString() == ("string" if kind == "string" else "bigint")
+
+
 # ---------------------------------------------------------------- 7 quality
 def test_quality(spark, docs):
     r = random.Random(7)
