@@ -4,11 +4,10 @@ Base kinds (assign, access, hex) are found by pattern and always reported. Beyon
 identifiers (`weak_id`: a user, account, client or key id that is given a value), secrets (`weak_secret`: a short
 key or password that is given a value, or a long token of mixed characters) and endpoints (`endpoint`: a URL, or a host
 with a port). Each alone is noise. Weak parts are reported only where complementary parts occur within
-the same scope (text without a blank line) and within `reach` characters: an identifier with a secret,
+the same scope (text without a blank line), however far apart: an identifier with a secret,
 a secret with an identifier, an endpoint with both. Base access keys count as identifiers, the other base
-kinds as secrets. Parts meet in an interval join: equal document, scope and bin of `reach` characters, one side repeated
-in the neighbouring bins. A bin holds only so many parts as fit into its characters, so no document makes a hot key, and the join is a semi
-join that emits no pairs.
+kinds as secrets. What a scope holds of each side is one row per scope (combined map-side), which its parts are joined
+with, so a scope of many parts makes no pairs.
 
 Defined results: a null text is an empty one. Rows that are repeated as a whole get the same result each.
 Places are code points, end exclusive.
@@ -27,9 +26,9 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 # A run that is long enough starts where the run starts, so the least length may stand in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-WEAK_ID = r"""(?i:(?<![a-z0-9])(?:user(?:_?name|_?id)?|login|account|client_?id|access_?key(?:_?id)?|key_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,64}+"""
-WEAK_SECRET = r"""(?i:(?<![a-z0-9])(?:pass|pwd|passphrase|key|auth|credential|private_?key|secret_?key|access_?token))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=@!#$%-]{6,256}+|(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]{0,64}[0-9])(?=[a-z0-9+/=_-]{0,64}[A-Z])(?=[A-Z0-9+/=_-]{0,64}[a-z])[A-Za-z0-9+/_-]{20,256}+={0,2}"""
-ENDPOINT = r"""(?i:https?|ftp|jdbc:[a-z]{2,12}|postgres|mysql|mongodb|redis)://[^\s"'<>]{4,512}+|(?<![A-Za-z0-9.-])[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}+:[0-9]{2,5}(?![0-9])"""
+WEAK_ID = r"""(?i:(?<![a-z0-9])(?:user(?:_?name|_?id)?|login|account|client_?id|access_?key(?:_?id)?|key_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}+"""
+WEAK_SECRET = r"""(?i:(?<![a-z0-9])(?:pass|pwd|passphrase|key|auth|credential|private_?key|secret_?key|access_?token))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=@!#$%-]{6,}+|(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*+[0-9])(?=[a-z0-9+/=_-]*+[A-Z])(?=[A-Z0-9+/=_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}"""
+ENDPOINT = r"""(?i:https?|ftp|jdbc:[a-z]{2,12}|postgres|mysql|mongodb|redis)://[^\s"'<>]{4,}+|(?<![A-Za-z0-9.-])[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)++:[0-9]{2,5}(?![0-9])"""
 PART = "array<struct<kind:int,start:int,end:int,scope:int>>"
 
 
@@ -44,7 +43,7 @@ def _weak(text: Column, pattern: str, base: Column) -> Column:
     return F.filter(find_spans(text, pattern), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 200) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id_col, n_assign, n_access, n_hex, base_sha256, spans, n_weak_id, n_weak_secret, n_endpoint: one row per input row."""
     scratch = Scratch(docs.sparkSession, "secrets")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -69,14 +68,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     part = kept.where("key is not null").select("key", F.explode("parts").alias("p")).select("key", "p.*").distinct()
     side = F.when(F.col("kind").isin(1, 3), "id").when(F.col("kind").isin(0, 2, 4), "secret").otherwise("endpoint")
-    part = part.withColumn("side", side).withColumn("bin", F.floor(F.col("start") / reach))
-    partner = part.where("side <> 'endpoint'").select(F.col("key").alias("k"), F.col("scope").alias("c"), F.col("side").alias("s"), F.col("start").alias("a"), F.col("end").alias("z"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("b"))
-
-    def with_a(weak: DataFrame, kind: str) -> DataFrame:
-        near = (F.col("key") == F.col("k")) & (F.col("scope") == F.col("c")) & (F.col("bin") == F.col("b")) & (F.abs(F.col("start") - F.col("a")) <= reach)
-        return weak.join(partner.where(F.col("s") == kind), near, "left_semi")
-
-    linked = with_a(part.where("kind = 3"), "secret").union(with_a(part.where("kind = 4"), "id")).union(with_a(with_a(part.where("kind = 5"), "id"), "secret"))
+    held = part.groupBy("key", "scope").agg(F.max(F.col("kind").isin(1, 3)).alias("has_id"), F.max(F.col("kind").isin(0, 2, 4)).alias("has_secret"))
+    complementary = F.when(F.col("kind") == 3, F.col("has_secret")).when(F.col("kind") == 4, F.col("has_id")).otherwise(F.col("has_id") & F.col("has_secret"))
+    linked = part.where("kind >= 3").join(held, ["key", "scope"]).where(complementary)
     linked = linked.groupBy("key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("weak"))
     out = kept.join(linked, "key", "left").withColumn("weak", F.coalesce("weak", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
     return out.select(

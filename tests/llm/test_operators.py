@@ -183,6 +183,28 @@ def test_secrets(spark, docs):
     assert secret_scan.scan_secrets(docs).count() == docs.count() and secret_scan.scan_secrets(empty(spark)).count() == 0
 
 
+def test_secrets_far_apart_and_long(spark):
+    mixed = lambda n: "Zz9+" * (n // 4)
+    fill = "\n".join(f"SETTING_{i}: plain words" for i in range(60))
+    texts = [
+        f"client_id = x12\n{fill}\npass = hunter22\n{fill}\nhttps://db.example.com/x",  # over a thousand characters apart
+        f"pass = {mixed(400)} client_id = abc",  # the starts are far apart, the gap is one character
+        f"client_id = {'ab.' * 100}x pass = {mixed(600)} https://{'h/' * 700}x",  # longer than 64, 256 and 512
+        f"login = bob {'q' * 90}{'Q' * 90}7{'+' * 300} {'a.' * 12}com:8080",  # the digit comes late in the token; a host of many labels
+        f"client_id = x12\n{fill}\n\npass = hunter22",  # scopes apart
+    ]
+    got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+    def spans(i, *parts):
+        return ",".join(f"{kind}:{texts[i].index(x)}:{texts[i].index(x) + len(x)}" for kind, x in parts)
+
+    assert got[0] == spans(0, ("weak_id", "client_id = x12"), ("weak_secret", "pass = hunter22"), ("endpoint", "https://db.example.com/x"))
+    assert got[1] == spans(1, ("weak_secret", f"pass = {mixed(400)}"), ("weak_id", "client_id = abc"))
+    assert got[2] == spans(2, ("weak_id", f"client_id = {'ab.' * 100}x"), ("weak_secret", f"pass = {mixed(600)}"), ("endpoint", f"https://{'h/' * 700}x"))
+    assert got[3] == spans(3, ("weak_id", "login = bob"), ("weak_secret", f"{'q' * 90}{'Q' * 90}7{'+' * 300}"), ("endpoint", f"{'a.' * 12}com:8080"))
+    assert got[4] == ""
+
+
 # ---------------------------------------------------------------- 6 benchmark
 def test_contamination(spark, docs):
     r = random.Random(6)
