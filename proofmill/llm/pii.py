@@ -4,8 +4,12 @@ Base kinds (email, ip, card, phone) are found by pattern and always reported. Th
 whole corpus: each identifier-like token (one with a digit, @ or +, with the number groups that follow it) is an instance, the
 words before it and around it are lexical patterns. In each round a pattern's confidence is the mean score of its
 distinct instances, damped by their number, and an instance's score is the noisy-or of its patterns;
-seeds score one. Instances that reach `accept` in the last round and have `digits` digits or more, no fewer than
-their letters, are new identifiers: kind `context`.
+seeds score one. Rounds go on until none accepts a new instance, that is, lifts its score to `accept`.
+Long numbers (`digits` digits or more, no fewer than their letters) take the noisy-or of all their patterns. Other
+instances may be everyday tokens (12, 1st), for which many weak patterns would add up: they take that of the patterns with
+a confidence of SURE or more, and nothing where more of their patterns are below it. Accepted instances are new
+identifiers (kind `context`) wherever they occur, but short bare numbers only where their context says so: any
+place whose own patterns, each SURE at least, have a noisy-or of `accept` is reported, whatever stands there.
 
 The pattern-instance graph is a table; scoring is sums per pattern and per instance (combined map-side, so a
 frequent pattern is no hot task) and equi-joins of the graph with those sums. No group is gathered in one place.
@@ -23,6 +27,8 @@ from .common import Scratch
 from .spans import counted, find_spans, joined, labelled
 
 KINDS = ["email", "ip", "card", "phone", "context"]
+#: From this confidence on a pattern is more often personal than not.
+SURE = 0.5
 # Possessive, since what follows a run cannot begin inside it; a run is entered only at its start or where the last match ended.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -82,21 +88,37 @@ def _found(docs: DataFrame, text_col: str, others: list[Column]) -> DataFrame:
 
 
 def discover(found: DataFrame, scratch: Scratch, rounds: int, accept: float, support: int, digits: int) -> DataFrame:
-    """Columns __key, __more: the places of new identifiers by text."""
+    """Columns __key, __more: the places of new identifiers by text. `rounds` is the least number of rounds."""
     tokens = found.where("__key is not null").select("__key", F.explode("__tokens").alias("t")).select("__key", "t.*").distinct()
     tokens = scratch.write(tokens, "tokens")
     graph = tokens.select(F.explode("patterns").alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     graph = scratch.write(graph, "graph")
     scores = graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("fixed"))
-    for _ in range(rounds):
+    letters, numbers = F.length(F.regexp_replace("instance", r"[^\p{L}]", "")), F.length(F.regexp_replace("instance", "[^0-9]", ""))
+    long_number = (numbers >= digits) & (numbers >= letters)
+    sure = F.coalesce(F.col("confidence") >= SURE, F.lit(False))
+    before, done = 0, 0
+    while True:
         scored = graph.select("pattern", "instance").join(scores, "instance")
         # The mean over the distinct instances, with one more that scores nothing for each `support`.
         confidence = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1.0 / support)).alias("mean"), F.count("*").alias("n")).where(F.col("n") >= support).select("pattern", F.least("mean", F.lit(0.999)).alias("confidence"))
-        supported = graph.join(confidence, "pattern", "left").groupBy("instance").agg(F.max("seed").alias("fixed"), F.sum(F.log1p(-F.coalesce("confidence", F.lit(0.0)))).alias("log_not"))
-        scores = scratch.write(supported.select("instance", F.when(F.col("fixed"), 1.0).otherwise(1 - F.exp("log_not")).alias("score"), "fixed"), "scores")
-    letters, numbers = F.length(F.regexp_replace("instance", r"[^\p{L}]", "")), F.length(F.regexp_replace("instance", "[^0-9]", ""))
-    new = scores.where(~F.col("fixed") & (F.col("score") >= accept)).where((numbers >= digits) & (numbers >= letters)).select("instance")
-    return tokens.where(~F.col("seed")).join(new, "instance", "left_semi").groupBy("__key").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end")).cast(SPANS).alias("__more"))
+        confidence = scratch.write(confidence, "confidence")
+        supported = graph.join(confidence, "pattern", "left").groupBy("instance").agg(
+            F.max("seed").alias("fixed"), F.sum(F.log1p(-F.coalesce("confidence", F.lit(0.0)))).alias("log_not"),
+            F.sum(F.when(sure, F.log1p(-F.col("confidence"))).otherwise(0.0)).alias("log_not_sure"), F.count_if(sure).alias("speak"), F.count_if(F.col("confidence") < SURE).alias("against"),
+        )
+        score = F.when(F.col("fixed"), 1.0).when(long_number, 1 - F.exp("log_not")).when(F.col("speak") >= F.col("against"), 1 - F.exp("log_not_sure")).otherwise(0.0)
+        scores = scratch.write(supported.select("instance", score.alias("score"), "fixed"), "scores")
+        # Scores never fall, so an equal count is an equal set.
+        accepted, done = scores.where(~F.col("fixed") & (F.col("score") >= accept)).count(), done + 1
+        if done >= rounds and accepted <= before:
+            break
+        before = accepted
+    new = scores.where(~F.col("fixed") & (F.col("score") >= accept)).where(long_number | (letters > 0) | F.contains(F.col("instance"), F.lit("@"))).select("instance")
+    other = tokens.where(~F.col("seed"))
+    said = other.select("__key", "start", "end", F.explode("patterns").alias("pattern")).join(confidence.where(sure), "pattern").groupBy("__key", "start", "end").agg(F.sum(F.log1p(-F.col("confidence"))).alias("log_not"))
+    places = other.join(new, "instance", "left_semi").select("__key", "start", "end").union(said.where(1 - F.exp("log_not") >= accept).select("__key", "start", "end")).distinct()
+    return places.groupBy("__key").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end")).cast(SPANS).alias("__more"))
 
 
 def _with_more(found: DataFrame, more: DataFrame) -> DataFrame:

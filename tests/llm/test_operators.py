@@ -388,3 +388,29 @@ def test_contextual_bootstrap(spark):
     rows = [(i, f"note {i} ends. patient number 411111111111111{i % 10} was seen") for i in range(60)] + [(100, "patient number 88112233445 was seen"), (101, "version number 2.0 was seen")]
     out = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), accept=0.05).collect()}
     assert out[100].n_context == 1 and out[100].spans == "context:15:26" and out[101].n_context == 0
+
+
+def test_contextual_identifiers_of_any_form(spark):
+    """With the parameters of the registered query."""
+    rows = [f"please reach me at user{i}@example.com today and rest" for i in range(60)]
+    n = len(rows)
+    new = ["QQ123456C", "AB123456", "user@localhost", "4821", "1st"]
+    rows += [f"please reach me at {x} today and rest" for x in new]
+    everyday = len(rows)
+    rows += ["the parcel QQ123456C came back", "see page 4821 of it", "version number 2.0 was seen"]
+    rows += [f"the {w} won 1st prize in {w} city" for w in ("ann", "bob", "cid", "dan") for _ in range(3)] + [f"my {x} won {y} prize" for x in ("dog", "cat", "pig") for y in ("1st", "2nd", "3rd", "4th", "5th")]
+    out = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [out[n + i] for i in range(len(new))] == [f"context:19:{19 + len(x)}" for x in new]
+    assert out[everyday] == "context:11:20"
+    assert {out[i] for i in range(everyday + 1, len(rows))} == {""}
+    masked = pii.mask_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).where(f"doc_id = {n}").first().text
+    assert masked == "please reach me at [CONTEXT] today and rest"
+
+
+def test_contextual_rounds_go_on(spark):
+    """Each context is known by the identifiers of the one before it, so the last needs a third round."""
+    rows = [f"please reach me at user{i}@example.com today" for i in range(200)]
+    rows += [f"please reach me at x{i}k today" for i in range(48)] + [f"the badge with code x{i}k opened" for i in range(48)]
+    rows += [f"the badge with code y{i}k opened" for i in range(8)] + [f"a visitor called number y{i}k left" for i in range(8)] + ["a visitor called number z7k left"]
+    out = {r.doc_id: r.n_context for r in pii.find_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [out[i] for i in range(len(rows))] == [0] * 200 + [1] * (len(rows) - 200)
