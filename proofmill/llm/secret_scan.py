@@ -9,8 +9,9 @@ a secret with an identifier, an endpoint with both. Base access keys count as id
 kinds as secrets. What a scope holds of each side is one row per scope (combined map-side), which its parts are joined
 with, so a scope of many parts makes no pairs.
 
-Defined results: a null text is an empty one. Rows that are repeated as a whole get the same result each.
-Places are code points, end exclusive.
+Defined results: a null text is an empty one. Rows that are repeated as a whole get the same result each; other columns are not
+read, whatever their names. Parts that touch one another do not overlap; of overlapping ones the base part stays, then the identifier.
+Texts of any length and with any number of parts are scanned whole. Places are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .spans import counted, find_spans, joined, labelled
+from .spans import SPANS, apart, counted, find_spans, joined, labelled, let, plus, running
 
 KINDS = ["assign", "access", "hex", "weak_id", "weak_secret", "endpoint"]
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,7 +30,8 @@ HEX = r"[0-9a-f]{16,}"
 WEAK_ID = r"""(?i:(?<![a-z0-9])(?:user(?:_?name|_?id)?|login|account|client_?id|access_?key(?:_?id)?|key_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}+"""
 WEAK_SECRET = r"""(?i:(?<![a-z0-9])(?:pass|pwd|passphrase|key|auth|credential|private_?key|secret_?key|access_?token))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=@!#$%-]{6,}+|(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*+[0-9])(?=[a-z0-9+/=_-]*+[A-Z])(?=[A-Z0-9+/=_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}"""
 ENDPOINT = r"""(?i:https?|ftp|jdbc:[a-z]{2,12}|postgres|mysql|mongodb|redis)://[^\s"'<>]{4,}+|(?<![A-Za-z0-9.-])[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)++:[0-9]{2,5}(?![0-9])"""
-PART = "array<struct<kind:int,start:int,end:int,scope:int>>"
+#: Kind of a blank line among the spans of a text.
+BREAK = 9
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -38,41 +40,42 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {"assign": long_enough, "access": find_spans(text, ACCESS), "hex": find_spans(text, HEX)}
 
 
-def _weak(text: Column, pattern: str, base: Column) -> Column:
-    """Spans that overlap no base span."""
-    return F.filter(find_spans(text, pattern), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+def _scoped(spans: Column) -> Column:
+    """Spans with the number of their scope, that is, of the breaks before them."""
+    def numbered(every: Column) -> Column:
+        scopes = running(F.transform(every, lambda x: F.when(x["kind"] == BREAK, 1).otherwise(0)), plus, 0)
+        return F.filter(F.zip_with(every, scopes, lambda x, n: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), n.alias("scope"))), lambda x: x["kind"] != BREAK)
+
+    return let(F.array_sort(spans), numbered)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id_col, n_assign, n_access, n_hex, base_sha256, spans, n_weak_id, n_weak_secret, n_endpoint: one row per input row."""
     scratch = Scratch(docs.sparkSession, "secrets")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).select("id", text.alias("text"))
-    found = rows.select("*", *(c.alias(k) for k, c in base_spans(F.col("text")).items()))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.col("text")
+    found = rows.select("*", *(c.alias(k) for k, c in base_spans(text).items()))
     found = found.withColumn("base", F.concat(*(labelled(F.col(k), i) for i, k in enumerate(KINDS[:3]))))
-    nothing = F.array().cast("array<struct<start:int,end:int,match:string,before:string,after:string>>")
-    found = found.withColumn("ids", _weak(F.col("text"), WEAK_ID, F.col("base")))
+    nothing = F.array().cast(SPANS)
+    found = found.withColumn("ids", labelled(apart(find_spans(text, WEAK_ID), F.col("base")), 3))
     some_id = (F.size("ids") > 0) | (F.size("access") > 0)
-    found = found.withColumn("secrets", F.when(some_id, _weak(F.col("text"), WEAK_SECRET, F.concat("base", labelled(F.col("ids"), 3)))).otherwise(nothing))
+    found = found.withColumn("secrets", F.when(some_id, labelled(apart(find_spans(text, WEAK_SECRET), F.concat("base", "ids")), 4)).otherwise(nothing))
     some_both = some_id & ((F.size("secrets") > 0) | (F.size("assign") > 0) | (F.size("hex") > 0))
-    found = found.withColumn("places", F.when(some_both, _weak(F.col("text"), ENDPOINT, F.col("base"))).otherwise(nothing))
-    found = found.withColumn("breaks", F.when(some_both, F.transform(find_spans(F.col("text"), r"\n[\t\r\x20]*+\n"), lambda s: s["start"])))
-    every = F.concat("base", labelled(F.col("ids"), 3), labelled(F.col("secrets"), 4), labelled(F.col("places"), 5))
-    parts = F.transform(every, lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end"), F.size(F.filter("breaks", lambda b: b < p["start"])).alias("scope")))
+    found = found.withColumn("places", F.when(some_both, labelled(apart(find_spans(text, ENDPOINT), F.col("base")), 5)).otherwise(nothing))
     linkable = some_both & (F.size("ids") + F.size("secrets") + F.size("places") > 0)
+    breaks = labelled(find_spans(text, r"\n[\t\r\x20]*+(?=\n)"), BREAK)
     kept = found.select(
         "id", "base", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]),
-        F.when(linkable, parts).alias("parts"), F.when(linkable, F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("-")), F.lit("|"), "text"))).alias("key"),
+        F.when(linkable, _scoped(F.concat("base", "ids", "secrets", "places", breaks))).alias("parts"), F.when(linkable, F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("-")), F.lit("|"), "text"))).alias("key"),
     )
     kept = scratch.write(kept, "found")
 
     part = kept.where("key is not null").select("key", F.explode("parts").alias("p")).select("key", "p.*").distinct()
-    side = F.when(F.col("kind").isin(1, 3), "id").when(F.col("kind").isin(0, 2, 4), "secret").otherwise("endpoint")
     held = part.groupBy("key", "scope").agg(F.max(F.col("kind").isin(1, 3)).alias("has_id"), F.max(F.col("kind").isin(0, 2, 4)).alias("has_secret"))
     complementary = F.when(F.col("kind") == 3, F.col("has_secret")).when(F.col("kind") == 4, F.col("has_id")).otherwise(F.col("has_id") & F.col("has_secret"))
     linked = part.where("kind >= 3").join(held, ["key", "scope"]).where(complementary)
     linked = linked.groupBy("key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("weak"))
-    out = kept.join(linked, "key", "left").withColumn("weak", F.coalesce("weak", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
+    out = kept.join(linked, "key", "left").withColumn("weak", F.coalesce("weak", nothing))
     return out.select(
         F.col("id").alias(id_col), "n_assign", "n_access", "n_hex", F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), joined(F.concat("base", "weak"), KINDS).alias("spans"),
         *(counted("weak", i).alias(f"n_{KINDS[i]}") for i in (3, 4, 5)),

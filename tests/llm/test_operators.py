@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from proofmill.llm import decontam, embed_dedup, langid, license_scan, minhash_dedup, pii, quality, secret_scan, simple8b, sp_sampling, token_store
+from proofmill.llm import decontam, embed_dedup, langid, license_scan, minhash_dedup, pii, quality, secret_scan, simple8b, sp_sampling, spans, token_store
 from proofmill.llm.common import Scratch, connected_components, held_out
 from proofmill.llm.hashing import shingles, word_hashes
 
@@ -205,6 +206,58 @@ def test_secrets_far_apart_and_long(spark):
     assert got[4] == ""
 
 
+# ---------------------------------------------------------------- spans
+def test_spans_beyond_a_run(spark):
+    """Places past the length of one run, and of runs of runs, with characters of two and four bytes between."""
+    for n in (0, 1, 127, 128, 129, 256, 16_385):
+        text = "é\U0001F600 " + " ".join(f"x{i}" for i in range(n)) + " ü"
+        df = spark.createDataFrame([(text,)], "text string")
+        got = df.select(spans.find_spans(F.col("text"), "x[0-9]+", context=True).alias("s")).first().s
+        want = list(re.finditer("x[0-9]+", text))
+        assert [(m.start, m.end, m.match) for m in got] == [(m.start(), m.end(), m[0]) for m in want]
+        bounds = [0, *(m.end() for m in want)], [*(m.start() for m in want), len(text)]
+        assert [(m.before, m.after) for m in got] == [(text[bounds[0][i] : bounds[1][i]], text[bounds[0][i + 1] : bounds[1][i + 1]]) for i in range(len(want))]
+
+
+def test_touching_and_replaced_equal_plain_code(spark):
+    r = random.Random(55)
+    rows = []
+    for i in range(60):
+        text = "".join(r.choice("abcdé\U0001F600 ") for _ in range(r.randint(0, 1500)))
+        cuts = sorted(r.sample(range(len(text) + 1), min(len(text) + 1, 2 * r.randint(0, 300)) // 2 * 2))
+        own = [(cuts[j], cuts[j + 1]) for j in range(0, len(cuts), 2)]
+        base = [(a := r.randrange(len(text)), a + r.randint(1, 9)) for _ in range(r.randint(0, 200))] if text else []
+        base = [(a, min(b, len(text))) for a, b in base]
+        rows.append((i, text, [(a, 0, b) for a, b in own], [(a, r.randrange(2), b) for a, b in base]))
+    df = spark.createDataFrame(rows, f"i int, text string, own {spans.SPANS}, base {spans.SPANS}")
+    out = df.select("i", spans.touching(F.col("own"), F.col("base")).alias("met"), spans.apart(F.col("own"), F.col("base")).alias("apart"), spans.replaced(F.col("text"), F.col("base"), ["<0>", "<1>"]).alias("masked")).collect()
+    for x in out:
+        _, text, own, base = rows[x.i]
+        met = [any(c < b and d > a for c, _, d in base) for a, _, b in own]
+        assert x.met == met and [(s.start, s.kind, s.end) for s in x.apart] == [s for s, m in zip(own, met, strict=True) if not m]
+        at, parts = 0, []
+        for a, k, b in sorted(base):
+            if a >= at:
+                parts += [text[at:a], f"<{k}>"]
+            at = max(at, b)
+        assert x.masked == "".join(parts) + text[at:]
+
+
+def test_texts_with_many_matches(spark):
+    """A megabyte of text with 20,000 matches of several kinds is scanned in seconds."""
+    n = 20_000
+    text = " ".join(f"line {i} deadbeef0123456789abcdef{i:08d} user = bob{i} a{i}@b.co pass = hunter{i}" for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").repartition(1)
+    began = time.perf_counter()
+    row = secret_scan.scan_secrets(df).first()
+    assert (row.n_hex, row.n_weak_id, row.n_weak_secret) == (n, n, n) and len(row.spans.split(",")) == 3 * n
+    row = pii.find_pii(df).first()
+    assert row.n_email == n and row.base_sha256 == hashlib.sha256(",".join(f"email:{a}:{b}" for a, _, b in plain_pii(text)).encode()).hexdigest()
+    masked = pii.mask_pii(df).first().text
+    assert masked == re.sub(r"a[0-9]+@b\.co", "[EMAIL]", text)
+    assert time.perf_counter() - began < 120
+
+
 # ---------------------------------------------------------------- 6 benchmark
 def test_contamination(spark, docs):
     r = random.Random(6)
