@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +22,11 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set, as in tests."""
+    """The folder that driver and executors share; a local one only where none is set and all run in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="proofmill-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -63,6 +67,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+#: A key that holds more than this share of a table's rows is hot: there are at most so many of them, so they may be broadcast.
+HOT = 1000
+
+
+def with_hot(side: DataFrame, *sizes: str) -> DataFrame:
+    """side, which has one row for each key, with the column hot: whether the key holds more than 1 / HOT of the rows that one of `sizes` counts."""
+    totals = side.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in sizes)).first()
+    return side.withColumn("hot", F.coalesce(reduce(or_, (F.col(c) > t / HOT for c, t in zip(sizes, totals, strict=True))), F.lit(False)))
+
+
+def join_unique(rows: DataFrame, side: DataFrame, key: str, how: str) -> DataFrame:
+    """rows joined (inner or left) with side, which has one row for each key and the column hot: the hot keys by broadcast, so that none is a hot task."""
+    hot, rest = side.where("hot").drop("hot"), side.where("not hot").drop("hot")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, how))
+
+
+def hash_sample(df: DataFrame, keys: list[Column], sample: int, total: int) -> DataFrame:
+    """At most `sample` of the `total` rows, those with the smallest hashes of their keys: the same whatever the partitions are.
+
+    A threshold on the hash leaves little more than the sample before rows are ordered, so tasks send few of them.
+    """
+    h = F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
+    return df.where(h <= int((1 << 40) * min(1.0, (1.5 * sample + 64) / max(total, 1)))).orderBy(h, *keys).limit(sample)
+
+
 def is_empty(df: DataFrame) -> bool:
     return len(df.limit(1).take(1)) == 0
 

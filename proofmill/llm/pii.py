@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import HOT, Scratch, join_unique
 from .spans import MATCHES, SPANS, counted, find_spans, joined, labelled, replaced, touching
 
 KINDS = ["email", "ip", "card", "phone", "context"]
@@ -39,8 +39,6 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 TOKEN = r"(?<!\S)[^\s0-9@+]*+[0-9@+]\S*+(?:\x20[(]?[0-9][0-9().-]*+(?!\S))*+"
-#: A key with more than this share of a table's rows is hot: there are at most so many of them, so they may be broadcast.
-HOT = 1000
 #: Rows of a hot text are dealt to so many tasks.
 SALTS = 64
 #: Longer words stand in a pattern as their hash.
@@ -110,12 +108,6 @@ def _found(docs: DataFrame, text_col: str, others: list[Column], tokens: bool =
     return rows.select(*names, "__base", F.when(some, made).alias("__tokens"), F.when(some, F.md5("__text")).alias("__key"))
 
 
-def _joined(rows: DataFrame, side: DataFrame, key: str, how: str) -> DataFrame:
-    """rows joined (inner or left) with side, which has one row for each key and the column hot: the hot keys by broadcast."""
-    hot, rest = side.where("hot").drop("hot"), side.where("not hot").drop("hot")
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, how))
-
-
 def discover(found: DataFrame, scratch: Scratch, rounds: int, accept: float, support: int, digits: int) -> DataFrame:
     """Columns __key, __more: the places of new identifiers by text. `rounds` is the least number of rounds."""
     tokens = found.where("__key is not null").select("__key", F.explode("__tokens").alias("t")).select("__key", "t.*").distinct()
@@ -131,12 +123,12 @@ def discover(found: DataFrame, scratch: Scratch, rounds: int, accept: float, sup
     sure = F.coalesce(F.col("confidence") >= SURE, F.lit(False))
     before, done = 0, 0
     while True:
-        scored = _joined(graph.select("pattern", "instance", "times"), scores.select("instance", "score", "hot"), "instance", "inner")
+        scored = join_unique(graph.select("pattern", "instance", "times"), scores.select("instance", "score", "hot"), "instance", "inner")
         # The mean over the distinct instances, with one more that scores nothing for each `support`.
         mean = F.sum("score") / (F.count("*") + 1.0 / support)
         confidence = scored.groupBy("pattern").agg(F.least(mean, F.lit(0.999)).alias("confidence"), *counts).where(F.col("n") >= support).select("pattern", "confidence", hot.alias("hot"))
         confidence = scratch.write(confidence, "confidence")
-        supported = _joined(graph, confidence, "pattern", "left").groupBy("instance").agg(
+        supported = join_unique(graph, confidence, "pattern", "left").groupBy("instance").agg(
             F.max("seed").alias("fixed"), F.sum(F.log1p(-F.coalesce("confidence", F.lit(0.0)))).alias("log_not"),
             F.sum(F.when(sure, F.log1p(-F.col("confidence"))).otherwise(0.0)).alias("log_not_sure"), F.count_if(sure).alias("speak"), F.count_if(F.col("confidence") < SURE).alias("against"), *counts,
         )
@@ -149,8 +141,8 @@ def discover(found: DataFrame, scratch: Scratch, rounds: int, accept: float, sup
         before = accepted
     new = scores.where(~F.col("fixed") & (F.col("score") >= accept)).where(long_number | (letters > 0) | F.contains(F.col("instance"), F.lit("@"))).select("instance", "hot")
     other = tokens.where(~F.col("seed"))
-    said = _joined(other.select("__key", "start", "end", F.explode("patterns").alias("pattern")), confidence.where(sure), "pattern", "inner").groupBy("__key", "start", "end").agg(F.sum(F.log1p(-F.col("confidence"))).alias("log_not"))
-    places = _joined(other.select("__key", "start", "end", "instance"), new, "instance", "inner").select("__key", "start", "end").union(said.where(1 - F.exp("log_not") >= accept).select("__key", "start", "end")).distinct()
+    said = join_unique(other.select("__key", "start", "end", F.explode("patterns").alias("pattern")), confidence.where(sure), "pattern", "inner").groupBy("__key", "start", "end").agg(F.sum(F.log1p(-F.col("confidence"))).alias("log_not"))
+    places = join_unique(other.select("__key", "start", "end", "instance"), new, "instance", "inner").select("__key", "start", "end").union(said.where(1 - F.exp("log_not") >= accept).select("__key", "start", "end")).distinct()
     return places.groupBy("__key").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end")).cast(SPANS).alias("__more"))
 
 

@@ -77,28 +77,79 @@ def test_languages(spark, docs):
 
 
 # ---------------------------------------------------------------- 2 embeddings
-def test_embeddings_equal_brute_force(spark):
-    r = np.random.default_rng(3)
-    x = r.normal(size=(400, 16))
-    x[:150] = x[0] + r.normal(scale=0.12, size=(150, 16))
-    x[200:220] = x[200]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [1.0, None] + [0.0] * 14), (903, [float("nan")] * 16), (904, [1.0]), (905, [])]
-    out = {r_.vec_id: r_ for r_ in embed_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), words=8, sample=200, block=64).collect()}
+def plain_links(x, cosine=0.95):
+    """Links of each vector, and the least index that it reaches, from all pairs."""
     unit = x / np.linalg.norm(x, axis=1)[:, None]
-    link = unit @ unit.T >= 0.95
-    label = np.arange(400)
+    link = unit @ unit.T >= cosine
+    label = np.arange(len(x))
     while True:
-        new = np.array([label[link[i]].min() for i in range(400)])
+        new = np.array([label[link[i]].min() for i in range(len(x))])
         if (new == label).all():
-            break
+            return link.sum(1) - 1, label
         label = new
-    found = sum(out[i].n_links for i in range(400))
-    assert found >= 0.999 * (link.sum() - 400) and found <= link.sum() - 400
+
+
+@pytest.mark.parametrize(("recall", "block"), [(1.0, 512), (0.9995, 16)])
+def test_embeddings_equal_brute_force(spark, monkeypatch, recall, block):
+    """Exact traversal, and small chunks dealt over many tasks; odd rows beside them, and columns with clashing names."""
+    monkeypatch.setattr(embed_dedup, "CHUNKS", 2)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(400, 16))
+    x[:150] = x[0] + r.normal(scale=0.12, size=(150, 16))
+    x[200:220] = x[200]
+    x[215:220] *= 4  # the same direction
+    rows = [(i, v.tolist(), "v", 1, 2) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [1.0, None] + [0.0] * 14), (903, [float("nan")] * 16), (904, [1.0]), (905, []), (906, [float("inf")] + [0.0] * 15)]
+    rows = [r_ if len(r_) > 2 else (*r_, None, None, None) for r_ in rows] + [(7, x[7].tolist(), "w", 3, 4), (None, x[3].tolist(), "w", 3, 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string, id long, n long")
+    got = embed_dedup.embedding_dedup(df, recall=recall, sample=200, block=block, words=8).collect()
+    assert len(got) == len(rows)
+    out = {r_.vec_id: r_ for r_ in got}
+    n, label = plain_links(x)
+    if recall == 1:
+        assert [out[i].n_links for i in range(400)] == n.tolist()
+    assert sum(out[i].n_links for i in range(400)) >= 0.999 * n.sum() and all(out[i].n_links <= n[i] for i in range(400))
     assert [out[i].component_id for i in range(400)] == label.tolist() and all(out[i].kept == (label[i] == i) for i in range(400))
-    assert all((out[i].n_links, out[i].component_id, out[i].kept) == (0, i, True) for i in range(900, 906))
+    assert all((out[i].n_links, out[i].component_id, out[i].kept) == (0, i, True) for i in range(900, 907))
+    assert (out[None].n_links, out[None].component_id) == (0, None)
     assert embed_dedup.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embedding_recall_at_default_parameters(spark):
+    """Thousands of links at a cosine just above the wanted one, between vectors without any other structure."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(9000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    u = r.normal(size=(3000, 64))
+    u -= (u * x[:3000]).sum(1)[:, None] * x[:3000]
+    x[3000:6000] = 0.951 * x[:3000] + np.sqrt(1 - 0.951**2) * u / np.linalg.norm(u, axis=1)[:, None]
+    n, _ = plain_links(x)
+    out = {o.vec_id: o.n_links for o in embed_dedup.embedding_dedup(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    found = sum(out.values())
+    assert n.sum() >= 6000 and found >= 0.999 * n.sum() and all(out[i] <= n[i] for i in range(len(x)))
+
+
+def test_embeddings_of_several_lengths_and_ties(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, r.normal(size=32).tolist()) for i in range(300)]
+    rows += [(1000 + i, v) for i, v in enumerate([[3.0, 4.0], [6.0, 8.0], [0.0, 1.0], [1.0], [2.0], [-1.0]])]
+    rows += [(2000 + i, v) for i, v in enumerate([[1.0, 0.0, 0.0], [3.0, 4.0, 0.0], [1e200, 0.0, 0.0]])]
+    got = {o.vec_id: (o.n_links, o.component_id) for o in embed_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cosine=0.6).collect()}
+    n, label = plain_links(np.array([v for _, v in rows[:300]]), 0.6)
+    assert [got[i] for i in range(300)] == list(zip(n.tolist(), label.tolist(), strict=True))
+    assert [got[1000 + i] for i in range(6)] == [(2, 1000), (2, 1000), (2, 1000), (1, 1003), (1, 1003), (0, 1005)]
+    assert [got[2000 + i] for i in range(3)] == [(2, 2000), (2, 2000), (2, 2000)]  # a cosine of exactly 0.6 links
+
+
+def test_traversal_visits_in_order():
+    r = np.random.default_rng(9)
+    g = embed_dedup.Grid(r.normal(size=(300, 16)), 9, 0.95, 1.0, 1)
+    a, b = (np.sort(x / x.sum())[::-1] for x in r.random((2, 9)))
+    cells, before = g.traverse(a, b, 1.0)
+    chance = [a[c >> embed_dedup.BITS] * b[c & (1 << embed_dedup.BITS) - 1] for c in cells]
+    assert len(set(cells)) == 81 and chance == sorted(chance, reverse=True) and np.allclose(before, np.cumsum([0, *chance[:-1]]))
+    assert len(g.traverse(a, b, 0.5)[0]) == next(i for i, m in enumerate(np.cumsum(chance), 1) if m >= 0.5)
+
+
 # ---------------------------------------------------------------- 3 tokens
 def test_simple8b_round_trip():
     r = np.random.default_rng(0)
