@@ -41,11 +41,11 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/proofmill/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
-    def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, partitionBy: str | None = None, **options: str) -> DataFrame:  # noqa: N803
         """Write df and return it as read back."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.options(**options).parquet(path)
+        df.write.options(**options).parquet(path, partitionBy=partitionBy)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

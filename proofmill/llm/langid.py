@@ -6,9 +6,13 @@ sum over the document's n-grams of the difference of ranks, the length of a prof
 lacks. The nearest profile wins; the score is 1 - (distance to the winner / distance to the next language), or
 1 - winner's distance / its largest possible value with a single language.
 
+Profiles are learned from distinct texts, so copies of a text, however many, weigh no more than one. A language with more than
+`sample` of them is learned from those with the smallest hashes; every language that has a text is learned, whatever its share.
+
 Defined results: a null text or one without any letter is `und` with score 0, as is every text when
-nothing could be learned. Texts of any length are counted whole, in blocks. Ties go to the smaller
-n-gram and to the alphabetically first language. A repeated row is predicted like any other.
+nothing could be learned. Texts of any length are counted whole; they are read in blocks, and n-grams run across the blocks' bounds. Ties go to
+the smaller n-gram and to the alphabetically first language. A repeated row is predicted like any other. Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -17,13 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, held_out
 
 #: Characters counted at once.
 BLOCK = 1 << 18
+#: Languages whose table of cuts is sent to all tasks; more are joined by shuffling.
+MOST_BROADCAST = 100_000
 #: Marks the ends of words; no letter, and not 0, so that n-grams of different lengths differ.
 GAP = 1
 _letters: list[np.ndarray] = []
@@ -31,31 +37,31 @@ _letters: list[np.ndarray] = []
 
 def _is_letter() -> np.ndarray:
     if not _letters:
-        _letters.append(np.array([chr(c).isalpha() for c in range(0x30000)]))
+        _letters.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
     return _letters[0]
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of a text (up to three code points of 21 bits, GAP between words) in ascending order, and their counts."""
-    grams = np.empty(0, np.int64)
-    counts = np.empty(0, np.int64)
+    text, parts = text.lower(), []
+    last = np.array([GAP], np.int64)  # the end of what was read: with it, n-grams of up to three signs run across blocks
     for at in range(0, len(text), BLOCK):
-        code = np.frombuffer(text[at : at + BLOCK].lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        letter = _is_letter()[np.minimum(code, 0x2FFFF)]
-        code = np.where(letter, code, GAP)
-        code = code[(code > GAP) | np.concatenate([[True], code[:-1] > GAP])]  # one mark between words
-        x = np.concatenate([[GAP], code, [GAP]])
-        one, two = x[1:-1], x[:-1] << 21 | x[1:]
-        three = two[:-1] << 21 | x[2:]
-        made = np.concatenate([one[one > GAP], two[two != (GAP << 21 | GAP)], three[one > GAP]])
-        g, n = np.unique(made, return_counts=True)
-        if len(grams):
-            every, where = np.unique(np.concatenate([grams, g]), return_inverse=True)
-            counts = np.bincount(where, np.concatenate([counts, n])).astype(np.int64)
-            grams = every
-        else:
-            grams, counts = g, n
-    return grams, counts
+        code = np.frombuffer(text[at : at + BLOCK].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        code = np.where(_is_letter()[code], code, GAP)
+        x = np.concatenate([last, code, np.array([GAP][: at + BLOCK >= len(text)], np.int64)])
+        x = x[(x > GAP) | np.concatenate([[True], x[:-1] > GAP])]  # one mark between words
+        one, two = x[len(last) :], x[len(last) - 1 : -1] << 21 | x[len(last) :]
+        start = max(len(last), 2)
+        three = x[start - 2 : -2] << 42 | x[start - 1 : -1] << 21 | x[start:]
+        made = np.concatenate([one[one > GAP], two, three[x[start - 1 : -1] > GAP]])
+        parts.append(np.unique(made, return_counts=True))
+        last = x[-2:]
+    if len(parts) == 1:
+        return parts[0]
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    grams, where = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    return grams, np.bincount(where, np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
 def _top(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
@@ -89,16 +95,17 @@ class Profiles:
         return self.langs[best], float(1 - far[best] / other) if other else 0.0
 
 
-def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = 400, sample: int = 4000, most_langs: int = 500) -> Profiles:
-    """Profiles from rows with text and language: at most `sample` of them for each language, those with the smallest hashes of their text."""
+def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = 400, sample: int = 4000) -> Profiles:
+    """Profiles from rows with text and language: about `sample` distinct texts for each language (their number is estimated), all where it has fewer."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    from pyspark.sql import Window
-
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and length(text) > 0")
-    # Where to cut each language's hashes, from counts alone; the hash is uniform, so the sample is close to its bound.
-    cut = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
-    kept = rows.join(F.broadcast(cut), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < (F.lit(float(1 << 30)) * sample / F.greatest("n", F.lit(sample)))).select("lang", "text")
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    # Where to cut each language's hashes; the hash is uniform over distinct texts.
+    cut = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).select("lang", (F.lit(float(1 << 30)) * sample / F.greatest("n", F.lit(sample))).alias("most")).cache()
+    few = cut.count() <= MOST_BROADCAST
+    kept = hashed.join(F.broadcast(cut) if few else cut, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("most"))
+    kept = kept.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,6 +120,7 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     counts = kept.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
+    cut.unpersist()
     lists: dict[str, list[int]] = {}
     for r in sorted(best.select("lang", "rank", "gram").collect()):
         lists.setdefault(r.lang, []).append(r.gram)

@@ -5,11 +5,13 @@ projection of its words; a hidden layer, gated attention (tanh times sigmoid) an
 from document labels alone, so the attention finds the passages that decide. A document's score
 is the logistic of the attention-weighted mean of all its passages, whatever their number.
 
-Training uses at most `sample` labelled rows (the smallest hashes of doc_id), whose passage features are
-collected to the driver: a bound that does not grow with the input. Scoring is a single pass over the text.
+Training uses at most `sample` labelled rows (the smallest hashes of doc_id) and of each at most `passages` of its passages, spread evenly over
+the whole text; their features are collected to the driver: a bound that does not grow with the input or the lengths of texts. Scoring is a single
+pass over the text and takes all passages.
 
 Defined results: a null or blank text is a bag of one empty passage. Rows that repeat a doc_id are scored
-one by one; several labels of a doc_id count as their mean. Without any label every score is 0.5.
+one by one; several labels of a doc_id count as their mean. Without any label every score is 0.5. A score of exactly the threshold
+is kept. Columns besides the id and the text are not read, whatever their names, and come back unchanged where rows are kept.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out
+from .common import bounded_batches, hash_sample, held_out
 from .hashing import BASE as _BASE
 from .hashing import INVERSE as _INVERSE
 from .hashing import mixed, power
@@ -61,17 +63,21 @@ def _per_word(text: str) -> dict[str, np.ndarray]:
     inside = np.concatenate([[False], kind > 0, [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edges[::2], edges[1::2]
-    # Counts of the kinds in fields of 21 bits; BLOCK is below that.
     sums = lambda x: np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)])
-    one, two = (sums(field[kind]) for field in _FIELDS)
-    one, two = one[end] - one[start], two[end] - two[start]
     low = (1 << 21) - 1
+    if len(code) <= low:  # counts of the kinds fit fields of 21 bits
+        one, two = (sums(field[kind]) for field in _FIELDS)
+        one, two = one[end] - one[start], two[end] - two[start]
+        held = [one & low, one >> 21 & low, one >> 42, two & low, two >> 21]
+    else:
+        counts = (sums((kind == k).astype(np.int64)) for k in range(1, 6))
+        held = [c[end] - c[start] for c in counts]
     with np.errstate(over="ignore"):
         terms = sums((code.astype(np.uint64) + np.uint64(1)) * power(_BASE, len(code)))
         word = mixed((terms[end] - terms[start]) * power(_INVERSE, len(code) + 1)[start])
     breaks = np.concatenate([[0], np.cumsum(code == 10)])
     return {
-        "len": end - start, "lower": one & low, "upper": one >> 21 & low, "digit": one >> 42, "mark": two & low, "other": two >> 21,
+        "len": end - start, **dict(zip(("lower", "upper", "digit", "mark", "other"), held, strict=True)),
         "word": word, "first": kind[start], "last": kind[end - 1], "stop": np.isin(code[end - 1], [46, 33, 63]), "bang": code[end - 1] == 33, "line": np.diff(breaks[end], prepend=0) > 0,
     }
 
@@ -182,20 +188,21 @@ class Attention:
         return self.forward((np.concatenate(bags) - self.mean) / self.scale, starts)["y"]
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = 4000) -> Attention | float:
+def learn_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = 4000, passages: int = 256) -> Attention | float:
     """Fit on at most `sample` labelled documents that are not held out; a constant where the labels have one class only."""
     bounded_batches(docs.sparkSession)
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).where("id is not null and label is not null").where(~held_out(F.col("id")))
-    chosen = marked.groupBy("id").agg(F.avg("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    chosen = hash_sample(marked.groupBy("id").agg(F.avg("label").alias("label")), [F.col("id")], sample, marked.count())
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [encode(t).tobytes() for t in b.column(2).to_pylist()]
+            made = [bag[np.unique(np.linspace(0, len(bag) - 1, passages).astype(np.int64))].tobytes() for bag in map(encode, b.column(2).to_pylist())]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(made, pa.binary())], ["id", "label", "bag"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = sorted(((r.id, r.label, bytes(r.bag)) for r in rows.mapInArrow(features, f"id {kind}, label double, bag binary").collect()))
+    bags = rows.mapInArrow(features, f"id {kind}, label double, bag binary").groupBy("id", "label").agg(F.min("bag").alias("bag"))  # one for rows that repeat an id
+    got = sorted((r.id, r.label, bytes(r.bag)) for r in bags.collect())
     y = np.array([label for _, label, _ in got])
     if not len(y) or y.min() == y.max():
         return float((y.sum() + 1) / (len(y) + 2))

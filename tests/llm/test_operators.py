@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import textwrap
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -15,6 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofmill.llm import decontam, embed_dedup, langid, license_scan, minhash_dedup, pii, quality, secret_scan, simple8b, sp_sampling, spans, token_store
+from proofmill.llm import queries as llm_queries
 from proofmill.llm.common import Scratch, connected_components, held_out
 from proofmill.llm.hashing import shingles, word_hashes
 
@@ -76,6 +79,64 @@ def test_languages(spark, docs):
     assert dict(zip(g.tolist(), n.tolist(), strict=True))[ord("a")] == 2
 
 
+def plain_grams(text):
+    """n-grams of letters, words between marks: the same lists in plain code."""
+    words, out = "".join(c if c.isalpha() else " " for c in text.lower()).split(), Counter()
+    stream = "\1" + "".join(w + "\1" for w in words)
+    for n in (1, 2, 3):
+        for i in range(len(stream) - n + 1):
+            g = stream[i : i + n]
+            if g != "\1" and not (n == 3 and g[1] == "\1"):
+                out[g] += 1
+    return out if words else Counter()
+
+
+def code_of(gram):
+    out = 0
+    for c in gram:
+        out = out << 21 | ord(c)
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 18])
+def test_gram_counts_equal_plain_code(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    r = random.Random(1)
+    for t in [*filter(None, ODD[:-1]), "\U00030005 x", *("".join(r.choice("aBc é.1 \U00030005ß") for _ in range(r.randint(0, 60))) for _ in range(60))]:
+        g, n = langid.gram_counts(t)
+        assert sorted(zip(g.tolist(), n.tolist(), strict=True)) == sorted((code_of(k), v) for k, v in plain_grams(t).items())
+
+
+def test_language_query_equals_plain_distances(spark, sf_dir):
+    """The registered query against profiles and out-of-place distances in plain code."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    out_of_fold = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    counts = {}
+    for lang, text in {(r.lang, r.text) for r in rows if r.lang is not None and r.text and not out_of_fold(r.doc_id)}:
+        counts.setdefault(lang, Counter()).update(plain_grams(text))
+    top = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], code_of(x[0])))[:400]]
+    ranks = {lang: {g: i for i, g in enumerate(top(c))} for lang, c in sorted(counts.items())}
+    got = {r.doc_id: r for r in llm_queries.op1_language_id(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        own = top(plain_grams(r.text or ""))
+        x = got[r.doc_id]
+        if not own:
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+            continue
+        far = sorted((sum(abs(rank[g] - i) if g in rank else 400 for i, g in enumerate(own)), lang) for lang, rank in ranks.items())
+        assert x.lang_pred == far[0][1] and x.score == pytest.approx(1 - far[0][0] / far[1][0]) and x.held_out == out_of_fold(r.doc_id)
+
+
+def test_every_language_is_learned(spark):
+    """However its rows compare with the sample, and however many are copies; a text with a tie goes to the first language."""
+    rows = [("zz", "qqq qqq")] * 3000 + [("aa", f"the cat {i} sat {chr(97 + i % 26)}") for i in range(300)] + [("bb", "xyx yxy"), ("cc", "xyx yxy")]
+    p = langid.learn_profiles(spark.createDataFrame(rows, "lang string, text string"), sample=40)
+    assert p.langs == ["aa", "bb", "cc", "zz"] and p.predict("qqq")[0] == "zz" and p.predict("xyx") == ("bb", 0.0)
+    many = langid.learn_profiles(spark.createDataFrame([(f"l{i}", f"w{i}x") for i in range(700)], "lang string, text string"))
+    assert len(many.langs) == 700
+
+
 # ---------------------------------------------------------------- 2 embeddings
 def plain_links(x, cosine=0.95):
     """Links of each vector, and the least index that it reaches, from all pairs."""
@@ -347,6 +408,61 @@ def test_contamination_of_shared_and_missing_ids(spark, kind):
     assert out.schema["item_id"].dataType.simpleString() == ("string" if kind == "string" else "bigint")
 
 
+def plain_retrieval(items, texts, threshold):
+    """BM25 over each item's own score, for every passage and item, word by word."""
+    words = {i: decontam._words(t) for i, t in items if decontam._words(t)}
+    n, mean = len(words), sum(map(len, words.values())) / len(words)
+    df = Counter(w for x in words.values() for w in set(x))
+    weight = {i: {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w, c in Counter(x).items()} for i, x in words.items()}
+    stride, out = max(32, *map(len, words.values())), {}
+    for d, t in enumerate(texts):
+        x = decontam._words(t)
+        for at in range(0, len(x) + 1, stride):
+            have = set(x[at : at + 2 * stride])
+            for i, own in weight.items():
+                share = sum(v for w, v in own.items() if w in have) / sum(own.values())
+                if share >= threshold:
+                    out[d, at, i] = share
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.15, 0.4, 0.6])
+def test_retrieval_equals_plain_bm25(monkeypatch, threshold):
+    """Passages with any share of an item's words, many of them near the threshold; small groups of postings."""
+    monkeypatch.setattr(decontam, "POSTINGS", 300)
+    r = random.Random(16)
+    word = lambda: r.choice("abcdefgh") if r.random() < 0.4 else f"{r.choice('abcdefgh')}{r.randrange(40)}"
+    items = [(i, " ".join(word() for _ in range(r.randint(1, 40)))) for i in range(60)] + [(70, "..."), (71, items_text := "same words here"), (72, items_text)]
+    texts = []
+    for _ in range(80):
+        own = items[r.randrange(60)][1].split()
+        texts.append(" ".join(w if r.random() < 0.7 else word() for w in own * r.randint(0, 3)) + " " + " ".join(word() for _ in range(r.randint(0, 150))))
+    index = decontam.ItemIndex(items)
+    got = {(d, at, index.items[p]): s for d, at, p, s in index.retrieve([t.encode() for t in [*texts, "same words here"]], threshold)}
+    want = plain_retrieval(items, [*texts, "same words here"], threshold)
+    near = {k for k, s in want.items() if abs(s - threshold) < 1e-9}
+    assert len(want) > 20 and set(got) - near == set(want) - near and all(got[k] == pytest.approx(want[k]) for k in set(got) & set(want))
+    assert {k for k in got if k[0] == 80} >= {(80, 0, 71), (80, 0, 72)}
+
+
+def test_scores_do_not_depend_on_shards_and_long_items_are_whole(spark):
+    r = random.Random(61)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(3))
+    items = [(i, " ".join(word() for _ in range(r.randint(8, 60))) + ". The answer is " + word() + " " + word() + ".") for i in range(40)]
+    long = " ".join(word() for _ in range(700)) + ". The answer is " + " ".join(word() for _ in range(6)) + "."
+    items += [(100, long), (101, " ".join(word() for _ in range(1500)) + ". So be it now.")]
+    noise = lambda n: " ".join(word() for _ in range(n))
+    rows = [f"{noise(80)} {' '.join(w for w in t.split() if r.random() < 0.9)} {noise(80)}" for _, t in items[:40]]
+    n, w = len(rows), long.split()
+    rows += [f"{noise(300)} {long} {noise(300)}", f"{noise(50)} {' '.join(w[:256])} {noise(50)}", f"{noise(50)} {' '.join(w[-198:])} {noise(50)}", f"{noise(10)} {items[41][1]}"]
+    df, bench = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = [sorted(map(tuple, decontam.find_contamination(df, bench, shard_bytes=size).collect())) for size in (16 << 20, 5000, 900)]
+    assert found[0] and all([x[:2] for x in f] == [x[:2] for x in found[0]] and np.allclose([x[2:] for x in f], [x[2:] for x in found[0]]) for f in found[1:])
+    hit = {x[:2] for x in found[0]}
+    # The whole item with its answer is found; its first 256 words (without the answer) and its last 198 (without most of the question) are not the item.
+    assert (n, 100) in hit and (n + 3, 101) in hit and not {d for d, _ in hit} & {n + 1, n + 2}
+
+
 # ---------------------------------------------------------------- 7 quality
 def test_quality(spark, docs):
     r = random.Random(7)
