@@ -3,9 +3,9 @@
 Vectors that are equal at length one are a class first; one of each class is compared. Unit vectors are cut into two halves, and a
 codebook is fitted to each half on a bounded sample; a vector's cell in the grid of their products is the pair of its nearest
 words. The number of words grows with the table, so cells stay small. Every vector is a query: the two lists of words, each in the order
-of the chance that a partner at exactly the wanted cosine is nearest to the word, are walked by a multi-sequence traversal (a heap over
-their product, likeliest cell first) that stops for each query where the cells visited hold a target share of that chance. A pair is found if
-either side's walk reaches the other's cell, and counted once for both. The target share is calibrated on the sample: partners drawn around
+of the distance to the word's half-space, are walked by a multi-sequence traversal (a heap over their product, nearest cell first). A
+partner at exactly the wanted cosine goes a normal step along any axis, which gives each cell its chance to hold it, and the walk stops
+for each query where the cells visited hold a target share of the query's chances. A pair is found if either side's walk reaches the other's cell, and counted once for both. The target share is calibrated on the sample: partners drawn around
 sampled vectors, and the links within the sample, are found with a frequency of `recall`. With recall 1 every cell whose
 half-spaces are near enough to hold a partner is visited, which is exact.
 
@@ -34,7 +34,7 @@ from .common import Scratch, bounded_batches, connected_components, hash_sample,
 #: Absolute slack of the bounds against rounding.
 SLACK = 1e-7
 #: Vectors that a cell should hold, and the most words of a half.
-CELL, MOST_WORDS = 64, 2048
+CELL, MOST_WORDS = 128, 2048
 #: Asked chunks that meet one held chunk in a task.
 CHUNKS = 32
 #: Bits of a cell's number for each half's word.
@@ -77,31 +77,24 @@ class Grid:
         self.cut = self.dim // 2
         self.books = [_kmeans(half, words, seed + i) if words > 1 and half.shape[1] else half[:1] * 0 for i, half in enumerate((fit[:, : self.cut], fit[:, self.cut :]))]
         self.apart = [np.sqrt(np.maximum((c * c).sum(1)[:, None] + (c * c).sum(1) - 2 * c @ c.T, 0)) for c in self.books]
-        # A random direction's part along an axis, in the dim - 1 dimensions at right angles to a vector: its distribution.
-        t = np.linspace(-1, 1, 8193)
-        density = np.maximum(1 - t * t, 0) ** max((self.dim - 4) / 2, 0)
-        self.axis, self.tail = t, 1 - np.cumsum(density) / density.sum()
+        # A partner in a random direction goes so far along an axis (one standard deviation).
+        self.step = np.sqrt(max(1 - cosine**2, 1e-12) / max(self.dim - 1, 1))
         self.share = 1.0
         if recall < 1 and self.dim >= 8 and max(map(len, self.books)) > 1:
             self.share = self._calibrated(fit[:2000], recall, seed + 2)
 
     def _half(self, x: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nearest word; for each word the distance to its half-space, and the chance that a partner is on its side."""
+        """Nearest word; for each word the distance to its half-space, and the share of partners that this distance leaves it."""
         c, apart = self.books[half], self.apart[half]
         d = np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * x @ c.T, 0)
         near = d.argmin(1)
-        own = np.arange(len(x))
         gap = apart[near]
-        far = np.divide(d - d[own, near][:, None], 2 * gap, out=np.zeros_like(d), where=gap > 0)
-        along = x @ c.T
-        along = np.divide(along - along[own, near][:, None], gap, out=np.zeros_like(d), where=gap > 0)
-        spread = np.sqrt(max(1 - self.cosine**2, 1e-12)) * np.sqrt(np.maximum(1 - along * along, 1e-12))
-        chance = np.interp((far + (1 - self.cosine) * along) / spread, self.axis, self.tail) + 1e-15
-        chance[own, near] = 1
+        far = np.divide(d - d[np.arange(len(x)), near][:, None], 2 * gap, out=np.zeros_like(d), where=gap > 0)
+        chance = np.exp(-((far / self.step) ** 2) / 2) + 1e-300
         return near, np.maximum(far - SLACK, 0), chance / chance.sum(1)[:, None]
 
     def traverse(self, a: np.ndarray, b: np.ndarray, share: float) -> tuple[list[int], list[float]]:
-        """Cells (word of a, word of b) by falling chance until they hold `share` of it, and what was held before each."""
+        """Cells (word of a, word of b) from the nearest, that is, by falling chance, until they hold `share` of it, and what was held before each."""
         i, j = np.argsort(-a, kind="stable").tolist(), np.argsort(-b, kind="stable").tolist()
         p, q = a[i].tolist(), b[j].tolist()
         heap, cells, before, held = [(-p[0] * q[0], 0, 0)], [], [], 0.0
@@ -182,7 +175,7 @@ def _block(held: pa.StructArray, asked: pa.StructArray, cosine: float) -> tuple[
     return ids[counts > 0], counts[counts > 0], *_forest(link, ai, hi)
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, recall: float = 0.9995, words: int | None = None, sample: int = 8192, block: int = 512, seed: int = 7) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, recall: float = 0.999, words: int | None = None, sample: int = 8192, block: int = 512, seed: int = 7) -> DataFrame:
     """Columns id_col, n_links, component_id, kept: one row per input row.
 
     Codebooks are fitted on at most `sample` rows, with `words` words for each half or, where None, so many that a cell holds about CELL vectors.
@@ -235,9 +228,12 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     sizes = sizes.withColumn("zs", F.ceil(F.col("ys") / CHUNKS)).drop("rows")
     chunk = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    held = join_unique(indexed, sizes, "cell", "inner").groupBy("cell", "zs", chunk("xs").alias("x")).agg(F.collect_list(F.struct("id", "n", "v", "visit")).alias("held")).select("cell", "x", spread("zs").alias("z"), "held")
-    asked = join_unique(asked, sizes, "cell", "inner").groupBy("cell", "xs", "zs", chunk("ys").alias("y")).agg(F.collect_list(F.struct("id", "n", "v", "home")).alias("asked"))
-    asked = asked.select("cell", spread("xs").alias("x"), (F.col("y") % F.col("zs")).alias("z"), "asked")
+    deal = ["cell", "x", "z"]
+    # Each side is shuffled once, by what the chunks are joined on; chunks are put together where they are joined.
+    held = join_unique(indexed, sizes, "cell", "inner").select("cell", chunk("xs").alias("x"), spread("zs").alias("z"), F.struct("id", "n", "v", "visit").alias("row"))
+    asked = join_unique(asked, sizes, "cell", "inner").withColumn("y", chunk("ys")).select("cell", spread("xs").alias("x"), (F.col("y") % F.col("zs")).alias("z"), "y", F.struct("id", "n", "v", "home").alias("row"))
+    held = held.repartition(*deal).groupBy(*deal).agg(F.collect_list("row").alias("held"))
+    asked = asked.repartition(*deal).groupBy(*deal, "y").agg(F.collect_list("row").alias("asked"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,7 +243,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     no_edge = pa.nulls(len(ids), pa.int64())
                     yield pa.record_batch([pa.concat_arrays([pa.array(ids, pa.int64()), pa.array(u, pa.int64())]), pa.concat_arrays([no_edge, pa.array(v, pa.int64())]), pa.array(np.concatenate([counts, np.zeros(len(u))]).astype(np.int64))], ["id", "v", "n"])
 
-    met = held.join(asked, ["cell", "x", "z"]).select("held", "asked").mapInArrow(verify, "id long, v long, n long")
+    met = held.join(asked, deal).select("held", "asked").mapInArrow(verify, "id long, v long, n long")
     met = scratch.write(met.groupBy("id", "v").agg(F.sum("n").alias("n")), "met")
     comps = scratch.write(connected_components(met.where("v is not null").select(F.col("id").alias("u"), "v"), scratch), "labels")
     links = met.where("v is null").select("id", F.col("n").alias("links"))
