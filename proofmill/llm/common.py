@@ -40,6 +40,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/proofmill/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        self.paths: list[str] = []
 
     def write(self, df: DataFrame, name: str, partitionBy: str | None = None, **options: str) -> DataFrame:  # noqa: N803
         """Write df and return it as read back."""
@@ -48,6 +49,7 @@ class Scratch:
         df.write.options(**options).parquet(path, partitionBy=partitionBy)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.paths.append(path)
         return out
 
     def release(self) -> None:
@@ -57,8 +59,16 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later plan reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        self._delete(df._scratch_path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete every table but these."""
+        for path in set(self.paths) - {t._scratch_path for t in tables}:
+            self._delete(path)
+
+    def _delete(self, name: str) -> None:
+        self.paths.remove(name)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
