@@ -1,13 +1,13 @@
 """Licence scans: a trained paragraph classifier whose predictions templates confirm.
 
-A paragraph is the text between blank lines, line ends being white space, so that hard-wrapped notices are whole; a longer
-one is cut into windows of 48 words (half overlapping). The lines of a paragraph are scanned on their own too, so that short notices
+A paragraph is the text between lines without words (blank ones, and those of comment marks or rules alone), line ends and comment marks being
+white space, so that hard-wrapped notices are whole; a longer one is cut into windows of 48 words (half overlapping). The lines of a paragraph are scanned on their own too, so that short notices
 on adjacent lines do not blur one another. Its words (lower case, without ASCII punctuation) give 1- to 3-grams; those that occur in licence templates are the features of a sparse
 multinomial logistic regression over the licence families and a class `unknown`. It is trained here: positives
 are the templates' notices with words dropped, replaced, cropped and set in other text, negatives are
 paragraphs of the corpus (those of at most `sample` documents, smallest hashes first) and shuffled template
 words. The probabilities are calibrated by a temperature fitted on paragraphs held out of training, and the
-unknown class by the least threshold that lets none of the held-out negatives pass. A prediction
+unknown class by the least threshold (0.5 at least) that lets at most one in MISTAKES of the held-out negatives pass. A prediction
 counts only if the paragraph holds at least `confirm` of the word n-grams of one of that family's notices.
 
 A window of several lines is left out if a line in it gives the same family with no smaller share.
@@ -15,7 +15,8 @@ A window of several lines is left out if a line in it gives the same family with
 Scoring is one pass over whole texts. A paragraph without any template n-gram has the bias's score, which is unknown.
 
 Defined results: null or blank texts have no licence. Repeated rows are scored alike. An empty table trains on the
-templates and shuffled words alone.
+templates and shuffled words alone. Of equally likely families the alphabetically first is predicted. Texts of any length are scanned whole.
+Columns besides the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, hash_sample
 from .hashing import shingles, word_hashes
 
 HALF = 24
+#: One in so many held-out negatives may pass the threshold.
+MISTAKES = 200
 #: The notices by which each family is recognised.
 TEMPLATES: dict[str, list[str]] = {
     "agpl": ["GNU Affero General Public License", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "Licensed under the GNU Affero General Public License v3.0", "SPDX-License-Identifier: AGPL-3.0-only"],
@@ -140,7 +143,7 @@ class LicenceModel:
                 best, chosen = loss, self.temperature
         self.temperature = chosen
         wrong = 1 - self.probabilities(z)[y[test] == 0, 0]
-        self.threshold = float(min(0.95, max(0.5, wrong.max() + 1e-6 if len(wrong) else 0.5)))
+        self.threshold = float(max(0.5, np.sort(wrong)[-1 - len(wrong) // MISTAKES] + 1e-9 if len(wrong) else 0.5))
         return self
 
     def scan(self, texts: list[str | None], confirm: float) -> list[list[tuple[str, float, float, int, int]]]:
@@ -158,7 +161,7 @@ class LicenceModel:
         owner, n = np.array(owner), np.diff(at)
         hits = [(k, *self.lookup(shingles(h, k))) for k in (1, 2, 3) if len(h) >= k]
         base = np.concatenate([[0], np.cumsum(np.bincount(owner, n, minlength=len(texts)))]).astype(np.int64)
-        opens = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]) | np.array([not x.strip() for x in lines]))
+        opens = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]) | (n == 0))
         several = np.add.reduceat((n > 0).astype(np.int64), opens) > 1
         alone: dict[tuple[int, str], list[tuple[int, int, float]]] = {}
         for begin, words, family, prob, share in self._windows(hits, at, np.ones(len(n), bool), confirm):
@@ -210,7 +213,7 @@ class LicenceModel:
 
 def learn_licences(docs: DataFrame, text_col: str = "text", sample: int = 400, passages: int = 3000) -> LicenceModel:
     """Fit on the templates, with at most `passages` paragraphs of at most `sample` documents as negatives."""
-    chosen = docs.select(F.col(text_col).cast("string").alias("text")).where("length(text) > 0").orderBy(F.xxhash64("text"), "text").limit(sample)
+    chosen = hash_sample(docs.select(F.col(text_col).cast("string").alias("text")).where("length(text) > 0"), [F.col("text")], sample, docs.count())
     lines = chosen.select(F.explode(F.array_union(F.split("text", "\n"), F.split("text", r"\n\s*\n"))).alias("line")).where("length(line) > 0").orderBy(F.xxhash64("line"), "line").limit(passages)
     parts = [b" ".join(words[i : i + 2 * HALF]) for r in lines.collect() for words in [_plain(r.line).split()] for i in range(0, len(words), 2 * HALF)]
     return LicenceModel().fit(parts[:passages])
