@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import plain
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -257,7 +258,7 @@ WRAPPED = {
 }
 
 
-@pytest.mark.parametrize(("width", "mark", "end"), [(72, "", "\n"), (76, " * ", "\n"), (70, "# ", "\r\n")])
+@pytest.mark.parametrize(("width", "mark", "end"), [(72, "", "\n"), (80, " * ", "\n"), (60, "# ", "\r\n"), (72, "// ", "\n")])
 def test_wrapped_licences(spark, docs, width, mark, end):
     m = license_scan.learn_licences(docs)
     wrap = lambda t: end.join(mark + x for x in textwrap.wrap(t, width - len(mark)))
@@ -268,6 +269,47 @@ def test_wrapped_licences(spark, docs, width, mark, end):
     # Notices on adjacent lines are all found, and a blank line keeps paragraphs apart.
     assert {f for f, *_ in m.scan(["Released under the MIT License.\nLicensed under CC BY 4.0\nand other words"], 0.6)[0]} == {"mit", "cc-by"}
     assert m.scan(["Released under\n \nthe MIT\n\nLicense"], 0.6) == [[]]
+    assert m.scan(["# Released under\n#\n# the MIT\n#\n# License"], 0.6) == [[]]
+
+
+def test_licence_windows_equal_plain_code(spark, docs, sf_dir):
+    """Every window's score by dense sums, on the documents and on mixtures of notices."""
+    m = license_scan.learn_licences(docs)
+    r = random.Random(44)
+    notices = [t for x in license_scan.TEMPLATES.values() for t in x]
+    filler = "the river runs over stones and birds sing near old mills".split()
+    part = lambda: " ".join(w for w in r.choice(notices).split() if r.random() < 0.93) if r.random() < 0.4 else " ".join(r.choices(filler, k=r.randint(0, 60)))
+    texts = ["".join(part() + r.choice(["\n", "\n", " ", "\n\n", "\n # \n"]) for _ in range(r.randint(0, 12))) for _ in range(60)]
+    texts += [r_.text for r_ in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect() if r_.text and "icense" in r_.text][:30]
+    found = 0
+    for t, got in zip(texts, m.scan(texts, 0.6), strict=True):
+        want = plain.licences(m, t, 0.6)
+        assert sorted((a, n, f) for f, _, _, a, n in got) == [x[:3] for x in want]
+        assert sorted(p for _, p, *_ in got) == pytest.approx(sorted(x[3] for x in want), abs=1e-4)
+        found += len(want)
+    assert found > 30
+
+
+def test_licence_probabilities_hold_on_new_text(spark, sf_dir):
+    """Perturbed notices that training never saw, and paragraphs of other documents: right, and about as sure as right."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    m = license_scan.learn_licences(docs.where("doc_id % 2 = 0"))
+    r = random.Random(45)
+    other = [x.text for x in docs.where("doc_id % 2 = 1").select("text").collect() if x.text]
+    bits = [" ".join(t.split()[i : i + 20]) for t in other for i in (0, 40) if "icense" not in t and "rights" not in t]
+    passages, truth = [], []
+    for f, notices in license_scan.TEMPLATES.items():
+        for t in notices:
+            for _ in range(8):
+                words = [w for w in t.split() if r.random() > 0.12 or len(t.split()) < 10]  # a short one may hang on one word
+                passages.append(f"{r.choice(bits)} {' '.join(words)} {r.choice(bits)}"), truth.append(m.families.index(f))
+    passages += r.sample(bits, min(300, len(bits)))
+    truth += [0] * (len(passages) - len(truth))
+    p = m.probabilities(m.rows([license_scan._plain(x) for x in passages]) @ m.weight + m.bias)
+    right = p.argmax(1) == np.array(truth)
+    assert right.mean() > 0.93 and abs(p.max(1).mean() - right.mean()) < 0.06
+    unknown = p[np.array(truth) == 0]
+    assert ((1 - unknown[:, 0]) >= m.threshold).mean() < 0.03
 
 
 # ---------------------------------------------------------------- 5 secrets
@@ -482,6 +524,30 @@ def test_quality(spark, docs):
     assert quality.encode(None).shape == (1, quality.SIZE) and len(quality.encode("w " * 1000)) == 16
 
 
+def test_quality_equals_plain_code(spark, sf_dir):
+    """The registered query's scores against loops over passages, with the weights that it learned."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.learn_quality(docs, labels)
+    got = {r.doc_id: r for r in llm_queries.op7_quality(spark, sf_dir).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        want = plain.quality(model, r.text)
+        assert got[r.doc_id].score == pytest.approx(want, abs=1e-5) and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.7)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_quality_of_very_long_words_and_repeated_rows(spark):
+    word = "aB1.%" * 500_000  # longer than a packed counter's field
+    stats = quality.encode(word + " " + word)[0]
+    assert stats[:6] == pytest.approx(plain.passages("aB1.% aB1.%")[0][:6] * np.array([500_000, 500_000.0**2, 1, 1, 1, 1]), rel=1e-5)
+    rows = [(i, f"good words {i} and more " * 40 if i % 2 else "BAD!! $$$ " * 40) for i in range(60)] * 2 + [(7, "word " * 40_000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality.learn_quality(spark.createDataFrame(rows, "doc_id long, text string"), labels, passages=3)
+    out = quality.score_quality(spark.createDataFrame([(1, "x", "c", "d", 1, 2.0)], "doc_id long, text string, label string, held_out string, id long, score double"), model).collect()
+    assert isinstance(model, quality.Attention) and len(out) == 1
+
+
 def test_attention_gradient():
     m = quality.Attention()
     r = np.random.default_rng(1)
@@ -576,16 +642,7 @@ def test_least_matches():
 
 
 # ---------------------------------------------------------------- 10 personal data
-def luhn(d):
-    return sum((int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
-
-
-def plain_pii(t):
-    n = lambda m: re.sub("[^0-9]", "", m[0])
-    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
-    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(n(m)) <= 19 and luhn(n(m))]
-    return sorted(out + [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(n(m)) <= 15])
+plain_pii = plain.base_spans
 
 
 def test_personal_data(spark, docs):
@@ -634,3 +691,18 @@ def test_contextual_rounds_go_on(spark):
     rows += [f"the badge with code y{i}k opened" for i in range(8)] + [f"a visitor called number y{i}k left" for i in range(8)] + ["a visitor called number z7k left"]
     out = {r.doc_id: r.n_context for r in pii.find_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
     assert [out[i] for i in range(len(rows))] == [0] * 200 + [1] * (len(rows) - 200)
+
+
+def test_bootstrap_equals_plain_code(spark, sf_dir):
+    """Spans of the registered query, and of texts full of identifiers, against dictionaries of patterns and instances."""
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: r.spans for r in llm_queries.op10_pii(spark, sf_dir).collect()}
+    name = lambda spans: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    assert got == {i: name(s) for i, s in zip(rows, plain.all_spans(list(rows.values())), strict=True)}
+    r = random.Random(101)
+    lead = ["call me at", "my badge is", "see page", "reach " + "w" * 90 + " " + "v" * 200 + " at"]
+    thing = lambda: r.choice([f"u{r.randrange(30)}@x.com", f"+1 (509) 555-{r.randrange(6900, 6930)}", f"ID{r.randrange(40)}", str(r.randrange(30)), f"{r.randrange(10**8, 10**8 + 20)}"])
+    texts = [" ".join(f"{r.choice(lead)} {thing()} {r.choice(['now', 'or', 'today.'])}" for _ in range(r.randint(0, 6))) for _ in range(150)]
+    made = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), accept=0.6).collect()
+    want = plain.all_spans(texts, accept=0.6)
+    assert {x.doc_id: x.spans for x in made} == {i: name(s) for i, s in enumerate(want)} and sum(x.n_context for x in made) > 50
