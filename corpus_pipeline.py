@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; run() writes each
 stage's rows as Parquet to the shared folder and reads them again. All stages but the last return the columns
-of documents.
+of documents, whatever others there are.
+
+Defined results: null and blank texts are scored like any other (a bag of one empty passage), are near-duplicates of nothing, hold no
+benchmark passage and no personal data, and have one segmentation without pieces. Repeated rows are scored alike and leave one of their kind after
+near-dedup. An empty table goes through all stages and leaves no row.
 """
 
 from __future__ import annotations
@@ -28,10 +32,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates (five-word shingles, similarity 0.8)."""
-    kept = minhash_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    first = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return first
+    """One document, that of the smallest doc_id, of each group of near-duplicates (five-word shingles, similarity 0.8).
+
+    Of rows that repeat a doc_id one stays. Rows without a doc_id stand behind all others, by their text: one of each text stays that is
+    near no identified document.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
+    keyed = docs.withColumn("__key", key)
+    found = minhash_dedup(keyed.select("__key", "text"), id_col="__key")
+    first = keyed.join(found.where("kept").select("__key").distinct(), "__key", "left_semi")
+    if found.count() > found.select("__key").distinct().count():
+        first = first.dropDuplicates(["__key"])
+    return first.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +58,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled SentencePiece segmentations: ids of each sample, with scores."""
-    return sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), k=1)
+    """Two distinct sampled SentencePiece segmentations of each text: ids of each sample, with scores."""
+    return sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
