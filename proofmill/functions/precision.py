@@ -75,3 +75,9 @@ def evidence_needed(raw: Column) -> Column:
 
 def student_t(df: Column) -> Column:
     return F.coalesce(F.get(F.array(*map(F.lit, T95)), df.cast("int") - 1), F.lit(1.96))
+
+
+def shown(x: Column) -> Column:
+    """A number for a message: twelve decimals at most, no exponent, no trailing zeros."""
+    plain = F.regexp_replace(x.cast("double").try_cast("decimal(38,12)").cast("string"), r"\.0+$|(\.\d*?[1-9])0+$", "$1")
+    return F.when((x != 0) & (plain.isin("0", "-0")), F.format_string("%.4g", x.cast("double"))).otherwise(F.coalesce(plain, x.cast("string")))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.precision import evidence_needed
+from ..functions.precision import evidence_needed, shown as printed
 from .findings import FLAGGED, UNVERIFIABLE, VERIFIED, findings
 
 
@@ -42,9 +42,8 @@ def band_join(wanted: DataFrame, values: DataFrame) -> DataFrame:
     wanted = wanted.withColumn("width", F.ceil(F.log10(2 * F.col("tol")) - 1e-9).cast("int"))
     scale = F.pow(F.lit(10.0), F.col("width").cast("double"))
     wanted = wanted.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("target") - F.col("tol")) / scale) - 0, F.floor((F.col("target") + F.col("tol")) / scale))))
-    widths = wanted.select("width").distinct()  # a handful: printed precisions
-    held = values.withColumnRenamed("value", "v").join(F.broadcast(widths))
-    held = held.withColumn("bucket", F.floor(F.col("v") / scale))
+    widths = sorted(r.width for r in wanted.select("width").distinct().collect() if r.width is not None)  # a handful: printed precisions
+    held = values.withColumnRenamed("value", "v").withColumn("width", F.explode(F.array(*map(F.lit, widths)).cast("array<int>"))).withColumn("bucket", F.floor(F.col("v") / scale))
     return wanted.join(held, ["width", "bucket"]).where(F.abs(F.col("v") - F.col("target")) <= F.col("tol")).drop("width", "bucket")
 
 
@@ -141,9 +140,9 @@ def check_sources(claims: DataFrame, values: DataFrame, files: DataFrame) -> Dat
     """Findings: one row for each claim; flagged if a number is, verified if all are."""
     refs = referenced_files(claims, files)
     each = number_verdicts(claims, values, refs)
-    near = nearest_two(each.where(F.col("status") == FLAGGED), refs, values).groupBy("claim_id", "num").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "near_where", "near"))), lambda x: F.concat(x["near_where"], F.lit("="), x["near"].cast("string"))), "; ").alias("near"))
+    near = nearest_two(each.where(F.col("status") == FLAGGED), refs, values).groupBy("claim_id", "num").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "near_where", "near"))), lambda x: F.concat(x["near_where"], F.lit("="), printed(x["near"]))), "; ").alias("near"))
     each = each.join(near, ["claim_id", "num"], "left")
-    value = F.concat("file", F.lit(": "), "where", F.lit(" = "), F.col("found").cast("string"))
+    value = F.concat("file", F.lit(": "), "where", F.lit(" = "), printed(F.col("found")))
     text = F.when(F.col("status") == VERIFIED, value).when(F.col("status") == FLAGGED, F.concat(F.lit("the sentence points at data without this value; nearest: "), F.coalesce("near", F.lit("none")))).when(F.col("found").isNotNull(), F.concat(F.lit("equals "), "file", F.lit(": "), "where", F.lit(" but the sentence shares no words with it"))).otherwise("no matching value")
     part = F.struct("num", "status", F.concat(F.substring("status", 1, 1), F.lit(":"), "raw", F.lit(" "), text).alias("text"))
     folded = each.groupBy("claim_id").agg(F.bool_or(F.col("status") == FLAGGED).alias("flag"), F.bool_and(F.col("status") == VERIFIED).alias("ok"), F.array_sort(F.collect_list(part)).alias("parts"))

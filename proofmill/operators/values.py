@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import name_tokens, number
 
@@ -27,26 +28,54 @@ def _list(words: list[str]) -> Column:
 
 
 def unpivot(table: DataFrame, file: str, row_key: Column | None = None) -> DataFrame:
-    """file, header, raw: one row for each non-empty cell of every column, read as text; with label if row_key."""
-    columns = table.columns
-    pairs = F.array(*(F.struct(F.lit(c).alias("header"), F.col(f"`{c}`").cast("string").alias("raw")) for c in columns))
+    """file, header, raw, v: one row for each non-empty cell of every column, as text and as a number; with label if row_key."""
+    pair = lambda c, kind: F.struct(F.lit(c).alias("header"), F.col(f"`{c}`").cast("string").alias("raw"), _typed_number(F.col(f"`{c}`"), kind).alias("v"))
+    pairs = F.array(*(pair(f.name, f.dataType) for f in table.schema.fields))
     out = table.select(F.lit(file).alias("file"), *([row_key.alias("label")] if row_key is not None else []), F.explode(pairs).alias("cell"))
-    return out.select("file", *(["label"] if row_key is not None else []), "cell.header", "cell.raw").where("raw is not null and raw <> ''")
+    return out.select("file", *(["label"] if row_key is not None else []), "cell.header", "cell.raw", "cell.v").where("raw is not null and raw <> ''")
+
+
+def _typed_number(x: Column, kind: T.DataType) -> Column:
+    """What `number` reads from the cell's text, without the text where the type allows."""
+    if isinstance(kind, T.BooleanType):
+        return x.cast("double")
+    if isinstance(kind, (T.IntegralType, T.DecimalType, T.DoubleType)):
+        v = x.cast("double")
+        return F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).otherwise(v)
+    return number(x.cast("string"))
+
+
+def _number(cells: DataFrame) -> Column:
+    return F.col("v") if "v" in cells.columns else number("raw")
+
+
+def medians(cells: DataFrame, v: Column) -> DataFrame:
+    """Exact median of each column (file, header, median), without all its values in one place.
+
+    A sketch brackets the median within a thousandth of the ranks; below the bracket values are counted, and within it equal values are one row.
+    """
+    of = ["file", "header"]
+    rows = cells.select(*of, v.alias("x")).where("x is not null")
+    bracket = rows.groupBy(*of).agg(F.count("*").alias("n"), F.percentile_approx("x", [0.4995, 0.5005], 10_000).alias("b"))
+    near = rows.join(bracket, of).where(F.col("x") <= F.col("b")[1]).groupBy(*of, "n", F.when(F.col("x") >= F.col("b")[0], F.col("x")).alias("x")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*of).orderBy(F.asc_nulls_first("x")))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("x")))
+    ranked = near.withColumn("upto", upto).groupBy(*of, "n").agg(at(F.floor((F.col("n") - 1) / 2)).alias("low"), at(F.floor(F.col("n") / 2)).alias("high"))
+    return ranked.select(*of, ((F.col("low") + F.col("high")) / 2).alias("median"))
 
 
 def column_types(cells: DataFrame) -> DataFrame:
     """Per column: cells, cells that are numbers, distinct cells, and whether nine tenths are numbers."""
-    n = number("raw")
-    return cells.groupBy("file", "header").agg(F.count("*").alias("cells"), F.count(n).alias("numeric_cells"), F.count_distinct("raw").alias("distinct_cells")).withColumn("is_numeric", F.col("numeric_cells") >= 0.9 * F.col("cells"))
+    return cells.groupBy("file", "header").agg(F.count("*").alias("cells"), F.count(_number(cells)).alias("numeric_cells"), F.count_distinct("raw").alias("distinct_cells")).withColumn("is_numeric", F.col("numeric_cells") >= 0.9 * F.col("cells"))
 
 
 def numeric_aggregates(cells: DataFrame) -> DataFrame:
     """Per numeric column: every aggregate as a row (file, header, what, value)."""
-    v = number("raw")
+    v = _number(cells)
     binary, unit = F.bool_and(v.isin(0.0, 1.0)), F.bool_and(v.between(0.0, 1.0))
     stats = cells.groupBy("file", "header").agg(
-        F.count("*").alias("cells"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum"), F.stddev_samp(v).alias("std"), binary.alias("binary"), unit.alias("unit")
-    ).where((F.col("n") >= 0.9 * F.col("cells")) & (F.col("n") > 0))
+        F.count("*").alias("cells"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum"), F.stddev_samp(v).alias("std"), binary.alias("binary"), unit.alias("unit")
+    ).where((F.col("n") >= 0.9 * F.col("cells")) & (F.col("n") > 0)).join(medians(cells, v), ["file", "header"])
     share = F.col("unit") & ~F.col("binary")
     rows = {
         "count": F.col("n").cast("double"), "mean": F.col("mean"), "median": F.col("median"), "min": F.col("min"), "max": F.col("max"), "sum": F.col("sum"), "std": F.when(F.col("n") > 1, F.col("std")),
@@ -82,7 +111,7 @@ def index_table(table: DataFrame, file: str, label_col: str | None = None, cells
     if cells if cells is not None else len(table.limit(MOST_CELL_ROWS + 1).select(F.lit(1)).collect()) <= MOST_CELL_ROWS:
         label = F.col(f"`{label_col}`").cast("string") if label_col else F.lit("")
         numeric = column_types(long).where("is_numeric").select("file", "header")
-        each = unpivot(table, file, F.coalesce(label, F.lit(""))).join(numeric, ["file", "header"], "left_semi").withColumn("v", number("raw")).where("v is not null")
+        each = unpivot(table, file, F.coalesce(label, F.lit(""))).join(numeric, ["file", "header"], "left_semi").where("v is not null")
         parts.append(_row(each, F.col("v"), F.concat("header", F.lit(" ["), "label", F.lit("]")), header, _list([]), name_tokens("label")))
     return reduce(DataFrame.unionByName, parts)
 

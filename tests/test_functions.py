@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from proofmill.functions import precision as P
 from proofmill.functions import text as X
 from proofmill.functions.numbers import numbers
-from proofmill.operators.arithmetic import comparison, seed_rows
+from proofmill.operators.arithmetic import comparisons, seed_rows
 from proofmill.operators.registry import mask_code, parse_tag, tags_of
 from proofmill.operators.sentences import sentences_of, units
 
@@ -36,6 +36,9 @@ def test_numbers(sentence, expected):
 def test_strip_and_tokens(spark):
     assert one(spark, X.strip_markdown(F.lit("a <!-- x\ny --> [link](u) `code` **bold**"))).split() == ["a", "link", "bold"]
     assert one(spark, X.strip_tex(F.lit(r"We \emph{gain} 5\% \cite{x} % note"))).split() == ["We", "gain", "5%"]
+    assert one(spark, X.strip_tex(F.lit(r"\textbf{A \emph{b}} \paragraph{C} 3 \pm 1 \foo{} \hspace{1em} $x$ 1{,}000 a & b \\ d"))).split() == "A b C 3 ± 1 foo x 1000 a | b d".split()
+    assert one(spark, X.strip_markdown(F.lit("**[a b](u)** and [*c*](v) ```x\ny``` _d_"))).split() == ["a", "b", "and", "c", "d"]
+    assert [one(spark, P.shown(F.lit(x))) for x in (1.0e7, 0.1 + 0.2, 1234567.89, -0.5, 0.0, 100.0, 1e-20, 12.340)] == ["10000000", "0.3", "1234567.89", "-0.5", "0", "100", "1.000e-20", "12.34"]
     assert one(spark, X.tokens(F.lit("The Models and models show classes"))) == ["classe", "model"]
     assert one(spark, X.name_tokens(F.lit("meanScore_total.csv"))) == ["csv", "mean", "score", "total"]
     assert one(spark, X.sentences(F.lit("See Fig. 2 now. Then stop! (Really.) ok"))) == ["See Fig. 2 now.", "Then stop!", "(Really.) ok"]
@@ -60,20 +63,24 @@ def test_units_and_lines():
     assert sentences_of("") == []
 
 
-@pytest.mark.parametrize(
-    ("sentence", "expected"),
-    [
-        ("We reach 91.2 against the baseline's 88.0, a gain of 4.2 points.", ("against", "4.2", "points")),
-        ("It ranged from 88.0 to 91.2, a gain of 3.2 points.", None),
-        ("The learning rate goes from 0.1 to 0.01, a reduction of 90%.", None),
-        ("From 80.0 to 82.0; however a drop of 5 points elsewhere.", None),
-        ("It was 88.0, 89.0 and 91.2 vs 87.0, a gain of 4.2 points.", None),
-        ("No numbers here.", None),
-    ],
-)
-def test_comparison(sentence, expected):
-    got = comparison(sentence)
-    assert (got and (got["frame"], got["change"], got["unit"])) == expected
+COMPARED = [
+    ("We reach 91.2 against the baseline's 88.0, a gain of 4.2 points.", ("against", "4.2", "points")),
+    ("It ranged from 88.0 to 91.2, a gain of 3.2 points.", None),
+    ("The learning rate goes from 0.1 to 0.01, a reduction of 90%.", None),
+    ("From 80.0 to 82.0; however a drop of 5 points elsewhere.", None),
+    ("It was 88.0, 89.0 and 91.2 vs 87.0, a gain of 4.2 points.", None),
+    ("No numbers here.", None),
+    ("It beats 80.0 vs 78.0 and improves by 2.0 points.", ("against", "2.0", "points")),
+    ("We improve from 10% to 12%, 2 pp.", ("from to", "2", "points")),
+    ("From 80.0 to 82.0 the 82.0% gain holds.", ("from to", "82.0", "percent")),
+    ("91.2 vs 88.0 is a 3.6% relative improvement, as 91.2 vs 88.0 shows.", None),
+]
+
+
+def test_comparison(spark):
+    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(COMPARED)], "i int, text string")
+    got = {r.i: (r.frame, r.change, r.unit) for r in comparisons(df).collect()}
+    assert [got.get(i) for i in range(len(COMPARED))] == [e for _, e in COMPARED]
 
 
 def test_seed_rules():
