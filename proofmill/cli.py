@@ -18,6 +18,9 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--only", help="comma-separated checks")
     c.add_argument("--registry")
     c.add_argument("--records", help="Parquet table of recorded metadata for the citation check")
+    c.add_argument("--cited", help="Parquet table of cited sources for the support check")
+    c.add_argument("--replies", help="Parquet table of recorded model replies for the support check")
+    c.add_argument("--offline", action="store_true", help="leave the recorded tables out")
     c.add_argument("--json", action="store_true")
     c.add_argument("--show-verified", action="store_true")
     c.add_argument("--show-unverifiable", action="store_true")
@@ -28,7 +31,7 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--fail-on", choices=["flagged", "unverifiable", "never"], default="flagged")
     c.add_argument("--exit-zero", action="store_true")
     a = p.parse_args(argv)
-    why = "--top needs a positive number" if a.top is not None and a.top < 1 else "--top and --json exclude each other" if a.top and a.json else None if os.path.exists(a.path) or "://" in a.path else f"{a.path} does not exist"
+    why = "--top needs a positive number" if a.top is not None and a.top < 1 else "--top and --json exclude each other" if a.top and a.json else "--replies needs support among --only" if a.replies and "support" not in (a.only or "").split(",") else None if os.path.exists(a.path) or "://" in a.path else f"{a.path} does not exist"
     if why:
         print(report.error_json(why) if a.json else why, file=sys.stdout if a.json else sys.stderr)
         return 2
@@ -38,8 +41,9 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName("proofmill").getOrCreate()
     only = a.only.split(",") if a.only else None
+    recorded = lambda path: spark.read.parquet(path) if path and not a.offline else None
     try:
-        found = audit(spark, a.path, only, spark.read.parquet(a.records) if a.records else None, a.strict, a.exclude, a.registry, a.max_urls).cache()
+        found = audit(spark, a.path, only, recorded(a.records), a.strict, a.exclude, a.registry, a.max_urls, recorded(a.cited), recorded(a.replies)).cache()
     except ValueError as e:
         print(report.error_json(str(e)) if a.json else e, file=sys.stdout if a.json else sys.stderr)
         return 2

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache, reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +40,19 @@ def capped(mentions: DataFrame, most: int, order: list[str]) -> DataFrame:
     return mentions.withColumn("place", place).where(F.col("place") <= most).drop("place")
 
 
+@cache
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Letters whose compatibility decomposition begins with one ASCII letter, that letter, and those that decompose into several."""
+    made = {c: d for c in map(chr, range(0x80, 0x10000)) if (d := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode().lower()).isalpha()}
+    one = {c: d for c, d in made.items() if len(d) == 1}
+    return "".join(one), "".join(one.values()), {c: d for c, d in made.items() if "\ufb00" <= c <= "\ufb06"}
+
+
 def normal_name(x: Column) -> Column:
-    """Names as lower-case ASCII letters and blanks; common accents lose their marks."""
-    plain = F.translate(F.lower(F.regexp_replace(x, r"\\[`'^\"~=.]\{?(\w)\}?", "$1")), "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšž", "aaaaaaceeeeiiiinoooooouuuuyysz")
-    return F.trim(F.regexp_replace(plain, "[^a-z ]", ""))
+    """Names as lower-case ASCII letters and blanks: TeX accents go, letters are decomposed, combining marks and all else go."""
+    letters, plain, several = _folding()
+    bare = reduce(lambda t, s: F.replace(t, F.lit(s[0]), F.lit(s[1])), several.items(), F.regexp_replace(x, r"\\[`'^\"~=.]\{?(\w)\}?", "$1"))
+    return F.trim(F.regexp_replace(F.lower(F.translate(bare, letters, plain)), "[^a-z ]", ""))
 
 
 def surnames(authors: Column) -> Column:

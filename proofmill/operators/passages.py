@@ -26,10 +26,26 @@ def inverse_frequency(sentences: DataFrame, key: str, token: str = "token") -> D
     return df.join(F.broadcast(n)).withColumn("idf", F.log(1 + F.col("total") / F.col("df"))).drop("total")
 
 
-def best_passages(claims: DataFrame, passages: DataFrame, k: int = 4) -> DataFrame:
-    """claims (claim, token) and passages (passage, token), distinct: the k passages of most squared idf for each claim."""
-    idf = inverse_frequency(passages, "passage")
-    scored = claims.join(passages, "token").join(idf, "token").groupBy("claim", "passage").agg(F.sum(F.pow("idf", F.lit(2.0))).alias("score"), F.count("*").alias("shared"))
+def best_passages(claims: DataFrame, passages: DataFrame, k: int = 4, rare_share: float = 0.02) -> DataFrame:
+    """claims (claim, token) and passages (passage, token), distinct: the k passages of most squared idf for each claim.
+
+    Tokens in more than rare_share of the passages are common. Claims meet passages on rare tokens first; what the common ones can add is bounded, so
+    common tokens are only looked up for the passages that may still be among the k best. Claims whose k-th score is below that bound meet on all tokens.
+    """
+    idf = inverse_frequency(passages, "passage").withColumn("weight", F.pow("idf", F.lit(2.0)))
+    total = passages.select("passage").distinct().count()
+    asked = claims.join(idf, "token").select("claim", "token", "weight", (F.col("df") <= rare_share * total).alias("rare")).cache()
+    bound = asked.where("not rare").groupBy("claim").agg(F.sum("weight").alias("more"))
+    met = asked.where("rare").join(passages, "token").groupBy("claim", "passage").agg(F.sum("weight").alias("score"), F.count("*").alias("shared")).join(bound, "claim", "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
+    place = F.row_number().over(Window.partitionBy("claim").orderBy(F.desc("score")))
+    least = met.withColumn("place", place).where(F.col("place") == k).select("claim", F.col("score").alias("least"), "more")
+    sure = least.where(F.col("least") > F.col("more") + 1e-9).select("claim", "least")
+    near = met.join(sure, "claim").where(F.col("score") + F.col("more") >= F.col("least") - 1e-9).select("claim", "passage")
+    # Both token and passage are keys here, so a token that all passages hold is no hot key.
+    added = near.join(asked.where("not rare"), "claim").join(passages, ["passage", "token"]).select("claim", "passage", "weight")
+    scored = near.join(asked.where("rare"), "claim").join(passages, ["passage", "token"]).select("claim", "passage", "weight").unionByName(added)
+    open_claims = asked.join(sure.select("claim"), "claim", "left_anti")
+    scored = scored.unionByName(open_claims.join(passages, "token").select("claim", "passage", "weight")).groupBy("claim", "passage").agg(F.sum("weight").alias("score"), F.count("*").alias("shared"))
     order = Window.partitionBy("claim").orderBy(F.desc(F.round("score", 9)), F.desc("passage"))
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ABBREVIATIONS, DOT, STOP_WORDS, sentences, tokens
-from ..operators import arithmetic, collected, consistency, findings, mentions, overclaim, passages, registry, source_check, values
+from ..operators import arithmetic, citation, collected, consistency, findings, json_index, judge, mentions, overclaim, passages, registry, source_check, support, values
 from ..operators.sentences import extract_claims, split_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,7 +62,26 @@ def _sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum(F.length("s")).alias("n_chars"), F.max(F.length("s")).alias("longest"))
 
 
-@query("unit_assembly")
+_PROTECTED = "p"
+for _a in ABBREVIATIONS:
+    _PROTECTED = f"replace({_PROTECTED}, '{_a}', '{_a.replace('.', DOT)}')"
+
+
+@query("unit_assembly", rf"""
+with clean as (select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?s:<!--.*?-->)|(?s:```.*?```)|`[^`\n]*`', ' ', 'g'), '!?\[([^\]]*)\]\([^)]*\)|[*_]{{1,3}}([^*_\n]+)[*_]{{1,3}}', '\1\2', 'g'),
+'!?\[([^\]]*)\]\([^)]*\)|[*_]{{1,3}}([^*_\n]+)[*_]{{1,3}}', '\1\2', 'g') as text from {{documents}} where text is not null),
+lines as (select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) as n from clean),
+cut as (select doc_id, n, regexp_replace(s, '^\s+|\s+$', '', 'g') as s from lines),
+kinds as (select *, case when s like '|%' and length(s) - length(replace(s, '|', '')) >= 2 then case when regexp_full_match(s, '\|?[\s:|-]+\|?') then 'rule' else 'row' end
+when regexp_matches(s, '^#{{1,6}}\s') then 'heading' when s <> '' and not regexp_full_match(s, '[-=]{{3,}}') then 'prose' else 'gap' end as kind from cut),
+runs as (select *, sum(case when kind = before then 0 else 1 end) over (partition by doc_id order by n) as run from (select *, lag(kind) over (partition by doc_id order by n) as before from kinds)),
+parts as (select doc_id, n, kind, case when kind = 'prose' then run else -n end as unit, case kind when 'heading' then trim(regexp_replace(s, '^#+', '')) when 'prose' then regexp_replace(s, '^([-*+]|\d+[.)])\s+', '') else s end as s from runs where kind in ('row', 'heading', 'prose')),
+places as (select *, sum(length(s) + 1) over (partition by doc_id, unit order by n) - length(s) - 1 as at from parts),
+units as (select doc_id, unit, min(n) as line, string_agg(s, ' ' order by n) as p from parts group by doc_id, unit),
+pieces as (select doc_id, unit, line, unnest(string_split(x, chr(1))) as piece, generate_subscripts(string_split(x, chr(1)), 1) as i from (select doc_id, unit, line, regexp_replace({_PROTECTED}, '([.!?])(\s+)([A-Z(\["''])', '\1\2' || chr(1) || '\3', 'g') as x from units)),
+begun as (select *, sum(length(piece)) over (partition by doc_id, unit order by i) - length(piece) as begin from pieces),
+made as (select b.doc_id, b.unit, b.i, b.line + (select count(*) from places p where p.doc_id = b.doc_id and p.unit = b.unit and p.at > 0 and p.at <= b.begin) as line, regexp_replace(replace(piece, '{DOT}', '.'), '^\s+|\s+$', '', 'g') as sentence, b.line as first from begun b)
+select concat('d/', doc_id, '.md') as rel, cast(line as int) as line, cast(row_number() over (partition by doc_id order by first, i) - 1 as int) as seq, sentence from made where sentence <> ''""")
 def _unit_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), "doc_id", F.lit(".md")).alias("rel"), "text"))
 
@@ -376,12 +395,13 @@ def _passage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- reports
 HEADED = """
-select source as dir, case when doc_id % 3 = 0 then concat('---\n# Intro\n## Setup\n', left(text, 20)) else concat('# Part ', cast(doc_id % 9 as string), '\nText') end as text from {documents}"""
+select source as dir, case when doc_id % 3 = 0 then concat('---\n# Intro\n## Setup\n', text) else concat('# Part ', cast(doc_id % 9 as string), '\n', coalesce(text, '')) end as text from {documents}"""
 
 
 @query("collected_dirs", """
-with d as (select source as dir, doc_id % 3 = 0 as front, case when doc_id % 3 = 0 then 'x' else cast(doc_id % 9 as varchar) end as shape from {documents}), s as (select dir, shape, count(*) as n from d group by dir, shape),
-f as (select dir, count(*) as files, count(*) filter (front) as frontmatter from d group by dir), r as (select dir, cast(sum(case when n > 1 then n else 0 end) as bigint) as repeated from s group by dir)
+with d as (select source as dir, case when doc_id % 3 = 0 then '---' || chr(10) || '# Intro' || chr(10) || '## Setup' || chr(10) || text else '# Part ' || (doc_id % 9) || chr(10) || coalesce(text, '') end as text from {documents}),
+h as (select dir, coalesce(text like '---%', false) as front, array_to_string(regexp_extract_all(text, '(?m)^#{1,3} (.+)$', 1)[1:6], chr(10)) as shape from d), s as (select dir, shape, count(*) as n from h group by dir, shape),
+f as (select dir, count(*) as files, count(*) filter (front) as frontmatter from h group by dir), r as (select dir, cast(sum(case when n > 1 and shape is not null then n else 0 end) as bigint) as repeated from s group by dir)
 select dir, files, frontmatter, repeated from f join r using (dir) where files >= 5 and (frontmatter >= 0.8 * files or (files >= 20 and repeated >= 0.2 * files))""")
 def _collected_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collected.collected_directories(generated(spark, sf_dir, HEADED))
@@ -410,3 +430,121 @@ with f as ({FOUND}), r as (select *, row_number() over (partition by "check" ord
 select "check", status, file, line, message, place, total, greatest(total - 200, 0) as trimmed from r where place <= 200""")
 def _per_check_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.listed(generated(spark, sf_dir, FOUND), 200).drop("evidence")
+
+
+@query("overall_totals", f"""
+with f as ({FOUND}) select count(*) filter (status = 'VERIFIED') as verified, count(*) filter (status = 'FLAGGED') as flagged, count(*) filter (status = 'UNVERIFIABLE') as unverifiable from f""")
+def _overall_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.totals(generated(spark, sf_dir, FOUND))
+
+
+# ---------------------------------------------------------------- more of the value index
+SHARES = "select o_orderkey, cast(case when o_orderkey % 3 = 0 then 1 else 0 end as int) as is_rush, cast(o_orderkey % 11 as double) / 10 as score from {orders}"
+
+
+@query("binary_share", f"""
+with t as ({SHARES}), x as (select cast(is_rush as double) as v from t) select 'count' as what, cast(count(*) as double) as value from x union all select 'mean', round(avg(v), 6) from x union all select 'median', median(v) from x union all select 'min', min(v) from x
+union all select 'max', max(v) from x union all select 'sum', sum(v) from x union all select 'std', round(stddev_samp(v), 6) from x union all select 'share', round(100 * avg(v), 6) from x union all select 'count true', sum(v) from x""")
+def _binary_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = values.unpivot(generated(spark, sf_dir, SHARES).select("is_rush"), "shares")
+    return values.numeric_aggregates(cells).select("what", F.round("value", 6).alias("value"))
+
+
+@query("row_counts", "select 'part' as file, cast(count(*) as double) as value from {part} union all select 'nation', cast(count(*) as double) from {nation}")
+def _row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = [values.index_table(table(spark, sf_dir, t), t) for t in ("part", "nation")]
+    return made[0].unionByName(made[1]).where(F.col("where") == "row count").select("file", "value")
+
+
+@query("json_values", """
+with s as (select concat('runs/', s_suppkey, '.json') as file, cast(s_suppkey as double) as k from {supplier}) select file, 'final' as "where", k as value from s
+union all select file, 'pooled.names length', 2.0 from s union all select file, concat('pooled.runs[', i, ']'), k + case i when 0 then 0 when 1 then 2 else 7 end from s, (select unnest([0, 1, 2]) as i) union all select file, concat('pooled.runs ', w), round(case w when 'count' then 3 when 'mean' then k + 3 when 'median' then k + 2 when 'min' then k when 'max' then k + 7 when 'sum' then 3 * k + 9 else sqrt(13) end, 6)
+from s, (select unnest(['count', 'mean', 'median', 'min', 'max', 'sum', 'std']) as w)""")
+def _json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return json_index.index_json(json_index.walk_json(_lists(spark, sf_dir))).select("file", "where", F.round("value", 6).alias("value"))
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    text = F.format_string('{"final": %d, "pooled": {"runs": [%d, %d, %d], "names": ["x", "y"]}}', k, k, k + 2, k + 7)
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("runs/"), k.cast("string"), F.lit(".json")).alias("file"), text.alias("text"))
+
+
+# ---------------------------------------------------------------- citations against records
+@query("citation_verdicts", """
+select concat('2001.', lpad(cast(10000 + p_partkey % 80000 as varchar), 5, '0')) as ident, case p_partkey % 6 when 0 then 'FLAGGED' when 1 then 'VERIFIED' when 2 then 'FLAGGED' when 3 then 'FLAGGED' else 'UNVERIFIABLE' end as status,
+case p_partkey % 6 when 0 then 'not found' when 1 then 'matches bib authors/title' when 2 then 'bib entry does not match the record' when 3 then 'bib entry does not match the record' else 'could not be checked' end as said,
+case p_partkey % 6 when 2 then 'authors differ: record Ann Doe' when 3 then 'title differs: record Quite another thing' else '' end as evidence, cast(2 as int) as line from {part} where p_partkey < 80000""")
+def _citation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two entries for each identifier, the last of which stands for it; authors, titles and answers by the key."""
+    part = table(spark, sf_dir, "part").where("p_partkey < 80000")
+    k, ident = F.col("p_partkey"), F.concat(F.lit("2001."), F.lpad((10000 + F.col("p_partkey") % 80000).cast("string"), 5, "0"))
+    fields = lambda author: F.create_map(F.lit("eprint"), ident, F.lit("title"), F.lit("A Study of Many Things"), F.lit("author"), F.lit(author))
+    entry = lambda line, author: part.select(F.concat(F.lit("b/"), k.cast("string"), F.lit(".bib")).alias("rel"), F.lit("a").alias("ord"), F.concat(F.lit(f"k{line}_"), k.cast("string")).alias("key"), fields(author).alias("fields"), F.lit(line).alias("line"), F.lit(None).cast("string").alias("unread"))
+    bib = entry(1, "Nobody, At All").unionByName(entry(2, "Doe, Jane and Roe, Max"))
+    authors = F.when(k % 6 == 2, F.array(F.lit("Ann Doe"))).otherwise(F.array(F.lit("Jane Doe"), F.lit("Max Roe")))
+    title = F.when(k % 6 == 3, "Quite another thing").otherwise("A study of many things")
+    records = part.where("p_partkey % 6 <> 5").select(F.lit("arxiv").alias("kind"), ident.alias("ident"), F.when(k % 6 == 0, 404).when(k % 6 == 4, 403).otherwise(200).alias("status_code"), title.alias("title"), authors.alias("authors"))
+    docs = spark.createDataFrame([], "rel string, ord string, text string")
+    found = citation.check_citations(docs, bib, records)
+    return found.select(F.regexp_extract("message", "arXiv:([0-9.]+):", 1).alias("ident"), "status", F.regexp_extract("message", ": (.*)$", 1).alias("said"), "evidence", "line")
+
+
+# ---------------------------------------------------------------- support
+_CITING = [
+    ("Smith et al. \\\\cite{k%s} show that it holds.", "UNVERIFIABLE", "nothing checkable"), ("Jones et al. \\\\cite{k%s} show that it holds.", "FLAGGED", "names Jones"), ("See the 2010 paper \\\\cite{k%s} now.", "FLAGGED", "to 2010"),
+    ("They show that ZebraNet works \\\\cite{k%s}.", "FLAGGED", "ZebraNet"), ("They never mention conformal prediction \\\\cite{k%s}.", "FLAGGED", "its text does"), ("Its accuracy was 91.5 in the paper \\\\cite{k%s}.", "FLAGGED", "91.5"), ("They show that TurboNet works \\\\cite{missing}.", "UNVERIFIABLE", "no arXiv id"),
+]
+
+
+def _support_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One citing sentence for each supplier, a bibliography whose first entry of a key wins, and the sources."""
+    k = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    sentence = F.get(F.array(*(F.lit(s.replace("\\\\", "\\")) for s, _, _ in _CITING)), (F.col("k") % len(_CITING)).cast("int"))
+    docs = k.select(F.concat(F.lit("p/"), F.col("k").cast("string"), F.lit(".tex")).alias("rel"), F.concat(F.lit("A sentence before it. "), F.replace(sentence, F.lit("%s"), F.col("k").cast("string"))).alias("text"))
+    key, ident = F.concat(F.lit("k"), F.col("k").cast("string")), F.concat(F.lit("arxiv:2001."), F.lpad(F.col("k").cast("string"), 5, "0"))
+    bib = k.select(key.alias("key"), ident.alias("ident"), F.lit("1").alias("ord")).unionByName(k.select(key.alias("key"), F.lit("arxiv:9901.00001").alias("ident"), F.lit("2").alias("ord")))
+    body = "Conformal prediction is a method that holds. Conformal prediction again. TurboNet works and the results follow. " * 3
+    sources = k.select(ident.alias("ident"), F.lit("A title").alias("title"), F.array(F.lit("Ann Smith")).alias("authors"), F.lit(2020).alias("year"), F.lit(True).alias("trusted"), F.lit(body).alias("body"), F.lit("").alias("refs"))
+    return docs, bib, sources
+
+
+@query("support_verdicts", "select concat('p/', s_suppkey, '.tex') as file, cast(1 as int) as line, case s_suppkey % 7 " + " ".join(f"when {i} then '{s}'" for i, (_, s, _) in enumerate(_CITING)) + " end as status, true as reason_given from {supplier}")
+def _support_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = support.check_support(*_support_tables(spark, sf_dir), most_sources=1_000_000)
+    case = F.regexp_extract("file", r"p/(\d+)\.tex", 1).cast("int") % len(_CITING)
+    wanted = F.get(F.array(*(F.lit(w) for _, _, w in _CITING)), case)
+    return found.select("file", "line", "status", F.contains("message", wanted).alias("reason_given"))
+
+
+@query("citing_context", "select concat('p/', s_suppkey, '.tex') as rel, 'A sentence before it.' as context, case when s_suppkey % 7 = 6 then null else concat('arxiv:2001.', lpad(cast(s_suppkey as varchar), cast(greatest(5, length(cast(s_suppkey as varchar))) as int), '0')) end as ident from {supplier}")
+def _citing_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bib, _ = _support_tables(spark, sf_dir)
+    return support.find_pairs(docs, bib).select("rel", "context", F.get("idents", F.lit(0)).alias("ident"))
+
+
+_REPLIES = [("SUPPORTED", "the recall on images of cats reaches 91.2 percent in every run", "NONE", "SUPPORTED"), ("CONTRADICTED", "the recall on images of cats reaches 91.2 percent in every run", "", "CONTRADICTED"), ("SUPPORTED", "no passage says these six words at all", "NONE", "UNCLEAR"), ("SUPPORTED", "the recall on images of cats reaches 91.2 percent in every run", "NARROWS", "UNCLEAR"), ("", "", "", "UNCLEAR")]
+
+
+@query("model_verdicts", "select n_nationkey, case n_nationkey % 5 " + " ".join(f"when {i} then '{v}'" for i, (*_, v) in enumerate(_REPLIES)) + " end as verdict, cast(2 as int) as n_shown from {nation}")
+def _model_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies are kept by the key of what was shown, so they are made from a first pass without any."""
+    k = F.col("n_nationkey")
+    text = F.concat(F.lit("Many other words stand here first. Then the recall on images of cats reaches 91.2 percent in every run of "), F.lower("n_name"), F.lit(". Other words follow here now."))
+    claims = table(spark, sf_dir, "nation").select(k, F.concat(F.lit("The recall on cats images is 91.2% for "), F.lower("n_name"), F.lit(".")).alias("claim"), F.lit("").alias("context"), text.alias("text"), F.lit("An abstract.").alias("abstract"))
+    asked = judge.judge_claims(claims, spark.createDataFrame([], "key string, first string, second string")).select("n_nationkey", "key")
+    pick = lambda i: F.get(F.array(*(F.lit(r[i]) for r in _REPLIES)), (k % len(_REPLIES)).cast("int"))
+    replies = asked.select("key", F.to_json(F.struct(pick(0).alias("verdict"), pick(1).alias("quote"), F.lit("E2").alias("excerpt"))).alias("first"), F.to_json(F.struct(pick(2).alias("finding"))).alias("second"))
+    return judge.judge_claims(claims, replies).select("n_nationkey", "verdict", F.size("shown").alias("n_shown"))
+
+
+# ---------------------------------------------------------------- similarity below one
+OVERLAPPING = """
+select concat(f, '/', cast(c_custkey as string), '.md') as rel, c_custkey, concat('Group ', w, 'qa ', w, 'zo ', w, 'vu ', case when f = 'b' and c_custkey % 3 = 0 then concat(w, 'xy ') else '' end, 'counted ', cast(1000 + c_custkey % 700 as string), ' orders.') as text
+from (select c_custkey, """ + _word("c_custkey") + """ as w, f from {customer} cross join (select 'a' as f union all select 'b') x) y"""
+
+
+@query("consistency_overlap", "select c_custkey, round(case when c_custkey % 3 = 0 then 6.0 / 7 else 1 end, 6) as similarity from {customer}")
+def _consistency_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = consistency.similar_claims(extract_claims(split_documents(generated(spark, sf_dir, OVERLAPPING))))
+    return pairs.select(F.regexp_extract("a_rel", r"(\d+)\.md", 1).cast("long").alias("c_custkey"), F.round("similarity", 6).alias("similarity"))

@@ -17,7 +17,7 @@ from . import readers
 
 # What is read, and folders that never hold documents.
 TEXT, DATA, BIB = [".md", ".markdown", ".txt", ".tex", ".rst", ".ipynb", ".docx"], [".csv", ".json"], [".bib", ".bbl"]
-SKIPPED_FOLDERS = ["node_modules", "__pycache__", "venv", ".venv", "env", "site-packages", "dist", "build", "target", ".git", ".tox", ".mypy_cache"]
+SKIPPED_FOLDERS = [".git", ".venv", "venv", "node_modules", "__pycache__", ".tox", ".mypy_cache", ".pytest_cache", "dist", "build", ".idea", ".vscode"]
 MOST_BYTES = 30_000_000
 
 
@@ -51,14 +51,16 @@ def list_files(spark: SparkSession, root: str, exclude: list[str] | None = None)
 
 
 def read_texts(files: DataFrame) -> DataFrame:
-    """Text and bibliography files: rel, ord, kind, text, error, unread (parts that were not read)."""
+    """Text and bibliography files: rel, ord, kind, text, error, unread (parts that were not read), silence (why a container has no prose)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [readers.read(rel, content) for rel, content in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.record_batch([*b.columns[:3], pa.array([t for t, _, _ in made], pa.string()), pa.array([e for _, e, _ in made], pa.string()), pa.array([p for _, _, p in made], pa.list_(pa.string()))], ["rel", "ord", "kind", "text", "error", "unread"])
+            files = list(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True))
+            made = [readers.read(rel, content) for rel, content in files]
+            silence = [readers.why_silent(rel, content) if text is not None and not text.strip() else None for (rel, content), (text, _, _) in zip(files, made, strict=True)]
+            yield pa.record_batch([*b.columns[:3], pa.array([t for t, _, _ in made], pa.string()), pa.array([e for _, e, _ in made], pa.string()), pa.array([p for _, _, p in made], pa.list_(pa.string())), pa.array(silence, pa.string())], ["rel", "ord", "kind", "text", "error", "unread", "silence"])
 
     rows = files.where((F.col("kind") != "data") & (F.col("length") <= MOST_BYTES)).select("rel", "ord", "kind", "content")
-    return rows.mapInArrow(run, "rel string, ord string, kind string, text string, error string, unread array<string>")
+    return rows.mapInArrow(run, "rel string, ord string, kind string, text string, error string, unread array<string>, silence string")
 
 
 def read_bibliography(texts: DataFrame) -> DataFrame:
