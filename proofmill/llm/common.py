@@ -77,19 +77,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-#: A key that holds more than this share of a table's rows is hot: there are at most so many of them, so they may be broadcast.
-HOT = 1000
+#: A key is hot if it holds more than one in HOT of a table's rows, so there are at most so many of them and they may be broadcast, and HOT_ROWS at least.
+HOT, HOT_ROWS = 1000, 10_000
 
 
 def with_hot(side: DataFrame, *sizes: str) -> DataFrame:
     """side, which has one row for each key, with the column hot: whether the key holds more than 1 / HOT of the rows that one of `sizes` counts."""
     totals = side.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in sizes)).first()
-    return side.withColumn("hot", F.coalesce(reduce(or_, (F.col(c) > t / HOT for c, t in zip(sizes, totals, strict=True))), F.lit(False)))
+    return side.withColumn("hot", F.coalesce(reduce(or_, (F.col(c) > max(t / HOT, HOT_ROWS) for c, t in zip(sizes, totals, strict=True))), F.lit(False)))
 
 
 def join_unique(rows: DataFrame, side: DataFrame, key: str, how: str) -> DataFrame:
     """rows joined (inner or left) with side, which has one row for each key and the column hot: the hot keys by broadcast, so that none is a hot task."""
     hot, rest = side.where("hot").drop("hot"), side.where("not hot").drop("hot")
+    if is_empty(hot):
+        return rows.join(rest, key, how)
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, how))
 
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, Scratch, join_unique
+from .common import HOT, HOT_ROWS, Scratch, is_empty, join_unique
 from .spans import MATCHES, SPANS, counted, find_spans, joined, labelled, replaced, touching
 
 KINDS = ["email", "ip", "card", "phone", "context"]
@@ -115,9 +115,10 @@ def discover(found: DataFrame, scratch: Scratch, rounds: int, accept: float, sup
     graph = tokens.select(F.explode("patterns").alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("times"))
     graph = scratch.write(graph, "graph")
     edges, places = graph.agg(F.count("*"), F.coalesce(F.sum("times"), F.lit(0))).first()
-    hot = (F.col("n") > edges / HOT) | (F.col("times") > places / HOT)
+    hot = (F.col("n") > max(edges / HOT, HOT_ROWS)) | (F.col("times") > max(places / HOT, HOT_ROWS))
     counts = [F.count("*").alias("n"), F.sum("times").alias("times")]
     scores = graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("fixed"), *counts).withColumn("hot", hot)
+    scores = scratch.write(scores, "seeds")
     letters, numbers = F.length(F.regexp_replace("instance", r"[^\p{L}]", "")), F.length(F.regexp_replace("instance", "[^0-9]", ""))
     long_number = (numbers >= digits) & (numbers >= letters)
     sure = F.coalesce(F.col("confidence") >= SURE, F.lit(False))
@@ -146,13 +147,17 @@ def discover(found: DataFrame, scratch: Scratch, rounds: int, accept: float, sup
     return places.groupBy("__key").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end")).cast(SPANS).alias("__more"))
 
 
-def _with_more(found: DataFrame, keys: DataFrame, more: DataFrame) -> DataFrame:
+def _with_more(found: DataFrame, keys: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
     """found with the places of new identifiers; the rows of a hot text (keys: one row each) are dealt by the partitions that they come from.
 
     more is a written table of the few texts that have some: its size is known, so the join broadcasts it only where it is small.
     """
     total = keys.count()
-    hot = F.broadcast(keys.where("__key is not null").groupBy("__key").agg(F.count("*").alias("n")).where(F.col("n") > total / HOT).select(F.col("__key").alias("__hot")))
+    hot = scratch.write(keys.where("__key is not null").groupBy("__key").agg(F.count("*").alias("n")).where(F.col("n") > max(total / HOT, HOT_ROWS)).select(F.col("__key").alias("__hot")), "hot")
+    if is_empty(hot):
+        out = found.join(more.withColumnRenamed("__key", "__k"), F.col("__key") == F.col("__k"), "left").drop("__k")
+        return out.withColumn("__more", F.coalesce("__more", F.array().cast(SPANS)))
+    hot = F.broadcast(hot)
     found = found.join(hot, F.col("__key") == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.spark_partition_id() % SALTS).otherwise(0))
     salts = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     more = more.join(hot, F.col("__key") == F.col("__hot"), "left").select(F.col("__key").alias("__k"), "__more", F.explode(salts).alias("__s"))
@@ -164,7 +169,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     """Columns id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context: one row per input row."""
     scratch = Scratch(docs.sparkSession, "pii")
     found = scratch.write(_found(docs, text_col, [F.col(id_col).alias("id")]), "found")
-    out = _with_more(found.drop("__tokens"), found.select("__key"), scratch.write(discover(found, scratch, rounds, accept, support, digits), "more"))
+    out = _with_more(found.drop("__tokens"), found.select("__key"), scratch.write(discover(found, scratch, rounds, accept, support, digits), "more"), scratch)
     return out.select(
         F.col("id").alias(id_col), *(counted("__base", i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])),
         F.sha2(joined(F.col("__base"), KINDS), 256).alias("base_sha256"), joined(F.concat("__base", "__more"), KINDS).alias("spans"), F.size("__more").cast("long").alias("n_context"),
@@ -178,7 +183,7 @@ def mask_pii(docs: DataFrame, text_col: str = "text", rounds: int = 2, accept: f
     # Texts are never set aside: the base patterns run once for the bootstrap and once more where the texts are masked.
     found = scratch.write(_found(docs, text_col, []), "found")
     more = scratch.write(discover(found, scratch, rounds, accept, support, digits), "more")
-    out = _with_more(_found(docs, text_col, [F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row")], tokens=False), found.select("__key"), more)
+    out = _with_more(_found(docs, text_col, [F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row")], tokens=False), found.select("__key"), more, scratch)
     text = F.col(f"__row.`{text_col}`")
     out = out.withColumn("__spans", F.concat("__base", "__more"))
     masked = F.when(F.size("__spans") > 0, replaced(text.cast("string"), F.col("__spans"), [f"[{k.upper()}]" for k in KINDS])).otherwise(text)
