@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import sentences, strip_tex
+from ..functions.text import strip_tex
 from ..operators import arithmetic, citation, collected, consistency, findings, json_index, overclaim, registry, source_check, support, values
 from ..operators.sentences import extract_claims, split_documents
 from ..sources import files as sources
@@ -25,7 +25,7 @@ def silence(rel: Column, text: Column, known: Column) -> Column:
     """Why a container holds no prose (null if it does): known reasons of readers, and TeX without sentences or around a PDF alone."""
     bare = F.regexp_replace(text, r"(?<!\\)%.*", "")
     body = F.nullif(F.regexp_extract(bare, r"(?s)\\begin\{document\}(.*?)(?:\\end\{document\}|\z)", 1), F.lit(""))
-    spoken = lambda t: F.size(sentences(strip_tex(t))) > 0
+    spoken = lambda t: strip_tex(t).rlike(r"\S")
     where = F.coalesce(body, bare)
     part = lambda *groups: F.concat(*(F.regexp_extract(where, PDF, g) for g in groups))
     wraps = F.concat(F.lit("it wraps a PDF ("), F.trim(part(2, 4)), F.lit(") with \\"), part(1, 3), F.lit(", and PDFs are not read, so the paper's text was never seen"))
