@@ -82,16 +82,19 @@ HOT, HOT_ROWS = 1000, 10_000
 
 
 def with_hot(side: DataFrame, *sizes: str) -> DataFrame:
-    """side, which has one row for each key, with the column hot: whether the key holds more than 1 / HOT of the rows that one of `sizes` counts."""
-    totals = side.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in sizes)).first()
-    return side.withColumn("hot", F.coalesce(reduce(or_, (F.col(c) > max(t / HOT, HOT_ROWS) for c, t in zip(sizes, totals, strict=True))), F.lit(False)))
+    """side, a written table with one row for each key, and, if there are hot keys, the column hot: whether one of `sizes`, which count the key's rows, makes it so."""
+    found = side.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in sizes), *(F.coalesce(F.max(c), F.lit(0)) for c in sizes)).first()
+    least = [max(t / HOT, HOT_ROWS) for t in found[: len(sizes)]]
+    if all(most <= limit for most, limit in zip(found[len(sizes) :], least, strict=True)):
+        return side
+    return side.withColumn("hot", reduce(or_, (F.coalesce(F.col(c) > limit, F.lit(False)) for c, limit in zip(sizes, least, strict=True))))
 
 
 def join_unique(rows: DataFrame, side: DataFrame, key: str, how: str) -> DataFrame:
-    """rows joined (inner or left) with side, which has one row for each key and the column hot: the hot keys by broadcast, so that none is a hot task."""
+    """rows joined (inner or left) with side, which has one row for each key: its hot keys, if it has any (with_hot), by broadcast, so that none is a hot task."""
+    if "hot" not in side.columns:
+        return rows.join(side, key, how)
     hot, rest = side.where("hot").drop("hot"), side.where("not hot").drop("hot")
-    if is_empty(hot):
-        return rows.join(rest, key, how)
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, how))
 
 
@@ -111,19 +114,21 @@ def is_empty(df: DataFrame) -> bool:
 def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """Label each node of edges (u, v long) with the smallest node that it reaches.
 
-    Alternating large-star and small-star steps: every step is a min per node (combined map-side) and
-    an equi-join that adaptive execution may split where a node is hot. Returns (id, comp).
+    Alternating large-star and small-star steps until every node but the smallest of its component has one edge, to that one: every step is a
+    min per node (combined map-side) and an equi-join that adaptive execution may split where a node is hot. Returns (id, comp).
     """
     def ordered(df: DataFrame) -> DataFrame:
         return df.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+    def settled(df: DataFrame) -> bool:
+        """No node has two edges to smaller ones, and none that has one is the smaller end of another."""
+        ends = df.select(F.col("a").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(df.select("b", F.lit(0), F.lit(1)))
+        per = ends.groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return not per.agg(F.max(F.when((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)), 1))).first()[0]
 
     now = scratch.write(ordered(edges.select("u", "v")), "edges")
-    before = state(now)
     for _ in range(most_rounds):
-        if not before[0]:
+        if settled(now):
             break
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
@@ -132,12 +137,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
         joined = large.join(root, large.a == root.k)
         small = joined.select(F.col("b").alias("u"), F.col("m").alias("v")).union(joined.select("a", "m"))
         new = scratch.write(ordered(small), "edges")
-        after = state(new)
         scratch.drop(now)
         now = new
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(now.select("b", "b")).distinct()

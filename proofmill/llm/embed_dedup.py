@@ -224,7 +224,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # Chunks of each cell: its vectors' (x), its visitors', and the groups of these that meet a held chunk in one task (z).
     sizes = indexed.select("cell", F.lit(1).alias("h"), F.lit(0).alias("a")).unionByName(indexed.select(F.explode("visit").alias("cell"), F.lit(0).alias("h"), F.lit(1).alias("a")))
     sizes = sizes.groupBy("cell").agg(F.sum("h").alias("held"), F.sum("a").alias("asked")).where("held > 0 and asked > 0")
-    sizes = scratch.write(with_hot(sizes.select("cell", F.ceil(F.col("held") / block).alias("xs"), F.ceil(F.col("asked") / block).alias("ys"), (F.col("held") + F.col("asked")).alias("rows")), "rows"), "sizes")
+    sizes = sizes.select("cell", F.ceil(F.col("held") / block).alias("xs"), F.ceil(F.col("asked") / block).alias("ys"), (F.col("held") + F.col("asked")).alias("rows"))
+    sizes = with_hot(scratch.write(sizes, "sizes"), "rows")
     sizes = sizes.withColumn("zs", F.ceil(F.col("ys") / CHUNKS)).drop("rows")
     chunk = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -248,7 +249,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     comps = scratch.write(connected_components(met.where("v is not null").select(F.col("id").alias("u"), "v"), scratch), "labels")
     links = met.where("v is null").select("id", F.col("n").alias("links"))
     reps = indexed.select("id", "n", F.md5("v").alias("key")).join(links, "id", "left").join(comps, "id", "left").select("key", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("comp", "id").alias("comp"))
-    members = join_unique(units.select("id", F.md5("v").alias("key")), scratch.write(with_hot(reps, "n"), "reps"), "key", "inner").select("id", (F.col("links") + F.col("n") - 1).alias("n_links"), "comp")
+    members = join_unique(units.select("id", F.md5("v").alias("key")), with_hot(scratch.write(reps, "reps"), "n"), "key", "inner").select("id", (F.col("links") + F.col("n") - 1).alias("n_links"), "comp")
     out = base.select("id").join(members, "id", "left")
     component = F.coalesce("comp", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, HOT_ROWS, Scratch, is_empty, join_unique
+from .common import HOT, HOT_ROWS, Scratch, is_empty, join_unique, with_hot
 from .spans import MATCHES, SPANS, counted, find_spans, joined, labelled, replaced, touching
 
 KINDS = ["email", "ip", "card", "phone", "context"]
@@ -114,33 +114,31 @@ def discover(found: DataFrame, scratch: Scratch, rounds: int, accept: float, sup
     tokens = scratch.write(tokens, "tokens")
     graph = tokens.select(F.explode("patterns").alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("times"))
     graph = scratch.write(graph, "graph")
-    edges, places = graph.agg(F.count("*"), F.coalesce(F.sum("times"), F.lit(0))).first()
-    hot = (F.col("n") > max(edges / HOT, HOT_ROWS)) | (F.col("times") > max(places / HOT, HOT_ROWS))
     counts = [F.count("*").alias("n"), F.sum("times").alias("times")]
-    scores = graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("fixed"), *counts).withColumn("hot", hot)
-    scores = scratch.write(scores, "seeds")
+    scores = graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("fixed"), *counts)
+    scores = with_hot(scratch.write(scores, "seeds"), "n", "times")
     letters, numbers = F.length(F.regexp_replace("instance", r"[^\p{L}]", "")), F.length(F.regexp_replace("instance", "[^0-9]", ""))
     long_number = (numbers >= digits) & (numbers >= letters)
     sure = F.coalesce(F.col("confidence") >= SURE, F.lit(False))
     before, done = 0, 0
     while True:
-        scored = join_unique(graph.select("pattern", "instance", "times"), scores.select("instance", "score", "hot"), "instance", "inner")
+        scored = join_unique(graph.select("pattern", "instance", "times"), scores.drop("fixed", "n", "times"), "instance", "inner")
         # The mean over the distinct instances, with one more that scores nothing for each `support`.
         mean = F.sum("score") / (F.count("*") + 1.0 / support)
-        confidence = scored.groupBy("pattern").agg(F.least(mean, F.lit(0.999)).alias("confidence"), *counts).where(F.col("n") >= support).select("pattern", "confidence", hot.alias("hot"))
-        confidence = scratch.write(confidence, "confidence")
+        confidence = scored.groupBy("pattern").agg(F.least(mean, F.lit(0.999)).alias("confidence"), *counts).where(F.col("n") >= support)
+        confidence = with_hot(scratch.write(confidence, "confidence"), "n", "times").drop("n", "times")
         supported = join_unique(graph, confidence, "pattern", "left").groupBy("instance").agg(
             F.max("seed").alias("fixed"), F.sum(F.log1p(-F.coalesce("confidence", F.lit(0.0)))).alias("log_not"),
             F.sum(F.when(sure, F.log1p(-F.col("confidence"))).otherwise(0.0)).alias("log_not_sure"), F.count_if(sure).alias("speak"), F.count_if(F.col("confidence") < SURE).alias("against"), *counts,
         )
         score = F.when(F.col("fixed"), 1.0).when(long_number, 1 - F.exp("log_not")).when(F.col("speak") >= F.col("against"), 1 - F.exp("log_not_sure")).otherwise(0.0)
-        scores = scratch.write(supported.select("instance", score.alias("score"), "fixed", hot.alias("hot")), "scores")
+        scores = with_hot(scratch.write(supported.select("instance", score.alias("score"), "fixed", "n", "times"), "scores"), "n", "times")
         # Scores never fall, so an equal count is an equal set.
         accepted, done = scores.where(~F.col("fixed") & (F.col("score") >= accept)).count(), done + 1
         if done >= rounds and accepted <= before:
             break
         before = accepted
-    new = scores.where(~F.col("fixed") & (F.col("score") >= accept)).where(long_number | (letters > 0) | F.contains(F.col("instance"), F.lit("@"))).select("instance", "hot")
+    new = scores.where(~F.col("fixed") & (F.col("score") >= accept)).where(long_number | (letters > 0) | F.contains(F.col("instance"), F.lit("@"))).drop("score", "fixed", "n", "times")
     other = tokens.where(~F.col("seed"))
     said = join_unique(other.select("__key", "start", "end", F.explode("patterns").alias("pattern")), confidence.where(sure), "pattern", "inner").groupBy("__key", "start", "end").agg(F.sum(F.log1p(-F.col("confidence"))).alias("log_not"))
     places = join_unique(other.select("__key", "start", "end", "instance"), new, "instance", "inner").select("__key", "start", "end").union(said.where(1 - F.exp("log_not") >= accept).select("__key", "start", "end")).distinct()

@@ -14,7 +14,8 @@ on how rows are batched or dealt. A batch's words are looked up once each, all o
 
 Decoding joins the pieces, bytes as UTF-8, blanks for their marks, without the first. Defined results: a null or empty text has one
 segmentation, without pieces, of probability one. Texts with fewer segmentations than k give those they have,
-each with inclusion 1. Rows that repeat a key get the same samples.
+each with inclusion 1. Rows that repeat a key get the same samples. Edges of equal noise are taken in the order of their lengths. Texts of any length are
+segmented whole. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ the ids of a text are those of its words; words are cached, and words of printab
 the library's BPE model. Other words, and those with marks of special tokens, go through its whole pipeline.
 
 Defined results: a null text is an empty document (the end id alone). Rows that repeat a doc_id are stored in
-the order of their texts; null doc_ids come first. An empty table is an empty folder.
+the order of their texts (equal rows in any order: they have the same ids); null doc_ids come first. An empty table is an empty folder. Texts of any
+length are encoded whole. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
