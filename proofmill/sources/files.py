@@ -38,7 +38,12 @@ def excluded(rel: Column, patterns: list[str]) -> Column:
 
 def list_files(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
     """rel, ord, kind (text, data, bib), length, content of every file that an extension selects."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return selected(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root, exclude)
+
+
+def selected(raw: DataFrame, root: str, exclude: list[str] | None = None) -> DataFrame:
+    """The same for rows of the binaryFile source, whether of a folder or of a stream of its new files."""
+    spark = raw.sparkSession
     # The root as the file system names it: what all listed paths begin with.
     jvm = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jvm).toString().rstrip("/")

@@ -1 +1 @@
-"""streaming of the engine."""
+"""Incremental audits of a folder that files are added to."""
