@@ -139,6 +139,68 @@ def masked(text, spans):
     return "".join(parts) + text[at:]
 
 
+# ---------------------------------------------------------------- benchmark
+def item_words(text):
+    return "".join(" " if c.isascii() and c.isprintable() and not c.isalnum() else c.lower() if c.isascii() else c for c in text).split()
+
+
+def retrieval(items, texts, threshold):
+    """BM25 over each item's own score, for every passage and item, word by word."""
+    words = {i: item_words(t) for i, t in items if item_words(t)}
+    n, mean = len(words), sum(map(len, words.values())) / len(words)
+    df = Counter(w for x in words.values() for w in set(x))
+    weight = {i: {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w, c in Counter(x).items()} for i, x in words.items()}
+    stride, out = max(32, *map(len, words.values())), {}
+    for d, t in enumerate(texts):
+        x = item_words(t)
+        for at in range(0, len(x) + 1, stride):
+            have = set(x[at : at + 2 * stride])
+            for i, own in weight.items():
+                share = sum(v for w, v in own.items() if w in have) / sum(own.values())
+                if share >= threshold:
+                    out[d, at, i] = share
+    return out
+
+
+def contaminated(items, texts, threshold=0.6, overlap=0.5):
+    """Indices of the texts with a passage that holds an item: retrieved, and with half of the question's and of the answer's n-grams."""
+    grams = lambda w, n: set(zip(*(w[i:] for i in range(min(n, len(w)))), strict=False)) if w else set()
+    text_of, out = dict(items), set()
+    stride = max(32, *(len(item_words(t)) for _, t in items))
+    for d, at, i in retrieval(items, texts, threshold):
+        parts = [p for p in re.split(r"(?<=[.!?])\s+", text_of[i].strip()) if p]
+        if len(parts) > 1:
+            halves = item_words(" ".join(parts[:-1])), item_words(parts[-1])
+        else:
+            w = item_words(text_of[i])
+            cut = max(1, len(w) - max(1, len(w) // 3))
+            halves = w[:cut], w[cut:]
+        window = item_words(texts[d])[at : at + 2 * stride]
+        shares = [len(g & grams(window, min(n, len(h)))) / len(g) if (g := grams(h, n)) else 1 for h, n in zip(halves, (3, 2), strict=True)]
+        if min(shares) >= overlap:
+            out.add(d)
+    return out
+
+
+# ---------------------------------------------------------------- near-duplicates
+def components(texts, k, percent):
+    """Smallest id that each reaches by links between its own and others' whole shingle sets."""
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^ \t\n\x0b\f\r]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    label, changed = {i: i for i in sets}, True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            if (label[a], label[b]) != (low, low):
+                label[a] = label[b] = low
+                changed = True
+    return label
+
+
 # ---------------------------------------------------------------- licences
 def licences(model, text, confirm):
     """Confirmed windows of the lines and of the paragraphs of several lines."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 import re
 import textwrap
@@ -450,24 +449,6 @@ def test_contamination_of_shared_and_missing_ids(spark, kind):
     assert out.schema["item_id"].dataType.simpleString() == ("string" if kind == "string" else "bigint")
 
 
-def plain_retrieval(items, texts, threshold):
-    """BM25 over each item's own score, for every passage and item, word by word."""
-    words = {i: decontam._words(t) for i, t in items if decontam._words(t)}
-    n, mean = len(words), sum(map(len, words.values())) / len(words)
-    df = Counter(w for x in words.values() for w in set(x))
-    weight = {i: {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w, c in Counter(x).items()} for i, x in words.items()}
-    stride, out = max(32, *map(len, words.values())), {}
-    for d, t in enumerate(texts):
-        x = decontam._words(t)
-        for at in range(0, len(x) + 1, stride):
-            have = set(x[at : at + 2 * stride])
-            for i, own in weight.items():
-                share = sum(v for w, v in own.items() if w in have) / sum(own.values())
-                if share >= threshold:
-                    out[d, at, i] = share
-    return out
-
-
 @pytest.mark.parametrize("threshold", [0.15, 0.4, 0.6])
 def test_retrieval_equals_plain_bm25(monkeypatch, threshold):
     """Passages with any share of an item's words, many of them near the threshold; small groups of postings."""
@@ -481,7 +462,7 @@ def test_retrieval_equals_plain_bm25(monkeypatch, threshold):
         texts.append(" ".join(w if r.random() < 0.7 else word() for w in own * r.randint(0, 3)) + " " + " ".join(word() for _ in range(r.randint(0, 150))))
     index = decontam.ItemIndex(items)
     got = {(d, at, index.items[p]): s for d, at, p, s in index.retrieve([t.encode() for t in [*texts, "same words here"]], threshold)}
-    want = plain_retrieval(items, [*texts, "same words here"], threshold)
+    want = plain.retrieval(items, [*texts, "same words here"], threshold)
     near = {k for k, s in want.items() if abs(s - threshold) < 1e-9}
     assert len(want) > 20 and set(got) - near == set(want) - near and all(got[k] == pytest.approx(want[k]) for k in set(got) & set(want))
     assert {k for k in got if k[0] == 80} >= {(80, 0, 71), (80, 0, 72)}
