@@ -9,8 +9,8 @@ similarity reaches the threshold is P(Binomial(n + 1, threshold) <= m); below th
 probability the pair is dropped. Survivors are verified on the full shingle sets of both texts.
 
 No bucket is expanded into all its pairs. First every member meets the likeliest of its buckets' smallest ids, then, where
-a bucket still holds several components, that of other centres; what remains open after that is compared in blocks, members of
-the bucket's main component only against the others, and each pair only in the first bucket that holds both. Blocks see signatures first;
+a bucket still holds several components, that of other centres. That only saves work: every bucket that remains open after it, those of two members
+too, is compared in blocks, members of the bucket's main component only against the others, and each pair only in the first bucket that holds both. Blocks see signatures first;
 texts go only to the buckets where these leave a document a pair. Pairs of chunks, and the members that meet one centre, are dealt over tasks;
 keys of many rows (classes, marks, centres) are joined by broadcast of their bounded number.
 
@@ -222,8 +222,8 @@ def minhash_dedup(
     labels = scratch.write(connected_components(confirm(pairs), scratch), "labels")
 
     def open_buckets(salt: int) -> DataFrame:
-        """Rows of the buckets of three or more that still span components, with another centre each."""
-        labelled = buckets.where("size > 2").select("mark", "id").join(labels, "id", "left").select("mark", "id", F.coalesce("comp", "id").alias("comp"))
+        """Rows of the buckets that still span components, with another centre each."""
+        labelled = buckets.select("mark", "id").join(labels, "id", "left").select("mark", "id", F.coalesce("comp", "id").alias("comp"))
         spans = labelled.groupBy("mark").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("id", "mark", F.lit(salt)), "id", "comp")).alias("c")).where("lo <> hi")
         spans = with_hot(scratch.write(spans.select("mark", "size", F.col("c.id").alias("v"), F.col("c.comp").alias("vcomp")), "spans"), "size").drop("size")
         return join_unique(labelled, spans, "mark", "inner").select("mark", "id", "comp", "v", "vcomp")

@@ -611,6 +611,33 @@ def test_near_duplicates(spark, k, star_rounds, block):
     assert all(x.kept == (x.doc_id == x.component_id) for x in out)
 
 
+@pytest.mark.parametrize("k", [2, 5])
+def test_no_near_duplicate_is_lost(spark, k):
+    """At default parameters: families where a document's second partner is its only way to the rest, chains, stars, likeliest partners that fail, exact ties."""
+    r = random.Random(k)
+    fresh = lambda n: [f"{r.randrange(16**6):x}" for _ in range(n)]
+    families = []
+    for _ in range(150):  # two that are near a third, not each other, in any order of ids
+        u = fresh(200)
+        families.append(r.sample([u, u[36:], u[:-36]], 3))
+    for n in (10, 300):  # a chain: each is near the next only
+        words = fresh(200 + 30 * n)
+        families.append([words[30 * i : 30 * i + 300] for i in range(n)])
+        centre = fresh(200)  # a star: each lacks another part
+        families.append([centre] + [centre[: (a := r.randrange(170))] + fresh(20) + centre[a + 20 :] for _ in range(n)])
+    for _ in range(20):  # many shared words, but below the threshold, beside one above it
+        u = fresh(200)
+        families.append([u, u[:150] + fresh(45), u[:150] + fresh(48), u[40:], u[:100] + fresh(100)])
+    for _ in range(20):  # 9 shingles each, 8 of them shared: exactly 0.8
+        u = fresh(9 + k - 1)
+        families.append([u, u[:-1] + fresh(1)])
+    rows = [" ".join(w) for f in families for w in f]
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    out = minhash_dedup.minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"), k=k).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in out} == plain_near(rows, k, 80)
+
+
 def test_near_duplicates_odd_rows(spark, docs):
     out = minhash_dedup.minhash_dedup(docs, k=2).collect()
     assert len(out) == docs.count() and minhash_dedup.minhash_dedup(empty(spark)).count() == 0
