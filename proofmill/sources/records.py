@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fulltext import TextIndex, html_text, normal_form, self_check
+from ..functions.fulltext import html_text, normal_form
+from ..operators.source_index import self_check, token_bags
 
 RESPONSES = "ident string, what string, status_code int, content binary, truncated boolean"
 ANSWER = "ident string, what string, title string, abstract string, authors array<string>, year int, body string, refs string, plain string, closed boolean, note string"
@@ -130,17 +131,6 @@ def read_responses(responses: DataFrame) -> DataFrame:
     return responses.select("ident", "what", "status_code", "content", "truncated").mapInArrow(run, ANSWER)
 
 
-def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reasons why a text cannot be trusted."""
-    for b in batches:
-        rows = b.to_pylist()
-        why = [self_check(r["plain"] or "", r["title"] or "", r["abstract"] or "", tail=r["closed"], index=TextIndex(r["body"] or "", r["refs"] or "")) for r in rows]
-        yield pa.record_batch([*b.select(["ident", "title", "authors", "year", "abstract", "body", "refs", "web", "note"]).columns, pa.array(why, pa.list_(pa.string()))], [*CHECKED[:-1], "why"])
-
-
-CHECKED = ["ident", "title", "authors", "year", "abstract", "body", "refs", "web", "note", "why"]
-
-
 def assemble(responses: DataFrame) -> DataFrame:
     """Sources (ident, title, authors, year, trusted, body, refs, abstract, tier, note): the best tier of each identifier."""
     answers = read_responses(responses)
@@ -151,8 +141,7 @@ def assemble(responses: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("note")), "; ").alias("note"),
     )
     rows = per.select("ident", "m.title", "m.authors", "m.year", "m.abstract", "f.body", "f.refs", "f.plain", "f.closed", "f.web", "note")
-    kind = "ident string, title string, authors array<string>, year int, abstract string, body string, refs string, web boolean, note string, why array<string>"
-    checked = rows.mapInArrow(_checked, kind)
+    checked = self_check(rows)
     trusted = F.col("body").isNotNull() & (F.size("why") == 0)
     some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     tier = F.when(trusted & F.col("web"), "web").when(trusted, "html").when(some("abstract"), "abstract").when(some("title") | (F.size("authors") > 0), "metadata").otherwise("none")
@@ -169,12 +158,4 @@ def citation_records(responses: DataFrame) -> DataFrame:
 
 def write_token_bags(sources: DataFrame, path: str) -> None:
     """What a fixture keeps of each source, as gzipped JSON: token counts of body and bibliography, figures and halves of split words, never the text."""
-    counts = pa.map_(pa.string(), pa.int64())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [TextIndex(body or "", refs or "") for body, refs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            cols = [pa.array([list(x.counts.items()) for x in made], counts), pa.array([list(x.refs.items()) for x in made], counts), pa.array([sorted(x.figures) for x in made], pa.list_(pa.string())), pa.array([sorted(x.halves) for x in made], pa.list_(pa.string()))]
-            yield pa.record_batch([b.column(0), *cols], ["ident", "counts", "ref_counts", "figures", "halves"])
-
-    sources.select("ident", "body", "refs").mapInArrow(run, "ident string, counts map<string,bigint>, ref_counts map<string,bigint>, figures array<string>, halves array<string>").write.option("compression", "gzip").json(path)
+    token_bags(sources).write.option("compression", "gzip").json(path)
