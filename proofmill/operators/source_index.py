@@ -1,6 +1,6 @@
 """What sources hold: one table of their tokens, the questions put to it, and whether an extraction can be trusted.
 
-Each text is normalised and cut once, behind one shuffle by source; everything else is a join with that table. A question (is this term, figure
+Each text is normalised and cut once, behind one shuffle by source, and the table is written; everything else is a join with it. A question (is this term, figure
 or stem in that source?) has several readings, so it is taken apart into atoms, each a row that the table has or has not: a token of the
 body, of the bibliography, a figure, half of a split word. One semi-join answers all atoms of all questions, and an expression over the
 atoms found gives the answer. Two readings are not of whole tokens: beginnings are met on their first letters, a range of the sorted tokens;
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fulltext import COMMON, figure_forms, normalize, words_in
+from .tables import written
 
 #: Letters that beginnings are met on (no shorter one is asked for), of a gram, and terms that are looked for in one source's letters at once.
 STEM, GRAM, BATCH = 5, 6, 2_000
@@ -47,21 +48,20 @@ def index_texts(texts: DataFrame) -> DataFrame:
     rows = lambda kind, found: F.transform(found, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token")))
     halves = F.regexp_extract_all("normal", F.lit(r"([a-z]{4,})-[ \t]*\n"), 1)
     everything = F.concat(rows(BODY, words_in(F.col("normal"))), rows(OTHER, F.array_union(words_in(rejoined), words_in(F.col("cased")))), rows(REFS, words_in(F.col("refs"))), rows(FIGURE, figure_forms(F.col("normal"))), rows(HALF, halves))
-    own = texts.select("ident", F.explode(everything).alias("x")).groupBy("ident", "x.kind", "x.token").agg(F.count("*").alias("n"))
+    own = texts.select("ident", F.explode_outer(everything).alias("x")).where("x is not null").groupBy("ident", "x.kind", "x.token").agg(F.count("*").alias("n"))
     # Parts of compounds, and letters and digits of mixed words and parts, count as often as the words they are in.
     parts, mixed = _parts(F.col("token")), lambda p: p.rlike("[a-z]") & p.rlike("[0-9]")
     more = F.concat(F.array_distinct(parts), F.flatten(F.transform(F.filter(F.concat(F.array("token"), parts), mixed), lambda p: F.array_distinct(_runs(p)))))
-    each = own.select("ident", "kind", F.explode(F.when(F.col("kind") == BODY, F.concat(F.array("token"), more)).otherwise(F.array("token"))).alias("token"), "n")
+    each = own.select("ident", "kind", F.explode_outer(F.when(F.col("kind") == BODY, F.concat(F.array("token"), more)).otherwise(F.array("token"))).alias("token"), "n")
     body = F.col("kind").isin(BODY, OTHER)
     counted = each.groupBy("ident", F.when(body, BODY).otherwise(F.col("kind")).alias("kind"), "token").agg(F.sum(F.when(F.col("kind") != OTHER, F.col("n"))).alias("n"))
     return counted.select("ident", "kind", "token", F.coalesce("n", F.lit(1)).alias("n"))
 
 
-def _readings(form: Column) -> Column:
-    """What speaks for a form: its words, what is left of it without a ligature, all its letters."""
-    nf = normalize(form)
+def _readings(nf: Column) -> Column:
+    """What speaks for a form, given as its normal form: its words, what is left of it without a ligature, all its letters."""
     without = F.transform(F.filter(F.array(*map(F.lit, ("ffi", "ffl", "fi", "fl", "ff"))), lambda x: F.contains(nf, x)), lambda x: words_in(F.replace(nf, x, F.lit(""))))
-    return F.struct(form.alias("form"), words_in(nf).alias("words"), F.filter(without, lambda w: F.size(w) > 0).alias("without"), _joined(nf).alias("letters"))
+    return F.struct(words_in(nf).alias("words"), F.filter(without, lambda w: F.size(w) > 0).alias("without"), _joined(nf).alias("letters"))
 
 
 def _atom(kind: str, token: Column) -> Column:
@@ -111,13 +111,14 @@ def held_letters(terms: DataFrame, letters: DataFrame) -> DataFrame:
 
 def ask_index(questions: DataFrame, texts: DataFrame, index: DataFrame) -> DataFrame:
     """questions (ident, what, kind), distinct, with present; index is index_texts(texts)."""
-    forms = questions.withColumn("forms", F.transform(_ask(F.col("what"), F.col("kind")), _readings)).withColumn("q", F.struct("what", "kind"))
+    forms = written(questions.withColumn("forms", F.transform(F.transform(_ask(F.col("what"), F.col("kind")), normalize), _readings)).withColumn("q", F.struct("what", "kind")), "forms")
     f = F.col("forms")
     words = F.concat(F.flatten(f["words"]), F.flatten(F.flatten(f["without"])), F.when(F.col("kind") == "alnum", _runs(F.lower("what"))).otherwise(F.array().cast("array<string>")))
     halves = F.flatten(F.transform(f["letters"], lambda x: F.transform(F.filter(F.sequence(F.lit(4), F.greatest(F.length(x), F.lit(4))), lambda i: i < F.length(x)), lambda i: F.substring(x, F.lit(1), i))))
     named = lambda kind, tokens: F.transform(tokens, lambda t: _atom(kind, t))
     atoms = F.concat(named(BODY, words), named(REFS, F.flatten(f["words"])), named(HALF, halves), named("s", F.filter(f["letters"], lambda x: F.length(x) >= GRAM)), F.when(F.col("kind") == "figure", F.array(_atom(FIGURE, F.col("what")))).otherwise(F.array().cast("array<string>")))
-    asked = forms.where("kind <> 'stem'").select("ident", "q", F.explode(F.array_distinct(atoms)).alias("atom"))
+    # Outer explodes: the filter that a plain one implies would be pushed below the forms, expression in expression.
+    asked = forms.where("kind <> 'stem'").select("ident", "q", F.explode_outer(F.array_distinct(atoms)).alias("atom")).where("atom is not null")
     terms = asked.where(F.startswith("atom", F.lit("s:"))).select("ident", F.substring(F.col("atom"), F.lit(3), F.length("atom")).alias("letters")).distinct()
     held = held_letters(terms, texts.select("ident", _joined(F.col("normal")).alias("letters")))
     holds = index.select("ident", F.concat_ws(":", "kind", "token").alias("atom")).unionByName(held.select("ident", _atom("s", F.col("letters")).alias("atom")))
@@ -133,9 +134,10 @@ def ask_index(questions: DataFrame, texts: DataFrame, index: DataFrame) -> DataF
 
 def ask_sources(questions: DataFrame, sources: DataFrame) -> DataFrame:
     """questions (pair_id, ident, what, kind) with present, answered by the texts of trusted sources; null where there is none."""
-    texts = source_texts(sources.where("trusted"))
-    asked = questions.select("ident", "what", "kind").distinct().join(sources.where("trusted").select("ident").distinct(), "ident", "left_semi")
-    return questions.join(ask_index(asked, texts, index_texts(texts)), ["ident", "what", "kind"], "left")
+    texts = written(source_texts(sources.where("trusted")), "source-texts")
+    index = written(index_texts(texts), "source-index")
+    asked = written(questions.select("ident", "what", "kind").distinct().join(texts.select("ident").distinct(), "ident", "left_semi"), "questions")
+    return questions.join(ask_index(asked, texts, index), ["ident", "what", "kind"], "left")
 
 
 def self_check(rows: DataFrame) -> DataFrame:
@@ -144,13 +146,12 @@ def self_check(rows: DataFrame) -> DataFrame:
     plain is the text that words are cut from; closed says whether the end of the document was seen; pages and failed, where there are such columns, how many
     pages it has and how many of them could not be read.
     """
-    texts = source_texts(rows)
-    index = index_texts(texts).where(F.col("kind") == BODY)
+    index = written(index_texts(source_texts(rows)), "source-index").where(F.col("kind") == BODY)
     total = index.groupBy("ident").agg(F.sum("n").alias("total"))
     telling = lambda text, least: F.array_distinct(F.filter(words_in(normalize(text)), lambda w: (F.length(w) >= least) & ~w.isin(*COMMON)))
-    asked = rows.select("ident", F.explode(F.concat(
+    asked = rows.select("ident", F.explode_outer(F.concat(
         F.transform(telling("title", 4), lambda w: F.struct(F.lit("title").alias("of"), w.alias("word"))), F.transform(F.filter(telling("abstract", 6), lambda w: ~F.contains(w, F.lit("-"))), lambda w: F.struct(F.lit("abstract").alias("of"), w.alias("word"))),
-    )).alias("x")).select("ident", "x.*")
+    )).alias("x")).where("x is not null").select("ident", "x.*")
     met = asked.join(index.select("ident", F.col("token").alias("word"), "n"), ["ident", "word"], "left")
     rate = lambda of: (F.count(F.when(F.col("of") == of, 1)).alias(f"{of}_words"), F.count(F.when((F.col("of") == of) & F.col("n").isNotNull(), 1)).alias(f"{of}_found"))
     rates = met.groupBy("ident").agg(*rate("title"), *rate("abstract"))

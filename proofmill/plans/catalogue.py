@@ -316,6 +316,26 @@ def _seeds_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arithmetic.find_seed_rows(split_documents(generated(spark, sf_dir, SEEDED))).select(F.col("rel").alias("file"), "rule", "status")
 
 
+#: What a spread may be: an error, a half-width or a deviation, named by the words around it; seed numbers; bars that overlap, with and without a test.
+_RUNS = [
+    ("Results over 4 runs: %1$d.0, %2$d.0, %3$d.0, %4$d.0, mean %2$d.5 ± 0.65 (SEM).", [("mean", "VERIFIED")]), ("Results over 4 runs: %1$d.0, %2$d.0, %3$d.0, %4$d.0, mean %2$d.5 ± 1.29 (SEM).", [("mean", "VERIFIED"), ("spread", "FLAGGED")]),
+    ("Results over 4 runs: %1$d.0, %2$d.0, %3$d.0, %4$d.0, mean %2$d.5 ± 2.05 (95%% CI).", [("mean", "VERIFIED")]), ("Results over 4 runs: %1$d.0, %2$d.0, %3$d.0, %4$d.0, mean %2$d.5 ± 0.65 as standard deviation.", [("mean", "VERIFIED"), ("spread", "FLAGGED")]),
+    ("Results over 3 seeds: %1$d, %2$d, %3$d, mean %2$d.5 ± 0.6.", [("identifiers", "UNVERIFIABLE")]), ("The gain is significant: %4$d.2 ± 0.9 versus %4$d.6 ± 0.4 over 5 runs.", [("significance", "UNVERIFIABLE")]),
+    ("Over 4 runs the standard deviation is 2.0 and the standard error is 1.5 around %1$d.", [("error", "FLAGGED")]), ("Over 4 runs the standard deviation is 2.0 and the standard error is 1.0 around %1$d.", []),
+    ("By a t-test the gain is significant: %4$d.2 ± 0.9 versus %4$d.6 ± 0.4 over 5 runs.", []), ("The delay differs: significant at %4$d.2 ± 0.9 ms versus %4$d.6 ± 0.4 ms over 5 runs.", []),
+    ("Over 7 runs: %1$d.0, %2$d.0, %3$d.0, %4$d.0, and the loss of another model was 3.5 ± 9.0.", [("count", "FLAGGED")]), ("Results over 4 runs: %1$d.0, %2$d.0, %3$d.0, %4$d.0, average %3$d.5 ± 1.12.", [("mean", "FLAGGED")]),
+]
+
+
+@query("seeds_statistics", " union all ".join(f"select concat('t/', p_partkey, '.md') as file, '{rule}' as rule, '{status}' as status from {{part}} where p_partkey % {len(_RUNS)} = {i}" for i, (_, found) in enumerate(_RUNS) for rule, status in found))
+def _seeds_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", (30 + F.col("p_partkey") % 40).alias("a"))
+    case = F.col("p_partkey") % len(_RUNS)
+    text = F.coalesce(*(F.when(case == i, F.format_string(s, *(F.col("a") + j for j in range(4)))) for i, (s, _) in enumerate(_RUNS)))
+    docs = part.select(F.concat(F.lit("t/"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("rel"), text.alias("text"))
+    return arithmetic.find_seed_rows(split_documents(docs)).select(F.col("rel").alias("file"), "rule", "status")
+
+
 @query("listed_statistics", """
 select l_orderkey, count(*) as n, round(avg(l_quantity), 6) as mean, round(stddev_samp(l_quantity), 6) as sd, round(stddev_pop(l_quantity), 6) as sd_population from {lineitem} group by l_orderkey having count(*) > 1""")
 def _listed_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -517,6 +537,33 @@ def _support_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file", "line", "status", F.contains("message", wanted).alias("reason_given"))
 
 
+#: Sentences that cite two sources: one has the term, none has it, one is not trusted, a figure of the second, a word that the document uses itself, one beyond the cap.
+_SEVERAL = [
+    ("They show that QuokkaNet works \\cite{a%s,b%s}.", "UNVERIFIABLE", "nothing checkable"), ("They show that ZebraNet works \\cite{a%s,b%s}.", "FLAGGED", "ZebraNet"), ("They show that ZebraNet works \\cite{a%s,c%s}.", "UNVERIFIABLE", "could not be read"),
+    ("Their accuracy was 91.5 in the papers \\cite{a%s,b%s}.", "UNVERIFIABLE", "nothing checkable"), ("They show that ZebraNet works \\cite{a%s,b%s}. We like ZebraNet a lot.", "UNVERIFIABLE", "nothing checkable"), ("They show that ZebraNet works \\cite{a%s,z%s}.", "UNVERIFIABLE", "beyond the first"),
+]
+
+
+@query("support_several_sources", "select concat('q/', lpad(cast(s_suppkey as varchar), 9, '0'), '.tex') as file, cast(1 as int) as line, case s_suppkey % 6 " + " ".join(f"when {i} then '{s}'" for i, (_, s, _) in enumerate(_SEVERAL)) + " end as status, true as reason_given from {supplier}")
+def _support_several_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cited source counts; those first cited in documents that come last are beyond a cap of all but them."""
+    k = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    name, case = F.lpad(F.col("k").cast("string"), 9, "0"), (F.col("k") % len(_SEVERAL)).cast("int")
+    sentence = F.get(F.array(*(F.lit(s) for s, _, _ in _SEVERAL)), case)
+    docs = k.select(F.concat(F.lit("q/"), name, F.lit(".tex")).alias("rel"), F.replace(sentence, F.lit("%s"), name).alias("text"))
+    # One more document, the last, cites what is beyond the cap first; the others of that kind come after it.
+    ident = lambda kind: F.concat(F.lit(f"arxiv:{kind}."), name)
+    made = {"a": ("Many things are said here.", True), "b": ("QuokkaNet reached 91.5 there.", True), "c": ("Many things are said here.", False)}
+    bib = [k.select(F.concat(F.lit(x), name).alias("key"), ident(x).alias("ident"), F.lit("1").alias("ord")) for x in (*made, "z")]
+    sources = [k.select(ident(x).alias("ident"), F.lit("T").alias("title"), F.array(F.lit("Ann Smith")).alias("authors"), F.lit(2020).alias("year"), F.lit(ok).alias("trusted"), F.lit(body).alias("body"), F.lit("").alias("refs")) for x, (body, ok) in made.items()]
+    late = docs.where(case == 5).withColumn("rel", F.concat(F.lit("z"), "rel"))
+    docs = docs.where(case != 5).unionByName(late)
+    most = docs.where("rel like 'q/%'").count() * 2
+    found = support.check_support(docs, bib[0].unionByName(bib[1]).unionByName(bib[2]).unionByName(bib[3]), sources[0].unionByName(sources[1]).unionByName(sources[2]), most_sources=most)
+    wanted = F.get(F.array(*(F.lit(w) for _, _, w in _SEVERAL)), (F.regexp_extract("file", r"q/(\d+)\.tex", 1).cast("long") % len(_SEVERAL)).cast("int"))
+    return found.select(F.regexp_replace("file", "^zq", "q").alias("file"), "line", "status", F.contains("message", wanted).alias("reason_given"))
+
+
 @query("citing_context", "select concat('p/', s_suppkey, '.tex') as rel, 'A sentence before it.' as context, case when s_suppkey % 7 = 6 then null else concat('arxiv:2001.', lpad(cast(s_suppkey as varchar), cast(greatest(5, length(cast(s_suppkey as varchar))) as int), '0')) end as ident from {supplier}")
 def _citing_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bib, _ = _support_tables(spark, sf_dir)

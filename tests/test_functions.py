@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from proofmill.functions import precision as P
 from proofmill.functions import text as X
 from proofmill.functions.numbers import numbers
-from proofmill.operators.arithmetic import comparisons, seed_rows
+from proofmill.operators.arithmetic import comparisons, find_seed_rows, moments
 from proofmill.operators.registry import mask_code, parse_tag, tags_of
 from proofmill.operators.sentences import sentences_of, units
 
@@ -83,14 +83,28 @@ def test_comparison(spark):
     assert [got.get(i) for i in range(len(COMPARED))] == [e for _, e in COMPARED]
 
 
-def test_seed_rules():
-    rules = lambda s: [(r[0], r[1]) for r in seed_rows(s)]
-    assert rules("Over 3 seeds: 91.2, 90.8, 91.5, mean 91.2 ± 0.35.") == [("mean", "VERIFIED")]
-    assert rules("Over 5 seeds: 91.2, 90.8, 91.5, mean 95.0 ± 9.0.") == [("count", "FLAGGED"), ("mean", "FLAGGED"), ("spread", "FLAGGED")]
-    assert rules("seeds: 0, 1, 2 mean 5.0 ± 1.0") == [("identifiers", "UNVERIFIABLE")]
-    assert rules("Held at 20.1 ± 2.0 degrees and 21.0 ± 2.0 degrees, a significant change") == []
-    assert rules("91.2 ± 0.9 vs 90.8 ± 1.1 is significant") == [("significance", "UNVERIFIABLE")]
-    assert rules("91.2 ± 0.9 vs 90.8 ± 1.1 is significant by a t-test") == []
+SEEDED = [
+    ("Over 3 seeds: 91.2, 90.8, 91.5, mean 91.2 ± 0.35.", ["mean VERIFIED"]), ("Over 5 seeds: 91.2, 90.8, 91.5, mean 95.0 ± 9.0.", ["count FLAGGED", "mean FLAGGED", "spread FLAGGED"]), ("seeds: 0, 1, 2 mean 5.0 ± 1.0", ["identifiers UNVERIFIABLE"]),
+    ("Held at 20.1 ± 2.0 degrees and 21.0 ± 2.0 degrees, a significant change over 2 runs", []), ("91.2 ± 0.9 vs 90.8 ± 1.1 is significant", ["significance UNVERIFIABLE"]), ("91.2 ± 0.9 vs 90.8 ± 1.1 is significant by a t-test", []),
+    ("91.2 ± 0.9% ms vs 90.8 ± 1.1 is significant", []), ("Over 3 seeds: 1.0, 2.0, 3.0; another loss was 9.0 ± 1.0", []), ("Over 3 seeds: 5.0, 5.0, 5.0, mean 5.0 ± 0.0", ["mean VERIFIED"]), ("Over 3 seeds: 1,000.5, 1,001.5, 1,002.5, mean 1,001.5 +/- 1.0", ["mean VERIFIED"]),
+    ("Over 3 seeds: -1.0, −2.0, -3.0, mean −2.0 ± 1.0", ["mean VERIFIED"]), ("over 1 runs the standard deviation is 2.0 and the standard error is 9.0", []), ("over 4 runs the standard deviation (Table 3) is 2.0 and the standard error is 9.0", []), ("", []), (None, []),
+]
+
+
+def test_seed_rules(spark):
+    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(SEEDED)], "i int, sentence string")
+    got = {}
+    for r in find_seed_rows(df).collect():
+        got.setdefault(r.i, []).append(f"{r.rule} {r.status}")
+    assert [got.get(i, []) for i in range(len(SEEDED))] == [e for _, e in SEEDED]
+
+
+def test_moments(spark):
+    lists = [["1.0", "2.5", "-4", "1,000"], ["3"], [], ["1e3", "1e3"], ["100000000.1", "100000000.2", "100000000.3"]]
+    for r in spark.createDataFrame([(x,) for x in lists], "x array<string>").select("x", moments(F.col("x")).alias("m")).collect():
+        v = [float(x.replace(",", "")) for x in r.x]
+        mean = sum(v) / len(v) if v else 0
+        assert (r.m.n, r.m.mean) == (len(v), pytest.approx(mean)) and r.m.square == pytest.approx(sum((x - mean) ** 2 for x in v), rel=1e-6)
 
 
 def test_tags():
