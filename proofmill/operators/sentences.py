@@ -5,15 +5,20 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import groupby
+from functools import reduce
+from itertools import accumulate, groupby
+from operator import or_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import extract_numbers
 from ..functions.text import ABBREVIATIONS, BREAK, DOT, strip_markdown, strip_tex, tokens
 
+#: Characters up to which a document is read by one task, and lines of a piece of a longer one.
+LONG, CHUNK = 1 << 20, 10_000
+SENTENCE = "rel string, line int, seq int, sentence string"
 _BREAK = re.compile(BREAK)
 _MARKER = re.compile(r"^([-*+]|\d+[.)])\s+")
 
@@ -45,32 +50,110 @@ def units(cleaned: str) -> list[tuple[int, str, list[int]]]:
     return out
 
 
+def unit_sentences(line: int, text: str, offsets: list[int]) -> list[tuple[int, str]]:
+    """(line, sentence) of a unit, in order."""
+    out, begin = [], 0
+    for a in ABBREVIATIONS:
+        text = text.replace(a, a.replace(".", DOT))
+    for end, after in [*((m.start(), m.end()) for m in _BREAK.finditer(text)), (len(text), len(text))]:
+        sentence = text[begin:end].replace(DOT, ".").strip()
+        if sentence:
+            out.append((line + bisect_right(offsets, begin), sentence))
+        begin = after
+    return out
+
+
 def sentences_of(cleaned: str) -> list[tuple[int, str]]:
     """(line, sentence) of a cleaned text, in order."""
-    out = []
-    for line, text, offsets in units(cleaned):
-        for a in ABBREVIATIONS:
-            text = text.replace(a, a.replace(".", DOT))
-        begin = 0
-        for end, after in [*((m.start(), m.end()) for m in _BREAK.finditer(text)), (len(text), len(text))]:
-            sentence = text[begin:end].replace(DOT, ".").strip()
-            if sentence:
-                out.append((line + bisect_right(offsets, begin), sentence))
-            begin = after
-    return out
+    return [found for unit in units(cleaned) for found in unit_sentences(*unit)]
+
 
+def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], list(kinds))
 
-def split_documents(docs: DataFrame) -> DataFrame:
-    """docs (rel, text) to (rel, line, seq, sentence); cleaned as TeX or Markdown by the name, in built-in functions."""
-    cleaned = docs.select("rel", F.when(F.lower("rel").endswith(".tex"), strip_tex("text")).otherwise(strip_markdown("text")).alias("text"))
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """Sentences of documents that one task reads one by one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [(rel, line, seq, s) for rel, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for seq, (line, s) in enumerate(sentences_of(text or ""))]
-            cols = list(zip(*made, strict=True)) or [(), (), (), ()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["rel", "line", "seq", "sentence"])
+            yield _table(made, rel=pa.string(), line=pa.int32(), seq=pa.int32(), sentence=pa.string())
+
+    return docs.mapInArrow(run, SENTENCE)
+
+
+def line_runs(lines: DataFrame, chunk: int) -> DataFrame:
+    """lines (rel, n, kind) with run: how many runs of lines of one kind have begun in rel up to the line.
+
+    Gaps and islands in pieces of `chunk` lines: beginnings are counted in each piece, and the pieces' own counts and edges, a row for each, are carried on from
+    one to the next, so a file of any length is many groups of bounded size.
+    """
+    piece = Window.partitionBy("rel", "piece").orderBy("n")
+    begun = lines.withColumn("piece", F.floor((F.col("n") - 1) / chunk)).withColumn("begins", F.coalesce((F.col("kind") != F.lag("kind").over(piece)).cast("int"), F.lit(0)))
+    counted = begun.withColumn("own", F.sum("begins").over(piece.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    edges = begun.groupBy("rel", "piece").agg(F.min_by("kind", "n").alias("first"), F.max_by("kind", "n").alias("last"), F.sum("begins").alias("inside"))
+    order = Window.partitionBy("rel").orderBy("piece")
+    edges = edges.withColumn("edge", F.coalesce((F.col("first") != F.lag("last").over(order)).cast("int"), F.lit(1)))
+    carried = F.sum(F.col("inside") + F.col("edge")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("inside")
+    return counted.join(edges.select("rel", "piece", carried.alias("carried")), ["rel", "piece"]).select(*lines.columns, (F.col("carried") + F.col("own")).alias("run"))
+
+
+def _in_pieces(docs: DataFrame, chunk: int) -> DataFrame:
+    """Sentences of documents whose lines are dealt over tasks."""
+    edge = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+    # Outer: the filter that a plain explode implies would clean the text a second time.
+    lines = docs.select("rel", F.posexplode_outer(F.split("text", "\n")).alias("n", "raw")).where("n is not null").select("rel", (F.col("n") + 1).alias("n"), F.regexp_replace("raw", edge, "").alias("s"))
+    bars = F.length("s") - F.length(F.replace("s", F.lit("|"), F.lit("")))
+    kind = F.when(F.startswith("s", F.lit("|")) & (bars >= 2), F.when(F.col("s").rlike(r"(?U)^\|?[\s:|-]+\|?$"), "rule").otherwise("row")).when(F.col("s").rlike(r"(?U)^#{1,6}\s"), "heading").when((F.col("s") != "") & ~F.col("s").rlike("^[-=]{3,}$"), "prose").otherwise("gap")
+    runs = line_runs(lines.withColumn("kind", kind), chunk).where(F.col("kind").isin("row", "heading", "prose"))
+    # Rows and headings stand alone; prose lines are joined, but for places where a sentence ends with a line in any case: a paragraph of any length is many rows.
+    said = F.when(F.col("kind") == "heading", F.regexp_replace(F.regexp_replace("s", "^#+", ""), edge, "")).when(F.col("kind") == "prose", F.regexp_replace("s", r"(?U)^([-*+]|\d+[.)])\s+", "")).otherwise(F.col("s"))
+    parts = runs.select("rel", "n", "kind", "run", said.alias("s"))
+    # An abbreviation may begin on the line before.
+    abbreviated = reduce(or_, (F.endswith("s", F.lit(a)) for a in ABBREVIATIONS)) | F.col("s").isin([a.split(" ", 1)[1] for a in ABBREVIATIONS if " " in a])
+    ends, opens = F.col("s").rlike(r"[.!?]$") & ~abbreviated, F.col("s").rlike(r"^[A-Z(\[\"']")
+    parts = parts.withColumn("piece", F.floor((F.col("n") - 1) / chunk))
+    own = Window.partitionBy("rel", "piece", "run").orderBy("n")
+    apart = F.coalesce(F.lag(ends).over(own) & opens, F.lit(False))
+    # A paragraph that goes on in the next piece is joined there unless a sentence is seen to end; its state is the place of its last such end.
+    cut = parts.withColumn("apart", apart).withColumn("since", F.max(F.when(F.col("apart"), F.col("n"))).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    state = cut.where("kind = 'prose'").groupBy("rel", "run", "piece").agg(F.max("since").alias("since"))
+    earlier = F.last("since", True).over(Window.partitionBy("rel", "run").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    cut = cut.join(state.select("rel", "run", "piece", earlier.alias("before")), ["rel", "run", "piece"], "left")
+    unit = F.when(F.col("kind") == "prose", F.struct("run", F.coalesce("since", "before", F.lit(0)).alias("part"))).otherwise(F.struct(F.col("run"), F.col("n").alias("part")))
+    grouped = cut.groupBy("rel", unit.alias("unit")).agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("parts"))
 
-    return cleaned.mapInArrow(run, "rel string, line int, seq int, sentence string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for rel, joined in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                offsets = list(accumulate(len(p["s"]) + 1 for p in joined[:-1]))
+                made += [(rel, joined[0]["n"], i, line, s) for i, (line, s) in enumerate(unit_sentences(joined[0]["n"], " ".join(p["s"] for p in joined), offsets))]
+            yield _table(made, rel=pa.string(), first=pa.int32(), i=pa.int32(), line=pa.int32(), sentence=pa.string())
+
+    found = grouped.select("rel", "parts").mapInArrow(run, "rel string, first int, i int, line int, sentence string").withColumn("piece", F.floor((F.col("first") - 1) / chunk))
+    sizes = found.groupBy("rel", "piece").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("rel").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("rel", "piece").orderBy("first", "i"))
+    placed = found.withColumn("place", place).join(sizes.select("rel", "piece", before.alias("before")), ["rel", "piece"])
+    return placed.select("rel", "line", (F.col("before") + F.col("place") - 1).cast("int").alias("seq"), "sentence")
+
+
+def _cleaned(docs: DataFrame) -> DataFrame:
+    return docs.select("rel", F.when(F.lower("rel").endswith(".tex"), strip_tex("text")).otherwise(strip_markdown("text")).alias("text"))
+
+
+def split_documents(docs: DataFrame, long: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """docs (rel, text) to (rel, line, seq, sentence); cleaned as TeX or Markdown by the name, in built-in functions.
+
+    With `long`, documents of more characters are dealt over tasks in pieces of `chunk` lines; without, each is read by one task. Texts are read once more for it,
+    so callers that know sizes (a listing of files has them) ask for it only where there are such documents.
+    """
+    if long is None:
+        return _whole(_cleaned(docs))
+    small = F.coalesce(F.length("text"), F.lit(0)) <= long
+    return _whole(_cleaned(docs.where(small))).unionByName(_in_pieces(_cleaned(docs.where(~small)), chunk))
 
 
 def extract_claims(sentences: DataFrame) -> DataFrame:

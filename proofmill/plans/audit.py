@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_tex
 from ..operators import arithmetic, citation, collected, consistency, findings, json_index, overclaim, registry, source_check, support, values
-from ..operators.sentences import extract_claims, split_documents
+from ..operators.sentences import LONG, extract_claims, split_documents
 from ..sources import files as sources
 
 ALL = ["overclaim", "source", "consistency", "citation", "benchmark", "seeds", "registry"]
@@ -71,7 +71,8 @@ def audit(spark: SparkSession, root: str, only: list[str] | None = None, records
     listed = sources.list_files(spark, root, exclude)
     texts = sources.read_texts(listed).cache()  # read once, used by every check
     docs = texts.where("kind = 'text' and text is not null").select("rel", "ord", "text")
-    lines = split_documents(docs).cache()
+    long = listed.where((F.col("kind") == "text") & F.col("length").between(LONG + 1, sources.MOST_BYTES)).select("rel").limit(1).take(1)
+    lines = split_documents(docs, long=LONG if long else None).cache()
     parts = [scan_findings(listed, texts)]
     if "overclaim" in wanted:
         parts.append(overclaim.check_overclaims(lines, strict))

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ABBREVIATIONS, DOT, STOP_WORDS, sentences, tokens
-from ..operators import arithmetic, citation, collected, consistency, findings, json_index, judge, mentions, overclaim, passages, registry, source_check, support, values
+from ..operators import arithmetic, budget, citation, collected, consistency, findings, json_index, judge, mentions, overclaim, passages, registry, source_check, support, values
 from ..operators.sentences import extract_claims, split_documents
+from ..sources import answers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -67,7 +68,7 @@ for _a in ABBREVIATIONS:
     _PROTECTED = f"replace({_PROTECTED}, '{_a}', '{_a.replace('.', DOT)}')"
 
 
-@query("unit_assembly", rf"""
+_UNITS = rf"""
 with clean as (select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?s:<!--.*?-->)|(?s:```.*?```)|`[^`\n]*`', ' ', 'g'), '!?\[([^\]]*)\]\([^)]*\)|[*_]{{1,3}}([^*_\n]+)[*_]{{1,3}}', '\1\2', 'g'),
 '!?\[([^\]]*)\]\([^)]*\)|[*_]{{1,3}}([^*_\n]+)[*_]{{1,3}}', '\1\2', 'g') as text from {{documents}} where text is not null),
 lines as (select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) as n from clean),
@@ -81,11 +82,20 @@ units as (select doc_id, unit, min(n) as line, string_agg(s, ' ' order by n) as
 pieces as (select doc_id, unit, line, unnest(string_split(x, chr(1))) as piece, generate_subscripts(string_split(x, chr(1)), 1) as i from (select doc_id, unit, line, regexp_replace({_PROTECTED}, '([.!?])(\s+)([A-Z(\["''])', '\1\2' || chr(1) || '\3', 'g') as x from units)),
 begun as (select *, sum(length(piece)) over (partition by doc_id, unit order by i) - length(piece) as begin from pieces),
 made as (select b.doc_id, b.unit, b.i, b.line + (select count(*) from places p where p.doc_id = b.doc_id and p.unit = b.unit and p.at > 0 and p.at <= b.begin) as line, regexp_replace(replace(piece, '{DOT}', '.'), '^\s+|\s+$', '', 'g') as sentence, b.line as first from begun b)
-select concat('d/', doc_id, '.md') as rel, cast(line as int) as line, cast(row_number() over (partition by doc_id order by first, i) - 1 as int) as seq, sentence from made where sentence <> ''""")
+select concat('d/', doc_id, '.md') as rel, cast(line as int) as line, cast(row_number() over (partition by doc_id order by first, i) - 1 as int) as seq, sentence from made where sentence <> ''"""
+
+
+@query("unit_assembly", _UNITS)
 def _unit_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), "doc_id", F.lit(".md")).alias("rel"), "text"))
 
 
+@query("unit_assembly_in_pieces", _UNITS)
+def _unit_assembly_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document dealt over tasks in pieces of a few lines."""
+    return split_documents(table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), "doc_id", F.lit(".md")).alias("rel"), "text"), long=-1, chunk=5)
+
+
 @query("token_counts", f"""
 with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z]{{2,}}')) as w from {{documents}}),
 t as (select doc_id, case when w like '%s' and length(w) > 4 then left(w, -1) else w end as token from w)
@@ -492,13 +502,13 @@ def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- citations against records
 @query("citation_verdicts", """
-select concat('2001.', lpad(cast(10000 + p_partkey % 80000 as varchar), 5, '0')) as ident, case p_partkey % 6 when 0 then 'FLAGGED' when 1 then 'VERIFIED' when 2 then 'FLAGGED' when 3 then 'FLAGGED' else 'UNVERIFIABLE' end as status,
+select concat(1000 + p_partkey // 90000, '.', 10000 + p_partkey % 90000) as ident, case p_partkey % 6 when 0 then 'FLAGGED' when 1 then 'VERIFIED' when 2 then 'FLAGGED' when 3 then 'FLAGGED' else 'UNVERIFIABLE' end as status,
 case p_partkey % 6 when 0 then 'not found' when 1 then 'matches bib authors/title' when 2 then 'bib entry does not match the record' when 3 then 'bib entry does not match the record' else 'could not be checked' end as said,
-case p_partkey % 6 when 2 then 'authors differ: record Ann Doe' when 3 then 'title differs: record Quite another thing' else '' end as evidence, cast(2 as int) as line from {part} where p_partkey < 80000""")
+case p_partkey % 6 when 2 then 'authors differ: record Ann Doe' when 3 then 'title differs: record Quite another thing' else '' end as evidence, cast(2 as int) as line from {part}""")
 def _citation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two entries for each identifier, the last of which stands for it; authors, titles and answers by the key."""
-    part = table(spark, sf_dir, "part").where("p_partkey < 80000")
-    k, ident = F.col("p_partkey"), F.concat(F.lit("2001."), F.lpad((10000 + F.col("p_partkey") % 80000).cast("string"), 5, "0"))
+    part = table(spark, sf_dir, "part")
+    k, ident = F.col("p_partkey"), F.expr("concat(1000 + p_partkey div 90000, '.', 10000 + p_partkey % 90000)")
     fields = lambda author: F.create_map(F.lit("eprint"), ident, F.lit("title"), F.lit("A Study of Many Things"), F.lit("author"), F.lit(author))
     entry = lambda line, author: part.select(F.concat(F.lit("b/"), k.cast("string"), F.lit(".bib")).alias("rel"), F.lit("a").alias("ord"), F.concat(F.lit(f"k{line}_"), k.cast("string")).alias("key"), fields(author).alias("fields"), F.lit(line).alias("line"), F.lit(None).cast("string").alias("unread"))
     bib = entry(1, "Nobody, At All").unionByName(entry(2, "Doe, Jane and Roe, Max"))
@@ -595,3 +605,55 @@ from (select c_custkey, """ + _word("c_custkey") + """ as w, f from {customer} c
 def _consistency_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = consistency.similar_claims(extract_claims(split_documents(generated(spark, sf_dir, OVERLAPPING))))
     return pairs.select(F.regexp_extract("a_rel", r"(\d+)\.md", 1).cast("long").alias("c_custkey"), F.round("similarity", 6).alias("similarity"))
+
+
+# ---------------------------------------------------------------- kept answers and the budget of calls
+ATTEMPTS = """
+select concat('https://x.org/', cast(o_custkey as string)) as key, cast(o_orderkey % 3 as string) as version, cast(o_orderdate as timestamp) as taken,
+cast(case o_orderkey % 9 when 0 then 0 when 1 then 403 when 2 then 503 when 3 then 404 when 4 then 429 else 200 end as int) as status_code, concat('body ', cast(o_orderkey as string)) as body from {orders}"""
+_KEPT = f"""
+with log as ({ATTEMPTS}), good as (select * from log where status_code > 0 and status_code < 500 and status_code not in ({", ".join(map(str, citation.BLOCKED))})),
+kept as (select *, row_number() over (partition by key, version order by taken desc, status_code desc, body desc) as place from good), now as (select max(taken) - interval 30 day as now from log)"""
+
+
+def _kept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The log in three batches, the last of them twice."""
+    log = generated(spark, sf_dir, ATTEMPTS)
+    batch = lambda i: log.where(F.pmod(F.xxhash64("body"), F.lit(3)) == i)
+    kept = answers.upsert(None, batch(0))
+    for i in (1, 2, 2):
+        kept = answers.upsert(kept, batch(i))
+    return log, kept
+
+
+@query("kept_answers", _KEPT + " select key, version, taken, status_code, body from kept where place = 1")
+def _kept_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir)[1]
+
+
+@query("answers_to_ask", _KEPT + """
+select distinct key from log where key not in (select key from kept, now where place = 1 and version = '1' and taken > now - interval 200 day and taken <= now)""")
+def _answers_to_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, kept = _kept(spark, sf_dir)
+    now = log.agg(F.max("taken").alias("taken")).first().taken
+    return answers.to_ask(log.select("key"), kept, "1", F.lit(now) - F.make_interval(days=F.lit(30)), days=200)
+
+
+CLAIMS = "select concat('k', cast(o_orderkey % 997 * 31 + o_orderkey as string)) as key, o_orderkey as ord, 1 + o_orderkey % 2 as cost from {orders}"
+
+
+@query("judge_budget", f"""
+with c as ({CLAIMS}), f as (select *, case when ord % 5 = 0 then 0 else cost end as paid from (select *, row_number() over (partition by key order by ord) as place from c) where place = 1),
+r as (select *, coalesce(sum(paid) over (order by ord, key rows between unbounded preceding and 1 preceding), 0) as before from f)
+select c.key, c.ord, case when r.ord % 5 = 0 then 'cached' when r.before + 2 <= (select count(*) // 3 from c) then 'asked' else 'beyond' end as state, cast(r.before as bigint) as before from c join r using (key)""")
+def _judge_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = generated(spark, sf_dir, CLAIMS)
+    return budget.allocate(claims, claims.where("ord % 5 = 0").select("key"), claims.count() // 3).select("key", "ord", "state", "before")
+
+
+CALLS = "select case when o_orderkey % 4 = 0 then 'small' else 'large' end as model, case when o_orderkey % 7 = 0 then null else 100 + o_orderkey % 50 end as input_tokens, o_orderkey % 20 as output_tokens from {orders}"
+
+
+@query("judge_usage", f"select model, count(*) as calls, cast(coalesce(sum(input_tokens), 0) as bigint) as input_tokens, cast(sum(output_tokens) as bigint) as output_tokens from ({CALLS}) group by model")
+def _judge_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budget.usage(generated(spark, sf_dir, CALLS))

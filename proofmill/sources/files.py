@@ -19,6 +19,8 @@ from . import readers
 TEXT, DATA, BIB = [".md", ".markdown", ".txt", ".tex", ".rst", ".ipynb", ".docx"], [".csv", ".json"], [".bib", ".bbl"]
 SKIPPED_FOLDERS = [".git", ".venv", "venv", "node_modules", "__pycache__", ".tox", ".mypy_cache", ".pytest_cache", "dist", "build", ".idea", ".vscode"]
 MOST_BYTES = 30_000_000
+#: The ignore file of a folder.
+IGNORE = ".auditignore"
 
 
 def walk_order(rel: Column) -> Column:
@@ -36,8 +38,24 @@ def excluded(rel: Column, patterns: list[str]) -> Column:
     return out
 
 
+def ignored(spark: SparkSession, root: str) -> list[str]:
+    """Patterns of the folder's ignore file, one a line; blank lines and those that begin with # are none."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    path = jvm.Path(root.rstrip("/") or "/", IGNORE)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    stream = fs.open(path)
+    try:
+        text = bytes(stream.readNBytes(MOST_BYTES)).decode("utf-8", "replace")
+    finally:
+        stream.close()
+    return [line.strip() for line in text.splitlines() if line.strip() and not line.startswith("#")]
+
+
 def list_files(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
-    """rel, ord, kind (text, data, bib), length, content of every file that an extension selects."""
+    """rel, ord, kind (text, data, bib), length, content of every file that an extension selects; what `exclude` and the folder's ignore file name is left out."""
+    exclude = [*(exclude or []), *ignored(spark, root)]
     return selected(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root, exclude)
 
 

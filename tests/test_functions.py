@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from proofmill.functions import text as X
 from proofmill.functions.numbers import numbers
 from proofmill.operators.arithmetic import comparisons, find_seed_rows, moments
 from proofmill.operators.registry import mask_code, parse_tag, tags_of
-from proofmill.operators.sentences import sentences_of, units
+from proofmill.operators.sentences import sentences_of, split_documents, units
 
 
 def one(spark, column):
@@ -116,3 +118,15 @@ def test_tags():
     assert tags_of("0.3 % claim: t = -0.39 (mean)", True)[0][1:3] == ("t", "-0.39")
     masked = mask_code("a\n```\n<!-- claim: b = 1 -->\n```\n\n    code\ntext", False)
     assert masked.count("\n") == 6 and "claim" not in masked and "code" not in masked and masked.endswith("text")
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 1000])
+def test_documents_in_pieces(spark, chunk):
+    """Lines dealt over tasks against one loop for each document: runs of lines over pieces, paragraphs cut where sentences end, abbreviations over lines."""
+    r = random.Random(chunk)
+    lines = ["# Head", "|a|b|", "|--|--|", "", "  ", "---", "It is so.", "It is so. But why", "not? (Yes.)", "as et", "al.", "Smith et al.", "Said Fig.", "- an item", "2) another", "end!", '"Quoted"', "\u00a0x\x1c", "####### no head", "| one bar", "Dr.", "No"]
+    docs = [(f"d{i}.{r.choice(['md', 'tex'])}", "\n".join(r.choice(lines) for _ in range(r.randint(1, 40)))) for i in range(60)] + [("void.md", None), ("empty.md", ""), ("long.md", "It is so\n" * 3000 + "\n\nEnd. " * 50)]
+    df = spark.createDataFrame(docs, "rel string, text string")
+    plain = sorted(map(tuple, split_documents(df).collect()))
+    assert sorted(map(tuple, split_documents(df, long=-1, chunk=chunk).collect())) == plain
+    assert sorted(map(tuple, split_documents(df, long=100, chunk=chunk).collect())) == plain
