@@ -151,16 +151,19 @@ def _with_more(found: DataFrame, keys: DataFrame, more: DataFrame, scratch: Scra
     more is a written table of the few texts that have some: its size is known, so the join broadcasts it only where it is small.
     """
     total = keys.count()
+    # Rows without any token have no key and go past the join.
+    rest = found.where("__key is null").withColumn("__more", F.array().cast(SPANS))
+    found = found.where("__key is not null")
     hot = scratch.write(keys.where("__key is not null").groupBy("__key").agg(F.count("*").alias("n")).where(F.col("n") > max(total / HOT, HOT_ROWS)).select(F.col("__key").alias("__hot")), "hot")
     if is_empty(hot):
         out = found.join(more.withColumnRenamed("__key", "__k"), F.col("__key") == F.col("__k"), "left").drop("__k")
-        return out.withColumn("__more", F.coalesce("__more", F.array().cast(SPANS)))
+        return out.withColumn("__more", F.coalesce("__more", F.array().cast(SPANS))).unionByName(rest)
     hot = F.broadcast(hot)
     found = found.join(hot, F.col("__key") == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.spark_partition_id() % SALTS).otherwise(0))
     salts = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     more = more.join(hot, F.col("__key") == F.col("__hot"), "left").select(F.col("__key").alias("__k"), "__more", F.explode(salts).alias("__s"))
     out = found.join(more, (F.col("__key") == F.col("__k")) & (F.col("__salt") == F.col("__s")), "left").drop("__k", "__s", "__salt", "__hot")
-    return out.withColumn("__more", F.coalesce("__more", F.array().cast(SPANS)))
+    return out.withColumn("__more", F.coalesce("__more", F.array().cast(SPANS))).unionByName(rest)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, accept: float = 0.9, support: int = 4, digits: int = 7) -> DataFrame:
