@@ -22,6 +22,7 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--replies", help="Parquet table of recorded model replies for the support check")
     c.add_argument("--offline", action="store_true", help="leave the recorded tables out")
     c.add_argument("--json", action="store_true")
+    c.add_argument("--out", help="folder for the JSON report as part files, in place of standard output")
     c.add_argument("--show-verified", action="store_true")
     c.add_argument("--show-unverifiable", action="store_true")
     c.add_argument("--top", type=int)
@@ -48,6 +49,9 @@ def main(argv: list[str] | None = None) -> int:
         print(report.error_json(str(e)) if a.json else e, file=sys.stdout if a.json else sys.stderr)
         return 2
     show = ("FLAGGED", *(("VERIFIED",) if a.show_verified else ()), *(("UNVERIFIABLE",) if a.show_unverifiable else ()))
+    if a.json and a.out:
+        report.write_json_report(found, only or ALL, a.out)
+        return 0 if a.exit_zero else report.exit_code(found, a.fail_on)
     print(report.json_report(found, only or ALL) if a.json else report.top_report(found, a.top) if a.top else report.text_report(found, only or ALL, show))
     return 0 if a.exit_zero else report.exit_code(found, a.fail_on)
 

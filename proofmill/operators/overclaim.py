@@ -81,7 +81,9 @@ def find_overclaims(sentences: DataFrame, strict: bool = False) -> DataFrame:
     def matches(s: pd.Series) -> pd.Series:
         return s.map(lambda x: overclaims(x, table))
 
-    return sentences.where(F.col("sentence").rlike(cue(strict))).select("*", F.explode(matches("sentence")).alias("m")).select(*sentences.columns, "m.*")
+    # Not to be moved: a filter on the result would be pushed below it, and the text read once for the filter and once for the result.
+    found = sentences.where(F.col("sentence").rlike(cue(strict))).withColumn("found", matches.asNondeterministic()("sentence"))
+    return found.select(*sentences.columns, F.explode("found").alias("m")).select(*sentences.columns, "m.*")
 
 
 def word_count(text: Column, category: str) -> Column:

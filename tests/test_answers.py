@@ -1,14 +1,16 @@
-"""Kept answers, the budget of calls, and what a folder's ignore file leaves out, against plain loops."""
+"""Kept answers, the budget of calls, what a folder's ignore file leaves out, and reports in parts, against plain loops."""
 
 from __future__ import annotations
 
+import json
 import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from proofmill.operators import budget
+from proofmill.operators import budget, findings
+from proofmill.plans import report
 from proofmill.sources import answers, files
 
 START = datetime(2024, 1, 1)
@@ -57,3 +59,17 @@ def test_ignore_file(spark, tmp_path):
     assert len(listed()) == 6
     (tmp_path / files.IGNORE).write_text("# no pattern\n\ndrop/\n*.txt\n")
     assert listed() == ["a.md", "keep/b.md", "notes.tex"]
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_report_in_parts(spark, tmp_path, n):
+    rows = [(["seeds", "source"][i % 2], ["FLAGGED", "VERIFIED", "UNVERIFIABLE"][i % 3], f"f{i % 40}.md", i % 7 if i % 11 else None, f'says "{i % 50}" \n é', "", {"k": "v"} if i % 5 == 0 else {}) for i in range(n)]
+    found = spark.createDataFrame(rows, findings.SCHEMA).repartition(6)
+    report.write_json_report(found, ["seeds", "source"], str(tmp_path / "out"))
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    made = json.loads("".join(p.read_text() for p in parts))
+    whole = json.loads(report.json_report(found, ["seeds", "source"]))
+    assert {k: v for k, v in made.items() if k != "findings"} == {k: v for k, v in whole.items() if k != "findings"}
+    assert sorted(map(json.dumps, made["findings"])) == sorted(map(json.dumps, whole["findings"])) and len(made["findings"]) == n and (n < 5000 or len(parts) > 1)
+    keys = [(x["check"], ["FLAGGED", "UNVERIFIABLE", "VERIFIED"].index(x["status"]), x["file"]) for x in made["findings"]]
+    assert keys == sorted(keys)

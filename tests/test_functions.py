@@ -13,6 +13,7 @@ from proofmill.functions.numbers import numbers
 from proofmill.operators.arithmetic import comparisons, find_seed_rows, moments
 from proofmill.operators.registry import mask_code, parse_tag, tags_of
 from proofmill.operators.sentences import sentences_of, split_documents, units
+from proofmill.sources.readers import bib_entries
 
 
 def one(spark, column):
@@ -117,6 +118,9 @@ def test_tags():
     assert tags_of("x 0.75%<!-- claim: m = 0.7545 -->", False) == [(1, "m", "0.7545", "0.75", None)]
     assert tags_of("0.3 % claim: t = -0.39 (mean)", True)[0][1:3] == ("t", "-0.39")
     masked = mask_code("a\n```\n<!-- claim: b = 1 -->\n```\n\n    code\ntext", False)
+    assert mask_code("~~~~\nx\n~~~\ny\n~~~~\nz", False).split() == ["z"] and mask_code("a\n    b\n\n    c\n\n    d", False).split() == ["a", "b"]  # b goes on a paragraph
+    assert [parse_tag(b, False)[2] is None for b in ("a = 1", "a", "= 1", "a = b = 1", "a =", "a = 1x", "a = <value>")] == [True, False, False, False, False, False, True]
+    assert [t[4] is None for t in tags_of("<!-- claim: a = 1\n2 <!-- claim: b = 2 -->", False)] == [False, True]
     assert masked.count("\n") == 6 and "claim" not in masked and "code" not in masked and masked.endswith("text")
 
 
@@ -130,3 +134,16 @@ def test_documents_in_pieces(spark, chunk):
     plain = sorted(map(tuple, split_documents(df).collect()))
     assert sorted(map(tuple, split_documents(df, long=-1, chunk=chunk).collect())) == plain
     assert sorted(map(tuple, split_documents(df, long=100, chunk=chunk).collect())) == plain
+
+
+def test_bibliography_entries():
+    text = """@article{a1,
+  title = {A {Nested {and {deep}}} title}, author = "Doe, Jane" # " and others",
+  year = 2020, month = jan, note = {open
+@book{b2, title={B}, year = {1999}}
+@misc{c3, title = "unclosed
+"""
+    assert bib_entries(text) == [
+        ("a1", {"title": "A {Nested {and {deep}}} title", "author": "Doe, Jane", "year": "2020", "month": "jan", "note": "open"}, 1), ("b2", {"title": "B", "year": "1999"}, 4), ("c3", {"title": "unclosed"}, 5),
+    ]
+    assert bib_entries("") == [] and bib_entries("@string{x} @a{k, }") == [("k", {}, 1)]

@@ -39,7 +39,7 @@ def test_tiers(spark, tmp_path):
     ]
     made = {r.ident: r for r in records.assemble(spark.createDataFrame(rows, records.RESPONSES)).collect()}
     assert {k: (r.tier, r.trusted) for k, r in made.items()} == {"arxiv:2001.00001": ("html", True), "arxiv:2001.00002": ("abstract", False), "doi:10.1/x": ("abstract", False), "url:https://a.b": ("web", True), "arxiv:2001.00003": ("none", False)}
-    assert "end of the document" in made["arxiv:2001.00002"].note and "unavailable (status 406)" in made["arxiv:2001.00003"].note and made["arxiv:2001.00002"].body is None
+    assert "its end is missing" in made["arxiv:2001.00002"].note and "unavailable (status 406)" in made["arxiv:2001.00003"].note and made["arxiv:2001.00002"].body is None
     codes = {(r.kind, r.ident): (r.status_code, r.authors) for r in records.citation_records(spark.createDataFrame(rows, records.RESPONSES)).collect()}
     assert codes["arxiv", "2001.00001"] == (200, ["smith", "perez"]) and codes["arxiv", "2001.00003"][0] == 406
     records.write_token_bags(records.assemble(spark.createDataFrame(rows, records.RESPONSES)).where("trusted"), str(tmp_path / "bags"))
@@ -58,8 +58,8 @@ def test_silent_containers(spark, tmp_path):
     (tmp_path / "empty.md").write_text("\n")
     got = {r.file: r.evidence for r in audit(spark, str(tmp_path), only=["seeds"]).where("check = 'scan'").collect()}
     assert set(got) == {"code.ipynb", "none.ipynb", "wrap.tex", "bare.tex"}
-    assert "only code cells (3 of them)" in got["code.ipynb"] and got["none.ipynb"] == "it has no cells" and "wraps a PDF (paper.pdf) with \\includepdf" in got["wrap.tex"] and "no readable sentences" in got["bare.tex"]
-    assert readers.why_silent("x.ipynb", json.dumps({"cells": [cell("markdown", ""), cell("code", "")]}).encode()) == "its markdown cells are all empty"
+    assert "all its cells, 3 of them, are code" in got["code.ipynb"] and "without cells" in got["none.ipynb"] and "wraps a PDF (paper.pdf) with \\includepdf" in got["wrap.tex"] and "no readable sentences" in got["bare.tex"]
+    assert readers.why_silent("x.ipynb", json.dumps({"cells": [cell("markdown", ""), cell("code", "")]}).encode()) == "its 1 prose cell(s) hold no text"
     (tmp_path / "other").mkdir()
     (tmp_path / "other" / "data.csv").write_text("a\n1\n")
     nothing = audit(spark, str(tmp_path / "other"), only=["seeds"]).collect()
