@@ -639,15 +639,15 @@ def _answers_to_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.to_ask(log.select("key"), kept, "1", F.lit(now) - F.make_interval(days=F.lit(30)), days=200)
 
 
-CLAIMS = "select concat('k', cast(o_orderkey % 997 * 31 + o_orderkey as string)) as key, o_orderkey as ord, 1 + o_orderkey % 2 as cost from {orders}"
+ASKING = "select concat('k', cast(o_orderkey % 997 * 31 + o_orderkey as string)) as key, o_orderkey as ord, 1 + o_orderkey % 2 as cost from {orders}"
 
 
 @query("judge_budget", f"""
-with c as ({CLAIMS}), f as (select *, case when ord % 5 = 0 then 0 else cost end as paid from (select *, row_number() over (partition by key order by ord) as place from c) where place = 1),
+with c as ({ASKING}), f as (select *, case when ord % 5 = 0 then 0 else cost end as paid from (select *, row_number() over (partition by key order by ord) as place from c) where place = 1),
 r as (select *, coalesce(sum(paid) over (order by ord, key rows between unbounded preceding and 1 preceding), 0) as before from f)
 select c.key, c.ord, case when r.ord % 5 = 0 then 'cached' when r.before + 2 <= (select count(*) // 3 from c) then 'asked' else 'beyond' end as state, cast(r.before as bigint) as before from c join r using (key)""")
 def _judge_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = generated(spark, sf_dir, CLAIMS)
+    claims = generated(spark, sf_dir, ASKING)
     return budget.allocate(claims, claims.where("ord % 5 = 0").select("key"), claims.count() // 3).select("key", "ord", "state", "before")
 
 
