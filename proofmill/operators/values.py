@@ -21,6 +21,8 @@ AGGREGATES = {
     "mean x100": ["mean", "percent"], "median x100": ["median", "percent"], "min x100": ["min", "percent"], "max x100": ["max", "percent"],
 }
 MOST_CELL_ROWS, MOST_CATEGORIES = 3_000, 30
+#: Slices that the bracket of a median is cut into.
+SLICES = 4_096
 
 
 def _list(words: list[str]) -> Column:
@@ -52,16 +54,25 @@ def _number(cells: DataFrame) -> Column:
 def medians(cells: DataFrame, v: Column) -> DataFrame:
     """Exact median of each column (file, header, median), without all its values in one place.
 
-    A sketch brackets the median within a thousandth of the ranks; below the bracket values are counted, and within it equal values are one row.
+    A sketch brackets the median within a thousandth of the ranks; below the bracket values are counted, and within it equal values are one row. The bracket is cut into
+    SLICES of equal width, whose counts say in which of them the middle ranks are: only those slices' values are ordered, each slice on its own.
     """
     of = ["file", "header"]
     rows = cells.select(*of, v.alias("x")).where("x is not null")
     bracket = rows.groupBy(*of).agg(F.count("*").alias("n"), F.percentile_approx("x", [0.4995, 0.5005], 10_000).alias("b"))
-    near = rows.join(bracket, of).where(F.col("x") <= F.col("b")[1]).groupBy(*of, "n", F.when(F.col("x") >= F.col("b")[0], F.col("x")).alias("x")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*of).orderBy(F.asc_nulls_first("x")))
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("x")))
-    ranked = near.withColumn("upto", upto).groupBy(*of, "n").agg(at(F.floor((F.col("n") - 1) / 2)).alias("low"), at(F.floor(F.col("n") / 2)).alias("high"))
-    return ranked.select(*of, ((F.col("low") + F.col("high")) / 2).alias("median"))
+    # A row for each column of the tables.
+    near = rows.join(F.broadcast(bracket), of).where(F.col("x") <= F.col("b")[1]).groupBy(*of, "n", "b", F.when(F.col("x") >= F.col("b")[0], F.col("x")).alias("x")).agg(F.count("*").alias("c"))
+    lo, hi = F.col("b")[0], F.col("b")[1]
+    place = F.when(F.col("x").isNull(), -1).when(hi <= lo, 0).otherwise(F.least(F.floor((F.col("x") - lo) / (hi - lo) * SLICES), F.lit(SLICES - 1)))
+    sliced = near.select(*of, "n", "x", "c", place.alias("slice"))
+    upto = lambda by: F.sum("c").over(Window.partitionBy(*of).orderBy(by))
+    counts = sliced.groupBy(*of, "n", "slice").agg(F.sum("c").alias("c")).withColumn("upto", upto("slice"))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    within = lambda rank: (F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)
+    middle = counts.where(within(low) | within(high)).select(*of, "slice", (F.col("upto") - F.col("c")).alias("before"))
+    ranked = sliced.join(F.broadcast(middle), [*of, "slice"]).withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy(*of, "slice").orderBy("x")))
+    at = lambda rank: F.max(F.when(within(rank), F.col("x")))
+    return ranked.groupBy(*of).agg(at(low).alias("low"), at(high).alias("high")).select(*of, ((F.col("low") + F.col("high")) / 2).alias("median"))
 
 
 def column_types(cells: DataFrame) -> DataFrame:

@@ -72,6 +72,15 @@ def test_names(spark):
     assert {r.x: r.n for r in df.select("x", mentions.normal_name(F.col("x")).alias("n")).collect()} == cases
 
 
+def test_medians_of_many_values(spark):
+    """A million distinct values in a skewed column, its middle in a thin slice; huge and tiny ones; two middle values in different slices."""
+    x = F.pow(F.col("id").cast("double") - 500_000, F.lit(3.0))
+    cells = spark.range(1_000_001).select(F.lit("t").alias("file"), F.lit("cubes").alias("header"), x.alias("v"))
+    far = spark.createDataFrame([("t", "far", v) for v in (-1e308, 1e308, 5e-324, -5e-324, 0.25, 1e-300)] + [("t", "two", v) for v in (1.0, 1e9)] + [("t", "same", 4.0)] * 9, "file string, header string, v double")
+    got = {r.header: r.median for r in values.medians(cells.unionByName(far), F.col("v")).collect()}
+    assert got == {"cubes": 0.0, "far": (5e-324 + 1e-300) / 2, "two": (1.0 + 1e9) / 2, "same": 4.0}
+
+
 def test_medians(spark):
     rows = [("t", "a", str(x)) for x in [5, 1, 4, 2, 3]] + [("t", "b", str(x)) for x in [1, 2, 3, 10]] + [("t", "c", "7")] * 50 + [("t", "c", "9")] * 50 + [("t", "d", str(i * 37 % 20_011)) for i in range(20_000)]
     got = {r.header: r.median for r in values.medians(spark.createDataFrame(rows, "file string, header string, raw string"), values.number("raw")).collect()}
