@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_tex
 from ..operators import arithmetic, citation, collected, consistency, findings, json_index, overclaim, registry, source_check, support, values
+from ..operators.mentions import surnames
 from ..operators.sentences import LONG, extract_claims, split_documents
 from ..sources import files as sources
 
@@ -92,7 +93,7 @@ def audit(spark: SparkSession, root: str, only: list[str] | None = None, records
     if "citation" in wanted:
         parts.append(citation.check_citations(docs, sources.read_bibliography(texts), records, most_urls))
     if "support" in wanted:
-        entries = citation.bib_identifiers(sources.read_bibliography(texts).where("lower(rel) like '%.bib'")).select("key", F.concat("kind", F.lit(":"), "ident").alias("ident"), F.struct("ord", "line").alias("ord"))
+        entries = citation.bib_identifiers(sources.read_bibliography(texts).where("lower(rel) like '%.bib'")).select("key", F.concat("kind", F.lit(":"), "ident").alias("ident"), F.struct("ord", "line").alias("ord"), surnames(F.coalesce(F.col("fields")["author"], F.lit(""))).alias("authors"))
         parts.append(support.check_support(docs, entries, cited, replies, most_urls))
     if "benchmark" in wanted:
         parts.append(arithmetic.check_benchmarks(lines))

@@ -574,6 +574,18 @@ def _support_several_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_replace("file", "^zq", "q").alias("file"), "line", "status", F.contains("message", wanted).alias("reason_given"))
 
 
+@query("support_bibliography_authors", "select concat('v/', s_suppkey, '.tex') as file, case s_suppkey % 4 when 1 then 'FLAGGED' when 3 then 'FLAGGED' else 'UNVERIFIABLE' end as status from {supplier}")
+def _support_bibliography_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors as on the record; others; a surname alone, which no source must hold; a name beside a citation that is no author's. Textual citations print their names themselves."""
+    k = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    key, ident, case = F.concat(F.lit("k"), F.col("k").cast("string")), F.concat(F.lit("arxiv:2002."), F.lpad(F.col("k").cast("string"), 9, "0")), F.col("k") % 4
+    sentence = F.when(case == 2, "They show that the Hoffmánn bound holds \\cite{%s}.").when(case == 3, "Smith et al. \\cite{%s} show that it holds.").otherwise("Smith and Poe \\citet{%s} show that it holds.")
+    docs = k.select(F.concat(F.lit("v/"), F.col("k").cast("string"), F.lit(".tex")).alias("rel"), F.replace(sentence, F.lit("%s"), key).alias("text"))
+    bib = k.select(key.alias("key"), ident.alias("ident"), F.lit("1").alias("ord"), F.when(case == 1, F.array(F.lit("doe"))).otherwise(F.array(F.lit("hoffmann"))).alias("authors"))
+    sources = k.select(ident.alias("ident"), F.lit("T").alias("title"), F.array(F.lit("Ann Hoffmann"), F.lit("Max Roe")).alias("authors"), F.lit(2020).alias("year"), F.lit(True).alias("trusted"), F.lit("It is a bound and it holds.").alias("body"), F.lit("").alias("refs"))
+    return support.check_support(docs, bib, sources, most_sources=1_000_000).select("file", "status")
+
+
 @query("citing_context", "select concat('p/', s_suppkey, '.tex') as rel, 'A sentence before it.' as context, case when s_suppkey % 7 = 6 then null else concat('arxiv:2001.', lpad(cast(s_suppkey as varchar), cast(greatest(5, length(cast(s_suppkey as varchar))) as int), '0')) end as ident from {supplier}")
 def _citing_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bib, _ = _support_tables(spark, sf_dir)
