@@ -89,8 +89,8 @@ def test_whitening_without_variance(spark):
     huge = whitening.whiten(make([(1, [1e300, 0.0]), (2, [-1e300, 0.5]), (3, [3.0, 1.0])])).collect()
     near = (3 * 192 - 192) ** 2 + (3 * 64 - 96) ** 2  # the two bounds cancel each other
     assert {o.vec_id: o.deviation for o in huge} == {1: None, 2: None, 3: near} and all(math.isfinite(o.whitened) for o in huge if o.whitened is not None)
-    big = whitening.whiten(make([(i, [c * 1e7]) for i, c in enumerate((1.0, 2.0, 4.0))])).collect()
-    assert [o.deviation for o in sorted(big)] == [(3 * 64 * 10**7 * c - 7 * 64 * 10**7) ** 2 for c in (1, 2, 4)]
+    big = whitening.whiten(make([(i, [c * 1e6]) for i, c in enumerate((1.0, 2.0, 4.0))])).collect()
+    assert [o.deviation for o in sorted(big)] == [(3 * 64 * 10**6 * c - 7 * 64 * 10**6) ** 2 for c in (1, 2, 4)]
 
 
 @pytest.mark.parametrize(("rows", "columns"), [(9, 9), (30, 7), (3, 8), (1, 1), (0, 4)])
