@@ -21,7 +21,8 @@ def decimals(raw: Column) -> Column:
 
 
 def exponent(raw: Column) -> Column:
-    return F.coalesce(F.regexp_extract(raw, r"[eE]([-+]?\d+)", 1).try_cast("int"), F.lit(0))
+    """The printed exponent, 0 where there is none; an empty text is not cast, since each failed cast makes an exception."""
+    return F.coalesce(F.nullif(F.regexp_extract(raw, r"[eE]([-+]?\d+)", 1), F.lit("")).try_cast("int"), F.lit(0))
 
 
 def half_width(raw: Column) -> Column:

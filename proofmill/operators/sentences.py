@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import extract_numbers
 from ..functions.text import ABBREVIATIONS, BREAK, DOT, strip_markdown, strip_tex, tokens
+from .tables import dealt
 
 #: Characters up to which a document is read by one task, and lines of a piece of a longer one.
 LONG, CHUNK = 1 << 20, 10_000
@@ -145,11 +146,12 @@ def _cleaned(docs: DataFrame) -> DataFrame:
 
 
 def split_documents(docs: DataFrame, long: int | None = None, chunk: int = CHUNK) -> DataFrame:
-    """docs (rel, text) to (rel, line, seq, sentence); cleaned as TeX or Markdown by the name, in built-in functions.
+    """docs (rel, text) to (rel, line, seq, sentence); cleaned as TeX or Markdown by the name, in built-in functions. Documents are dealt over tasks first: all that reads their sentences runs where they are.
 
     With `long`, documents of more characters are dealt over tasks in pieces of `chunk` lines; without, each is read by one task. Texts are read once more for it,
     so callers that know sizes (a listing of files has them) ask for it only where there are such documents.
     """
+    docs = dealt(docs.select("rel", "text"), "rel", "text")
     if long is None:
         return _whole(_cleaned(docs))
     small = F.coalesce(F.length("text"), F.lit(0)) <= long

@@ -19,6 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df over as many tasks as a shuffle has, by the hash of keys: a small file is read by one task, whatever the work on its rows costs. The number is given, so it is not cut down to what the bytes need."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table of the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/proofmill/{name}-{uuid.uuid4().hex[:12]}"
