@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofmill.functions.precision import exponent
+from proofmill.operators import arithmetic
 from proofmill.plans import catalogue
 
 
-@pytest.mark.parametrize("name", ["seeds_rules"])
+@pytest.mark.parametrize("name", ["seeds_rules", "seeds_statistics"])
 def test_small_files_are_dealt_over_tasks(spark, sf_dir, name):
     """A table of one file is one task's input, but not one task's work."""
     assert catalogue.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= 4
@@ -19,3 +20,11 @@ def test_exponents(spark):
     raws = spark.createDataFrame([("1.5e3",), ("2E-4",), ("7.25",), ("",), (None,)], "raw string")
     made = raws.select("raw", exponent(F.col("raw")).alias("e"))
     assert {r.raw: r.e for r in made.collect()} == {"1.5e3": 3, "2E-4": -4, "7.25": 0, "": 0, None: 0}
+
+
+def test_spread_is_named_once(spark):
+    """The words around a spread are searched once, not once for each reading of it."""
+    said = spark.createDataFrame([("a.md", 1, 0, "Results over 4 runs: 1.0, 2.0, 3.0, 4.0, mean 2.5 ± 0.65 (SEM).")], "rel string, line int, seq int, sentence string")
+    found = arithmetic.find_seed_rows(said)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("confidence\\s+interval") == 1
+    assert [(r.rule, r.status) for r in found.collect()] == [("mean", "VERIFIED")]
