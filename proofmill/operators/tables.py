@@ -20,9 +20,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """df over as many tasks as a shuffle has, by the hash of keys: a small file is read by one task, whatever the work on its rows costs. The number is given, so it is not cut down to what the bytes need."""
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+    """df over two tasks for each core, by the hash of keys: a small file is read by one task, whatever the work on its rows costs. The number is given, so it is not cut down to
+    what the bytes need; rows are streams, and each task sets large expressions up anew, so more tasks cost time and save none."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -28,3 +28,10 @@ def test_spread_is_named_once(spark):
     found = arithmetic.find_seed_rows(said)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("confidence\\s+interval") == 1
     assert [(r.rule, r.status) for r in found.collect()] == [("mean", "VERIFIED")]
+
+
+@pytest.mark.parametrize("name", ["consistency_pairs", "consistency_overlap"])
+def test_claims_are_read_once(spark, sf_dir, name):
+    """The self-join reads written claims; no side splits documents or extracts numbers again."""
+    plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" not in plan
