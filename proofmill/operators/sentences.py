@@ -19,6 +19,8 @@ from .tables import dealt
 
 #: Characters up to which a document is read by one task, and lines of a piece of a longer one.
 LONG, CHUNK = 1 << 20, 10_000
+#: Characters whose sentences a worker holds before it hands them on, and bytes of the Arrow batches that reach it.
+HELD, BATCH_BYTES = 1 << 20, 8 << 20
 SENTENCE = "rel string, line int, seq int, sentence string"
 _BREAK = re.compile(BREAK)
 _MARKER = re.compile(r"^([-*+]|\d+[.)])\s+")
@@ -75,12 +77,21 @@ def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
 
 
 def _whole(docs: DataFrame) -> DataFrame:
-    """Sentences of documents that one task reads one by one."""
+    """Sentences of documents that one task reads one by one; what a worker holds is bounded by HELD characters and a document, whatever an Arrow batch has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, held = [], 0
         for b in batches:
-            made = [(rel, line, seq, s) for rel, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for seq, (line, s) in enumerate(sentences_of(text or ""))]
-            yield _table(made, rel=pa.string(), line=pa.int32(), seq=pa.int32(), sentence=pa.string())
-
+            for rel, text in zip(*b.columns, strict=True):
+                rel, text = rel.as_py(), text.as_py() or ""
+                made += [(rel, line, seq, s) for seq, (line, s) in enumerate(sentences_of(text))]
+                held += len(text) + 100
+                if held > HELD:
+                    yield _table(made, rel=pa.string(), line=pa.int32(), seq=pa.int32(), sentence=pa.string())
+                    made, held = [], 0
+        yield _table(made, rel=pa.string(), line=pa.int32(), seq=pa.int32(), sentence=pa.string())
+
+    # Texts are long and the default bounds rows only.
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return docs.mapInArrow(run, SENTENCE)
 
 

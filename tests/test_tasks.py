@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from proofmill.functions.precision import exponent
 from proofmill.operators import arithmetic
+from proofmill.operators.sentences import split_documents
 from proofmill.plans import catalogue
 
 
-@pytest.mark.parametrize("name", ["seeds_rules", "seeds_statistics"])
+@pytest.mark.parametrize("name", ["seeds_rules", "seeds_statistics", "benchmark_relative", "unit_assembly"])
 def test_small_files_are_dealt_over_tasks(spark, sf_dir, name):
     """A table of one file is one task's input, but not one task's work."""
     assert catalogue.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= 4
@@ -35,3 +36,16 @@ def test_claims_are_read_once(spark, sf_dir, name):
     """The self-join reads written claims; no side splits documents or extracts numbers again."""
     plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_worker_hands_on_sentences_as_it_goes(spark):
+    """Many documents in one task come back in bounded batches, and none is lost."""
+    from proofmill.operators.sentences import HELD
+
+    text = "It is so. " * 2000
+    docs = spark.range(300).selectExpr("concat(id, '.md') as rel", f"'{text}' as text")
+    assert docs.count() * len(text) > 2 * HELD
+    made = split_documents(docs)
+    sizes = made.mapInArrow(lambda batches: batches, made.schema).groupBy("rel").agg(F.count("*").alias("n"), F.max("seq").alias("last")).collect()
+    assert len(sizes) == 300 and {(r.n, r.last) for r in sizes} == {(2000, 1999)}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
