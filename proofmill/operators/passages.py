@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import quote_form
+from .tables import written
 
 
 def source_tokens(sources: DataFrame) -> DataFrame:
@@ -31,16 +32,20 @@ def best_passages(claims: DataFrame, passages: DataFrame, k: int = 4, rare_share
 
     Tokens in more than rare_share of the passages are common. Claims meet passages on rare tokens first; what the common ones can add is bounded, so
     common tokens are only looked up for the passages that may still be among the k best. Claims whose k-th score is below that bound meet on all tokens.
+    Passages are read once and written; what is joined after that holds only tokens of claims, and steps that several joins read are written too.
     """
-    idf = inverse_frequency(passages, "passage").withColumn("weight", F.pow("idf", F.lit(2.0)))
+    passages = written(passages, "passages")
     total = passages.select("passage").distinct().count()
-    asked = claims.join(idf, "token").select("claim", "token", "weight", (F.col("df") <= rare_share * total).alias("rare")).cache()
+    passages = written(passages.join(claims.select("token").distinct(), "token", "left_semi"), "asked")
+    idf = passages.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + F.lit(total) / F.col("df"))).withColumn("weight", F.pow("idf", F.lit(2.0)))
+    asked = written(claims.join(idf, "token").select("claim", "token", "weight", (F.col("df") <= rare_share * total).alias("rare")), "weights")
     bound = asked.where("not rare").groupBy("claim").agg(F.sum("weight").alias("more"))
     met = asked.where("rare").join(passages, "token").groupBy("claim", "passage").agg(F.sum("weight").alias("score"), F.count("*").alias("shared")).join(bound, "claim", "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
+    met = written(met, "met")
     place = F.row_number().over(Window.partitionBy("claim").orderBy(F.desc("score")))
     least = met.withColumn("place", place).where(F.col("place") == k).select("claim", F.col("score").alias("least"), "more")
     sure = least.where(F.col("least") > F.col("more") + 1e-9).select("claim", "least")
-    near = met.join(sure, "claim").where(F.col("score") + F.col("more") >= F.col("least") - 1e-9).select("claim", "passage")
+    near = written(met.join(sure, "claim").where(F.col("score") + F.col("more") >= F.col("least") - 1e-9).select("claim", "passage"), "near")
     # Both token and passage are keys here, so a token that all passages hold is no hot key.
     added = near.join(asked.where("not rare"), "claim").join(passages, ["passage", "token"]).select("claim", "passage", "weight")
     scored = near.join(asked.where("rare"), "claim").join(passages, ["passage", "token"]).select("claim", "passage", "weight").unionByName(added)

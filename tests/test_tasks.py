@@ -49,3 +49,9 @@ def test_worker_hands_on_sentences_as_it_goes(spark):
     sizes = made.mapInArrow(lambda batches: batches, made.schema).groupBy("rel").agg(F.count("*").alias("n"), F.max("seq").alias("last")).collect()
     assert len(sizes) == 300 and {(r.n, r.last) for r in sizes} == {(2000, 1999)}
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+
+
+def test_passages_are_read_once(spark, sf_dir):
+    """The joins of the best passages read written tables; documents are not cut into tokens again."""
+    plan = catalogue.QUERIES["passage_topk"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "regexp_extract_all" not in plan
