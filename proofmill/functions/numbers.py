@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,10 @@ _LITERAL = re.compile(r"(?<![\w.$/\-])([-−+±]?)(\d{1,3}(?:,\d{3})+(?:\.\d+)?|
 _RATIO = re.compile(r"(?<![\w.])(\d+(?:,\d{3})*)\s*(?:of|/)\s*(\d+(?:,\d{3})*)(?![\w/])")
 _RANGE = re.compile(r"(?<=[\d%])\s*(?:--|–|—)\s*(?=\d)")
 _SCRUB = re.compile(NOT_NUMBERS)
+_NOUN = re.compile(r"\s+([A-Za-z]+)")
+#: What a match of NOT_NUMBERS holds, but for a bracket, an address's "://" and "www.".
+_DOTTED = re.compile(r"\d[.\-]\d")
+_ARROW = pa.struct([("value", pa.float64()), ("raw", pa.string()), ("kind", pa.string()), ("decimals", pa.int32()), ("den", pa.float64())])
 _KINDS = {"%": "pct", "percent": "pct", "x": "x", "×": "x"}
 
 
@@ -38,14 +42,19 @@ def _is_structure(text: str, start: int, end: int, value: float, decimals: int)
         return True
     if decimals:
         return False
-    noun = re.compile(r"\s+([A-Za-z]+)").match(text, end)
+    noun = _NOUN.match(text, end)
     return 1900 <= value <= 2100 or (abs(value) < 10 and (noun.group(1).lower() if noun else "") not in COUNT_NOUNS)
 
 
 def numbers(sentence: str | None) -> list[dict]:
     """Ratios first, then every other number outside them, each in order of appearance."""
-    text = _RANGE.sub(" to ", _SCRUB.sub(" ", sentence or ""))
-    ratios = [(m, _value(m[1]), _value(m[2])) for m in _RATIO.finditer(text)]
+    text = sentence or ""
+    # Each pattern is run only on texts that hold what its matches must.
+    if "[" in text or "://" in text or _DOTTED.search(text) or "www." in text.lower():
+        text = _SCRUB.sub(" ", text)
+    if "--" in text or "–" in text or "—" in text:
+        text = _RANGE.sub(" to ", text)
+    ratios = [(m, _value(m[1]), _value(m[2])) for m in _RATIO.finditer(text)] if "of" in text or "/" in text else []
     ratios = [(m, a, b) for m, a, b in ratios if b >= 2 and a <= b * 1.0001 + 1e-9]
     out = [{"value": a, "raw": m[0], "kind": "ratio", "decimals": 0, "den": b} for m, a, b in ratios]
     covered = {i for m, _, _ in ratios for i in range(*m.span())}
@@ -60,9 +69,9 @@ def numbers(sentence: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(NUMBER))
-def extract_numbers(sentence: pd.Series) -> pd.Series:
-    return sentence.map(numbers)
+@F.arrow_udf(T.ArrayType(NUMBER))
+def extract_numbers(sentence: pa.Array) -> pa.Array:
+    return pa.array([numbers(s) for s in sentence.to_pylist()], pa.list_(_ARROW))
 
 
 # Not to be moved: a filter on the result would be pushed below it, and the text read once for the filter and once for the result.

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from proofmill.functions.precision import exponent
-from proofmill.operators import arithmetic
+from proofmill.operators import arithmetic, consistency
 from proofmill.operators.sentences import split_documents
 from proofmill.plans import catalogue
 
@@ -55,3 +57,26 @@ def test_passages_are_read_once(spark, sf_dir):
     """The joins of the best passages read written tables; documents are not cut into tokens again."""
     plan = catalogue.QUERIES["passage_topk"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "regexp_extract_all" not in plan
+
+
+@pytest.mark.parametrize("name", ["consistency_pairs", "consistency_overlap"])
+def test_tokens_are_made_once_and_frequent_ones_are_not_shuffled(spark, sf_dir, name, monkeypatch):
+    """No filter over the written claims makes their tokens again, and postings of frequent tokens go before the join."""
+    written, plans = consistency.written, []
+    monkeypatch.setattr(consistency, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df, name))
+    plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plans[0].count("regexp_extract_all") == 1
+    assert "LeftAnti" in plan
+
+
+def test_patterns_asked_for_first_lose_nothing(spark):
+    """What looks like a number is still left out, ranges and ratios are read, sentences end where BREAK says."""
+    from proofmill.functions.numbers import numbers
+    from proofmill.functions.text import BREAK
+    from proofmill.operators.sentences import unit_sentences
+
+    for text in ("HTTPS://x.org/12 rows", "WWW.x.org/77 rows", "doi 10.1234/55 is", "arXiv: 1234.56789 is", "on 2024-01-02 it", "by [12] it", "release v1.2 is", "host 1.2.3.4 is"):
+        assert numbers(text) == [], text
+    assert [n["raw"] for n in numbers("from 12%–15% in 3 of 4 runs and 5/6 runs")] == ["3 of 4", "5/6", "12%", "15%"]
+    for text in ("One. Two!  Three? (Four) e.g. Five.", "A... B.\tC", "x. y. Z", "Ends. ", "!? A", ". . B"):
+        assert [s for _, s in unit_sentences(1, text.replace("e.g.", "eg"), [])] == [s.strip() for s in re.split(BREAK, text.replace("e.g.", "eg")) if s.strip()]
