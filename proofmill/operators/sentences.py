@@ -5,9 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import reduce
 from itertools import accumulate, groupby
-from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -15,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import extract_numbers
 from ..functions.text import ABBREVIATIONS, DOT, strip_markdown, strip_tex, tokens
-from .tables import dealt
+from .tables import dealt, written
 
 #: Characters up to which a document is read by one task, and lines of a piece of a longer one.
 LONG, CHUNK = 1 << 20, 10_000
@@ -27,6 +25,9 @@ _BREAK = re.compile(r"[.!?]\s+(?=[A-Z(\[\"'])")
 _ABBREVIATED = [(a, a.replace(".", DOT)) for a in ABBREVIATIONS]
 _RULE, _HEADING, _LINE = re.compile(r"\|?[\s:|-]+\|?"), re.compile(r"#{1,6}\s"), re.compile(r"[-=]{3,}")
 _MARKER = re.compile(r"^([-*+]|\d+[.)])\s+")
+#: How a line ends in an abbreviation, whole or by its latter word, and what opens a sentence.
+_ABBREVIATIONS, _LATTER = tuple(ABBREVIATIONS), {a.split(" ", 1)[1] for a in ABBREVIATIONS if " " in a}
+_OPENS = tuple("ABCDEFGHIJKLMNOPQRSTUVWXYZ([\"'")
 
 
 def _kind(line: str) -> str:
@@ -100,61 +101,86 @@ def _whole(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, SENTENCE)
 
 
-def line_runs(lines: DataFrame, chunk: int) -> DataFrame:
-    """lines (rel, n, kind) with run: how many runs of lines of one kind have begun in rel up to the line.
+def _segments(docs: DataFrame, chunk: int) -> DataFrame:
+    """Pieces of `chunk` lines, dealt over tasks, to (rel, piece, n, first, last, s, lens): rows, headings, and paragraphs as far as they go in the piece, from line n.
 
-    Gaps and islands in pieces of `chunk` lines: beginnings are counted in each piece, and the pieces' own counts and edges, a row for each, are carried on from
-    one to the next, so a file of any length is many groups of bounded size.
+    A paragraph is cut where a sentence ends with a line in any case, so one of any length is many rows; `first` and `last` say that it may go on in the piece before and after.
+    lens has the lengths of its lines.
     """
-    piece = Window.partitionBy("rel", "piece").orderBy("n")
-    begun = lines.withColumn("piece", F.floor((F.col("n") - 1) / chunk)).withColumn("begins", F.coalesce((F.col("kind") != F.lag("kind").over(piece)).cast("int"), F.lit(0)))
-    counted = begun.withColumn("own", F.sum("begins").over(piece.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    edges = begun.groupBy("rel", "piece").agg(F.min_by("kind", "n").alias("first"), F.max_by("kind", "n").alias("last"), F.sum("begins").alias("inside"))
-    order = Window.partitionBy("rel").orderBy("piece")
-    edges = edges.withColumn("edge", F.coalesce((F.col("first") != F.lag("last").over(order)).cast("int"), F.lit(1)))
-    carried = F.sum(F.col("inside") + F.col("edge")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("inside")
-    return counted.join(edges.select("rel", "piece", carried.alias("carried")), ["rel", "piece"]).select(*lines.columns, (F.col("carried") + F.col("own")).alias("run"))
+    # Outer: the filter that a plain explode implies would clean the text a second time.
+    slices = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / chunk).cast("int")), lambda i: F.slice("lines", i * chunk + 1, F.lit(chunk)))
+    pieces = docs.where("text is not null").select("rel", F.split("text", "\n").alias("lines")).select("rel", F.posexplode_outer(slices).alias("piece", "lines")).where("piece is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, held = [], 0
+        for b in batches:
+            for rel, piece, lines in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                joins = ended = False
+                for n, raw in enumerate(lines, piece * chunk + 1):
+                    text = raw.strip()
+                    kind = _kind(text)
+                    if kind == "prose":
+                        text = _MARKER.sub("", text)
+                        if joins and not (ended and text.startswith(_OPENS)):
+                            made[-1][5].append(text)
+                        else:
+                            made.append([rel, piece, n, n == piece * chunk + 1, False, [text]])
+                        # An abbreviation may begin on the line before.
+                        ended = text.endswith((".", "!", "?")) and not text.endswith(_ABBREVIATIONS) and text not in _LATTER
+                    elif kind in ("row", "heading"):
+                        made.append([rel, piece, n, False, False, [text.lstrip("#").strip() if kind == "heading" else text]])
+                    joins = kind == "prose"
+                    held += len(raw) + 100
+                if joins:
+                    made[-1][4] = True
+                if held > HELD:
+                    yield segments(made)
+                    made, held = [], 0
+        yield segments(made)
+
+    def segments(made: list[list]) -> pa.RecordBatch:
+        rows = [(*m[:5], " ".join(m[5]), list(map(len, m[5]))) for m in made]
+        return _table(rows, rel=pa.string(), piece=pa.int32(), n=pa.int32(), first=pa.bool_(), last=pa.bool_(), s=pa.string(), lens=pa.list_(pa.int32()))
+
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return dealt(pieces, "rel", "piece").mapInArrow(run, "rel string, piece int, n int, first boolean, last boolean, s string, lens array<int>")
+
+
+def paragraph_heads(edges: DataFrame) -> DataFrame:
+    """edges (rel, piece, n, first, last), the segments at the edges of pieces, with head: the line where the paragraph begins that each belongs to.
+
+    Gaps and islands over a row or two for each piece, without texts.
+    """
+    order = Window.partitionBy("rel").orderBy("n")
+    linked = F.coalesce(F.col("first") & F.lag("last").over(order) & (F.lag("piece").over(order) == F.col("piece") - 1), F.lit(False))
+    return edges.withColumn("begun", F.when(~linked, F.col("n"))).select("rel", "n", F.last("begun", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("head"))
 
 
 def _in_pieces(docs: DataFrame, chunk: int) -> DataFrame:
     """Sentences of documents whose lines are dealt over tasks."""
-    edge = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-    # Outer: the filter that a plain explode implies would clean the text a second time.
-    lines = docs.select("rel", F.posexplode_outer(F.split("text", "\n")).alias("n", "raw")).where("n is not null").select("rel", (F.col("n") + 1).alias("n"), F.regexp_replace("raw", edge, "").alias("s"))
-    bars = F.length("s") - F.length(F.replace("s", F.lit("|"), F.lit("")))
-    kind = F.when(F.startswith("s", F.lit("|")) & (bars >= 2), F.when(F.col("s").rlike(r"(?U)^\|?[\s:|-]+\|?$"), "rule").otherwise("row")).when(F.col("s").rlike(r"(?U)^#{1,6}\s"), "heading").when((F.col("s") != "") & ~F.col("s").rlike("^[-=]{3,}$"), "prose").otherwise("gap")
-    runs = line_runs(lines.withColumn("kind", kind), chunk).where(F.col("kind").isin("row", "heading", "prose"))
-    # Rows and headings stand alone; prose lines are joined, but for places where a sentence ends with a line in any case: a paragraph of any length is many rows.
-    said = F.when(F.col("kind") == "heading", F.regexp_replace(F.regexp_replace("s", "^#+", ""), edge, "")).when(F.col("kind") == "prose", F.regexp_replace("s", r"(?U)^([-*+]|\d+[.)])\s+", "")).otherwise(F.col("s"))
-    parts = runs.select("rel", "n", "kind", "run", said.alias("s"))
-    # An abbreviation may begin on the line before.
-    abbreviated = reduce(or_, (F.endswith("s", F.lit(a)) for a in ABBREVIATIONS)) | F.col("s").isin([a.split(" ", 1)[1] for a in ABBREVIATIONS if " " in a])
-    ends, opens = F.col("s").rlike(r"[.!?]$") & ~abbreviated, F.col("s").rlike(r"^[A-Z(\[\"']")
-    parts = parts.withColumn("piece", F.floor((F.col("n") - 1) / chunk))
-    own = Window.partitionBy("rel", "piece", "run").orderBy("n")
-    apart = F.coalesce(F.lag(ends).over(own) & opens, F.lit(False))
-    # A paragraph that goes on in the next piece is joined there unless a sentence is seen to end; its state is the place of its last such end.
-    cut = parts.withColumn("apart", apart).withColumn("since", F.max(F.when(F.col("apart"), F.col("n"))).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    state = cut.where("kind = 'prose'").groupBy("rel", "run", "piece").agg(F.max("since").alias("since"))
-    earlier = F.last("since", True).over(Window.partitionBy("rel", "run").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
-    cut = cut.join(state.select("rel", "run", "piece", earlier.alias("before")), ["rel", "run", "piece"], "left")
-    unit = F.when(F.col("kind") == "prose", F.struct("run", F.coalesce("since", "before", F.lit(0)).alias("part"))).otherwise(F.struct(F.col("run"), F.col("n").alias("part")))
-    grouped = cut.groupBy("rel", unit.alias("unit")).agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("parts"))
+    # Read by its edges and by its texts: documents are cleaned and cut once.
+    parts = written(_segments(docs, chunk), "segments")
+    edges = parts.where("first or last")
+    heads = paragraph_heads(edges.select("rel", "piece", "n", "first", "last"))
+    joined = edges.select("rel", "n", "s", "lens").join(heads, ["rel", "n"]).groupBy("rel", F.col("head").alias("n")).agg(F.sort_array(F.collect_list(F.struct("n", "s", "lens"))).alias("parts"))
+    units = parts.where("not (first or last)").select("rel", "n", "s", "lens").unionByName(joined.select("rel", "n", F.array_join("parts.s", " ").alias("s"), F.flatten("parts.lens").alias("lens")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = []
-            for rel, joined in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                offsets = list(accumulate(len(p["s"]) + 1 for p in joined[:-1]))
-                made += [(rel, joined[0]["n"], i, line, s) for i, (line, s) in enumerate(unit_sentences(joined[0]["n"], " ".join(p["s"] for p in joined), offsets))]
-            yield _table(made, rel=pa.string(), first=pa.int32(), i=pa.int32(), line=pa.int32(), sentence=pa.string())
-
-    found = grouped.select("rel", "parts").mapInArrow(run, "rel string, first int, i int, line int, sentence string").withColumn("piece", F.floor((F.col("first") - 1) / chunk))
-    sizes = found.groupBy("rel", "piece").agg(F.count("*").alias("size"))
+            for rel, n, text, lens in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = unit_sentences(n, text, list(accumulate(x + 1 for x in lens[:-1])))
+                made.append((rel, n, [line for line, _ in found], [s for _, s in found]))
+            yield _table(made, rel=pa.string(), n=pa.int32(), lines=pa.list_(pa.int32()), found=pa.list_(pa.string()))
+
+    # Read by its sizes and by its sentences.
+    made = written(units.mapInArrow(run, "rel string, n int, lines array<int>, found array<string>").withColumn("piece", F.floor((F.col("n") - 1) / chunk)), "units")
+    sizes = made.groupBy("rel", "piece").agg(F.sum(F.size("found")).alias("size"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("rel").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("rel", "piece").orderBy("first", "i"))
-    placed = found.withColumn("place", place).join(sizes.select("rel", "piece", before.alias("before")), ["rel", "piece"])
-    return placed.select("rel", "line", (F.col("before") + F.col("place") - 1).cast("int").alias("seq"), "sentence")
+    inside = F.coalesce(F.sum(F.size("found")).over(Window.partitionBy("rel", "piece").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = made.withColumn("inside", inside).join(sizes.select("rel", "piece", before.alias("before")), ["rel", "piece"]).withColumn("begin", F.col("before") + F.col("inside"))
+    each = placed.select("rel", "begin", F.posexplode_outer(F.arrays_zip("lines", "found")).alias("i", "at")).where("i is not null")
+    return each.select("rel", F.col("at.lines").alias("line"), (F.col("begin") + F.col("i")).cast("int").alias("seq"), F.col("at.found").alias("sentence"))
 
 
 def _cleaned(docs: DataFrame) -> DataFrame:

@@ -80,3 +80,9 @@ def test_patterns_asked_for_first_lose_nothing(spark):
     assert [n["raw"] for n in numbers("from 12%–15% in 3 of 4 runs and 5/6 runs")] == ["3 of 4", "5/6", "12%", "15%"]
     for text in ("One. Two!  Three? (Four) e.g. Five.", "A... B.\tC", "x. y. Z", "Ends. ", "!? A", ". . B"):
         assert [s for _, s in unit_sentences(1, text.replace("e.g.", "eg"), [])] == [s.strip() for s in re.split(BREAK, text.replace("e.g.", "eg")) if s.strip()]
+
+
+def test_pieces_are_read_once(spark, sf_dir):
+    """The windows over pieces read written tables; no document is cleaned or cut a second time for them, and no text is in the windows over pieces."""
+    plan = catalogue.QUERIES["unit_assembly_in_pieces"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "split(" not in plan  # that of short documents, none here
