@@ -35,11 +35,14 @@ def tolerance(raw: Column) -> Column:
     return half_width(raw) * 1.0001 + EPS
 
 
-def interval(raw: Column) -> Column:
-    v, h = parsed(raw), half_width(raw)
+def around(v: Column, h: Column) -> Column:
     return F.struct((v - h).alias("lo"), (v + h).alias("hi"))
 
 
+def interval(raw: Column) -> Column:
+    return around(parsed(raw), half_width(raw))
+
+
 def magnitude(iv: Column) -> Column:
     """The interval of absolute values."""
     lo, hi = iv["lo"], iv["hi"]

@@ -86,3 +86,10 @@ def test_pieces_are_read_once(spark, sf_dir):
     """The windows over pieces read written tables; no document is cleaned or cut a second time for them, and no text is in the windows over pieces."""
     plan = catalogue.QUERIES["unit_assembly_in_pieces"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "split(" not in plan  # that of short documents, none here
+
+
+def test_comparisons_are_read_once(spark, sf_dir):
+    """Filters do not scrub a sentence, pick the stated change or read a printed number again; such plans grew beyond what can be compiled."""
+    plan = catalogue.QUERIES["benchmark_relative"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("https?://") == 1 and plan.count("[eE]([-+]?") == 3
+    assert [[c["number"] for c in arithmetic.found_in(t)["changes"]] for t in ("From 1.0 to 2.0, a GAIN OF 1.0 points", "5.0 vs 4.0, beats it BY 1.0 points", "5.0 against 4.0, a 1.0% gain")] == [["1.0"]] * 3
