@@ -577,6 +577,63 @@ def test_segmentations(spark, docs):
     assert sp_sampling.sample_segmentations(empty(spark), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def plain_samples(sampler, doc, seed, k):
+    """Gumbel top-k of one text, edge by edge: the edges of each sample and its perturbed value."""
+    noise = lambda key: float(sp_sampling._gumbel(np.array([key % 2**64], np.uint64))[0])
+    number = sampler.number[sampler.starts[doc] : sampler.starts[doc + 1]]
+    agenda, out = [(noise(seed), (), 0, int(sampler.first[number[0]]) if len(number) else 0)], []
+    for s in range(k):
+        if not agenda:
+            break
+        agenda.sort(key=lambda node: -node[0])
+        value, path, word, at = agenda.pop(0)
+        path, phi = list(path), sum(float(sampler.logp[e]) for e in path)
+        for w in range(word, len(number)):
+            first, end = int(sampler.first[number[w]]), int(sampler.end[number[w]])
+            at = at if w == word else first
+            key = int(sp_sampling.mixed(np.array([(seed + (s + 1) * 0xD6E8FEB86659FD93 + (w + 1) * 0xA0761D6478BD642F) % 2**64], np.uint64))[0])
+            while at < end:
+                edges = range(sampler.offset[at], sampler.offset[at + 1])
+                x = {e: float(sampler.logp[e]) + noise(key + (at - first) * 0xA24BAED4963EE407 + int(sampler.length[e]) * 0x9E3779B97F4A7C15) for e in edges}
+                best = max(edges, key=x.get)
+                # The others' values, given that this node's is `value`, in the plain form.
+                agenda += [(-np.logaddexp(-value, -phi - x[e] + np.log(-np.expm1(x[e] - x[best]))), (*path, e), w, at + int(sampler.length[e])) for e in edges if e != best]
+                path, phi, at = [*path, best], phi + float(sampler.logp[best]), at + int(sampler.length[best])
+        out.append((path, value))
+    return out
+
+
+def test_words_that_come_again(monkeypatch):
+    """A word is taken apart once however many groups it comes in, and forgetting words changes no sample; samples are those of plain loops."""
+    v = sp_sampling.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    r, seen, own = random.Random(8), [], sp_sampling.Vocabulary.lattice
+    monkeypatch.setattr(sp_sampling.Vocabulary, "lattice", lambda self, code: seen.append(len(code)) or own(self, code))
+    stock = ["the", "data", "naïve", "größer", "поиск", "検索", "re-run", "x\ny", "\n", "", "𝒳", "e\u0301", "a\0b", "▁", "internationalisation", "0123456789"]
+    groups = [[" ".join(r.choice(stock) + r.choice(["", "s", "ing"]) for _ in range(r.randint(0, 30))) for _ in range(7)] + [None, ""] for _ in range(12)]
+    seeds = sp_sampling.mixed(np.arange(9, dtype=np.uint64))
+    shared, small = sp_sampling.Lattices(v), sp_sampling.Lattices(v, most=60)
+
+    def flat(sampler):
+        return [[(ids.tolist(), *rest) for ids, *rest in m] for m in sampler.sample(seeds, 3)]
+
+    for texts in groups:
+        alone = flat(sp_sampling.Sampler(v, texts))
+        del seen[:]
+        again = sp_sampling.Sampler(v, texts, shared)
+        assert flat(again) == alone == flat(sp_sampling.Sampler(v, texts, small))
+        del seen[:]
+        assert flat(sp_sampling.Sampler(v, texts, shared)) == alone and not seen
+        assert again.number.tolist() == [shared.words[w] for t in texts if t for w in sp_sampling._CHUNKS.findall("▁" + t.replace(" ", "▁"))]
+    for d in range(9):
+        plain = plain_samples(again, d, int(seeds[d]), 3)
+        assert [again.id[np.array(p, np.int64)].tolist() for p, _ in plain] == [m[0] for m in alone[d]]
+        assert [g for _, g in plain] == pytest.approx([m[2] for m in alone[d]], rel=1e-9)
+    text = "\ud800 é \U0001d4b3\0"
+    raw = [np.array([sp_sampling.RAW + c for c in (0xD800, 0xE9, 0x1D4B3, 0x10FFFF + 1)]), np.array([5])]
+    assert [v.raw[x].tolist() for x in sp_sampling.ids_of(raw, v)][0] == [bytes([b]) for b in "?é\U0001d4b3\0".encode()]
+    assert sp_sampling.decode_ids(sp_sampling.ids_of([sp_sampling.Sampler(v, [text]).sample(seeds[:1], 1)[0][0][0]], v)[0], v) == text.replace("\ud800", "?")
+
+
 # ---------------------------------------------------------------- 9 near-duplicates
 def plain_near(rows, k, percent):
     sets = {i: minhash_dedup.shingles_of(minhash_dedup.words_of(t), k) for i, t in rows}
