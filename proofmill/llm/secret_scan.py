@@ -53,10 +53,11 @@ def _scoped(spans: Column) -> Column:
 
 def link_parts(parts: DataFrame) -> DataFrame:
     """parts (key, scope, kind, start, end), distinct, with id, secret and place: the nearest part (start, end) of each side in the scope, the part itself for its own side."""
-    order = Window.partitionBy("key", "scope").orderBy("start", "kind", "end")
-    back, forth = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    # Both ways as a running value: a frame up to the last row would be gone through again for every row.
+    scope = Window.partitionBy("key", "scope").rowsBetween(Window.unboundedPreceding, -1)
+    back, forth = scope.orderBy("start", "kind", "end"), scope.orderBy(F.desc("start"), F.desc("kind"), F.desc("end"))
     span = F.struct("start", "end")
-    out = parts.select("*", *(f(F.when(F.col("kind").isin(kinds), span), True).over(w).alias(f"{side}_{at}") for side, kinds in SIDES.items() for f, w, at in ((F.last, back, "before"), (F.first, forth, "after"))))
+    out = parts.select("*", *(F.last(F.when(F.col("kind").isin(kinds), span), True).over(w).alias(f"{side}_{at}") for w, at in ((back, "before"), (forth, "after")) for side, kinds in SIDES.items()))
     gap = lambda a, b: F.greatest(b - a, F.lit(0))
 
     def nearest(side: str) -> Column:

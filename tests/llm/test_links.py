@@ -60,3 +60,17 @@ def test_keyless_rows_are_not_joined(spark):
     out = pii._with_more(found.drop("__tokens"), found.select("__key"), more, Scratch(spark, "t"))
     assert out.count() == 500 and out.where("size(__more) = 0").count() == 500
     assert sorted(x.doc_id for x in pii.find_pii(docs).collect()) == list(range(500))
+
+
+def test_a_scope_of_many_parts_is_gone_through_once_each_way(spark):
+    """No window frame ends at its partition's last row, since such a frame is read anew for every row; the nearest parts are those of loops."""
+    r = random.Random(11)
+    ends = sorted(r.sample(range(4000), 600))
+    rows = [("k", 0, r.randrange(6), a, b) for a, b in zip(ends[::2], ends[1::2], strict=True)]
+    near = secret_scan.link_parts(spark.createDataFrame(rows, "key string, scope int, kind int, start int, end int"))
+    plan = near._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+    for x in near.collect():
+        for side, kinds in secret_scan.SIDES.items():
+            others = [(max(a - x.end, x.start - b, 0), a > x.start, a if a > x.start else -a, a, b) for _, _, kind, a, b in rows if kind in kinds]
+            assert tuple(x[side]) == ((x.start, x.end) if x.kind in kinds else min(others)[3:])
